@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrel.llm import mixing
+from spindrel.llm import mixing, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_mixing": mixing.op5_mixing,
+        "op6_packing": packing.op6_packing,
     }
 
 
