@@ -155,7 +155,6 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated ids are joined per id and size, so a document repeated in ``docs`` stays
     repeated once for each of its rows.
     """
-    columns = docs.columns
     share = (
         mix(docs)
         .groupBy("doc_id")
@@ -163,5 +162,6 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .select(F.col("doc_id").alias("_id"), F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_copies"))
         .where("_copies > 0")
     )
-    repeated = docs.join(share, docs["doc_id"].eqNullSafe(share["_id"]))
-    return repeated.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*columns)
+    rows = docs.select("doc_id", F.struct("*").alias("_row"))
+    repeated = rows.join(share, rows["doc_id"].eqNullSafe(share["_id"]))
+    return repeated.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
