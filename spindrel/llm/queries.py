@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrel.llm import language, mixing, neardup, packing
+from spindrel.llm import chat, gif, language, mixing, neardup, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_language": language.op2_language,
+        "op3_chat": chat.op3_chat,
         "op5_mixing": mixing.op5_mixing,
         "op6_packing": packing.op6_packing,
+        "op7_gif": gif.op7_gif,
     }
 
 
