@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrel.llm import chat, gif, language, mixing, neardup, packing
+from spindrel.llm import chat, gif, language, mixing, neardup, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": mixing.op5_mixing,
         "op6_packing": packing.op6_packing,
         "op7_gif": gif.op7_gif,
+        "op10_quality": quality.op10_quality,
     }
 
 
