@@ -11,8 +11,8 @@ documents is the Jaccard similarity of their whole shingle sets, and two are lin
 2. Documents of equal sets collapse into their smallest id before banding.
 3. A bucket proposes star-shaped edges from one centre to its members, so a bucket of
    m members gives m - 1 pairs; centres differ from bucket to bucket.
-4. Candidates are confirmed on their full sets, and components found by spreading the
-   smallest id with pointer jumping.
+4. Candidates are confirmed on their full sets, and components found by merging nodes
+   into neighbours until no link is left between different nodes.
 5. A star can miss a link between two members that are not linked to its centre.  Every
    bucket that still spans several components therefore gets further centres, GROWTH
    times as many in each round, until it holds one component or all its members were
@@ -42,7 +42,7 @@ PERCENT = 75
 BANDS, ROWS = 50, 5
 SEED = 20
 CHUNK_BYTES = 1 << 21
-GROUP_SHINGLES = 1 << 18
+GROUP_SHINGLES = 1 << 17
 GROWTH = 32
 
 U = np.uint64
@@ -293,27 +293,40 @@ def _block_links(percent: int):
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of ``links`` (a, b).
 
-    Each round a node takes the smallest label among its neighbours' and its own, then
-    the label of its label; the rounds grow with the logarithm of the longest chain.
+    Each round a node is merged into the neighbour (or itself) of the smallest keyed
+    hash, with another key every time, and the links between merged nodes go; a constant
+    share of the nodes is expected to vanish per round, whatever the shape.  The rounds'
+    small merge tables are then composed from the last to the first.
     """
     spark = links.sparkSession
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
-    edges, edges_path = materialize(both.distinct())
-    labels, path = materialize(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("component")))
-    while True:
-        seen = edges.join(labels.select(F.col("node").alias("other"), F.col("component").alias("offer")), "other")
-        # pre-aggregated, so that a hub's neighbours meet as one row per task
-        best = seen.groupBy("node").agg(F.min("offer").alias("offer"))
-        near = labels.join(best, "node").select("node", F.col("component").alias("before"), F.least("component", "offer").alias("near"))
-        jump = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        moved = near.join(jump, "near").select("node", F.least("near", "far").alias("component"), (F.least("near", "far") < F.col("before")).alias("moved"))
-        new, new_path = materialize(moved)
-        changed = new.where("moved").limit(1).count()
+    edges, path = materialize(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = materialize(links.select(F.col("a").alias("node")).union(links.select("b")).distinct())[0]
+    merges: list[DataFrame] = []
+    while not edges.isEmpty():
+        key = lambda c: F.xxhash64(F.lit(len(merges)), F.col(c))  # noqa: E731, B023
+        both = edges.union(edges.select("b", "a"))
+        near = both.groupBy("a").agg(F.min_by("b", key("b")).alias("other"))
+        merge, _ = materialize(near.select(F.col("a").alias("node"), F.when(key("other") < key("a"), F.col("other")).otherwise(F.col("a")).alias("into")))
+        first = edges.join(merge.toDF("a", "x"), "a").select("x", "b")
+        moved = first.join(merge.toDF("b", "y"), "b").where("x != y")
+        after, after_path = materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         discard(spark, path)
-        labels, path = new.select("node", "component"), new_path
-        if not changed:
-            discard(spark, edges_path)
-            return labels
+        edges, path = after, after_path
+        merges.append(merge)
+    discard(spark, path)
+    roots = None
+    for merge in reversed(merges):
+        if roots is None:
+            roots = merge.toDF("node", "root")
+        else:
+            final = roots.toDF("into", "last")
+            roots = merge.join(final, "into", "left").select("node", F.coalesce("last", "into").alias("root"))
+        roots, _ = materialize(roots)
+    if roots is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    placed = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("node").alias("component"))
+    return materialize(placed.join(smallest, "root").select("node", "component"))[0]
 
 
 class NearDuplicates:
@@ -388,6 +401,16 @@ class NearDuplicates:
         dealt = rows.select(*keys, "centre", "rank", "component", "rep", "set").repartition(*keys).sortWithinPartitions(*keys)
         return dealt.mapInArrow(_block_links(self.percent), "a long, b long").distinct()
 
+    def merged(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels after more links, which are followed between components only."""
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        between = named.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).distinct()
+        onto = components(between).toDF("old", "new")
+        fresh = onto.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+        moved = labels.join(onto, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+        return materialize(moved.union(fresh))[0]
+
     def classes(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(signatures, class representatives, their labels and links).
 
@@ -408,8 +431,7 @@ class NearDuplicates:
         while (numbered := self.undecided(members, labels, done)) is not None:
             found = materialize(self.further(numbered, sets, done * GROWTH))[0]
             if not found.isEmpty():
-                links = links.union(found)
-                labels = components(links)
+                labels = self.merged(labels, found)
             done *= GROWTH
         return signed, classes, labels
 
