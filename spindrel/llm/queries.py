@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrel.llm import chat, gif, language, mixing, neardup, packing, quality
+from spindrel.llm import chat, gif, language, mixing, neardup, packing, quality, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_language": language.op2_language,
         "op3_chat": chat.op3_chat,
+        "op4_urls": urls.op4_urls,
         "op5_mixing": mixing.op5_mixing,
         "op6_packing": packing.op6_packing,
         "op7_gif": gif.op7_gif,
@@ -22,4 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_urls": urls.ORACLE,
+    }
