@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrel.llm import chat, gif, language, mixing, neardup, packing, quality, urls
+from spindrel.llm import ann, chat, gif, language, mixing, neardup, packing, quality, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": mixing.op5_mixing,
         "op6_packing": packing.op6_packing,
         "op7_gif": gif.op7_gif,
+        "op8_nearest": ann.op8_nearest,
         "op10_quality": quality.op10_quality,
     }
 
