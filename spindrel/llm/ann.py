@@ -2,7 +2,7 @@
 
 Vectors are normalised and dealt by hash into shards of about ``SHARD`` rows.  In a
 shard a graph is built in growing batches: each new vector searches the graph so far
-greedily from the entry point, and robust pruning chooses among all it met: the closest
+greedily from common entry points, and robust pruning chooses among all it met: the closest
 is taken, and with it go the candidates that it is nearer to, by the factor ``ALPHA``,
 than the vector is.  Edges back are added and pruned alike.  A second pass repeats this
 over the whole graph.  Queries beam-search every shard, in blocks, and the best of all
@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 from spindrel.llm.common import materialize, table
 
 SHARD = 8_192
-DEGREE = 32
-BUILD_BEAM = 64
-QUERY_BEAM = 128
+DEGREE = 40
+BUILD_BEAM = 96
+QUERY_BEAM = 256
 ALPHA = 1.2
 BLOCK = 512
+ENTRIES = 64
 SEED = 5
 
 
@@ -46,7 +47,7 @@ def _distances(points: np.ndarray, at: np.ndarray, targets: np.ndarray) -> np.nd
     return np.maximum(0, 2 - 2 * np.einsum("qkd,qd->qk", points[at], targets))
 
 
-def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, targets: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def beam_search(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, targets: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Greedy searches in lockstep: (nodes, distances) sorted, q x beam, and what was expanded.
 
     ``edges`` is n x degree, padded with -1; missing results have node -1.
@@ -56,8 +57,12 @@ def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, targets: np.n
     far = np.full((q, beam), np.inf, np.float32)
     open_ = np.zeros((q, beam), bool)
     seen = np.zeros((q, n), bool)
-    nodes[:, 0], open_[:, 0], seen[:, entry] = entry, True, True
-    far[:, 0] = _distances(points, np.full((q, 1), entry), targets)[:, 0]
+    entries = np.asarray(entries, np.int64)
+    d = np.maximum(0, 2 - 2 * targets @ points[entries].T).astype(np.float32)
+    first = np.argsort(d, 1, kind="stable")[:, :beam]
+    nodes[:, : first.shape[1]], far[:, : first.shape[1]] = entries[first], np.take_along_axis(d, first, 1)
+    open_[:, : first.shape[1]] = True
+    seen[:, entries] = True
     expanded = []
     live = np.arange(q)
     while len(live):
@@ -109,26 +114,27 @@ def robust_prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, de
     return chosen
 
 
-def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, int]:
-    """(edges n x degree, entry point) of the graph over unit vectors."""
+def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
+    """(edges n x degree, entry points) of the graph over unit vectors."""
     n = len(points)
     edges = np.full((n, degree), -1, np.int64)
     entry = int((points @ points.mean(0)).argmax()) if n else 0
     random = np.random.default_rng(SEED)
     order = random.permutation(n)
     order = np.concatenate(([entry], order[order != entry])) if n else order
+    entries = order[:ENTRIES]
     for relax in (1.0, alpha):
         at = 1 if relax == 1.0 else 0
         while at < n:
             batch = order[at : at + max(1, min(at or BLOCK, BLOCK))]
             at += len(batch)
-            _, _, expanded = beam_search(points, edges, entry, points[batch], beam)
+            _, _, expanded = beam_search(points, edges, entries[: max(1, at - len(batch))] if relax == 1.0 else entries, points[batch], beam)
             met = np.full((len(batch), len(expanded)), -1, np.int64)
             for k, (live, node) in enumerate(expanded):
                 met[live, k] = node
             edges[batch] = robust_prune(points, batch, np.concatenate((met, edges[batch]), 1), degree, relax)
             _add_back(points, edges, batch, relax)
-    return edges, entry
+    return edges, entries
 
 
 def _add_back(points: np.ndarray, edges: np.ndarray, batch: np.ndarray, alpha: float) -> None:
@@ -167,7 +173,7 @@ def _unit(flat: np.ndarray) -> np.ndarray:
     return (scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))).astype(np.float32)
 
 
-INDEX = "shard int, dim int, entry int, vectors binary, edges binary, ids array<array<long>>"
+INDEX = "shard int, dim int, entries array<int>, vectors binary, edges binary, ids array<array<long>>"
 
 
 def _index(key: tuple, group: pa.Table) -> pa.Table:
@@ -177,10 +183,10 @@ def _index(key: tuple, group: pa.Table) -> pa.Table:
     ids = group["ids"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: ids[i][0])
     flat = flat[order]
-    edges, entry = build(_unit(flat))
+    edges, entries = build(_unit(flat))
     return pa.table(
         {
-            "shard": pa.array([shard], pa.int32()), "dim": pa.array([dim], pa.int32()), "entry": pa.array([entry], pa.int32()),
+            "shard": pa.array([shard], pa.int32()), "dim": pa.array([dim], pa.int32()), "entries": pa.array([entries.astype(np.int32)], pa.list_(pa.int32())),
             "vectors": pa.array([flat.tobytes()], pa.binary()), "edges": pa.array([edges.astype(np.int32).tobytes()], pa.binary()),
             "ids": pa.array([[ids[i] for i in order]], pa.list_(pa.list_(pa.int64()))),
         }
@@ -198,7 +204,7 @@ def _search(k: int, beam: int):
                 ids = value("ids").as_py()
                 asked = np.array(value("query_ids").as_py(), np.int64)
                 targets = np.asarray(value("queries").values.flatten(), np.float64).reshape(-1, dim)
-                nodes, _, _ = beam_search(_unit(vectors), edges, value("entry").as_py(), _unit(targets), min(beam, len(vectors)))
+                nodes, _, _ = beam_search(_unit(vectors), edges, value("entries").as_py(), _unit(targets), min(beam, len(vectors)))
                 lengths = np.sqrt((vectors * vectors).sum(1))
                 out: tuple[list, list, list] = ([], [], [])
                 for q, (query, target) in enumerate(zip(asked.tolist(), targets, strict=True)):
@@ -238,7 +244,7 @@ def nearest(
     )
     met = grouped.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["shard", "dim"])
     met = met.repartition(max(1, shards * blocks), "shard", "block")
-    found = met.select("dim", "entry", "vectors", "edges", "ids", "query_ids", "queries").mapInArrow(
+    found = met.select("dim", "entries", "vectors", "edges", "ids", "query_ids", "queries").mapInArrow(
         _search(k, beam), "query_id long, vec_id long, score double"
     )
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
