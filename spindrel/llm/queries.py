@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrel.llm import ann, chat, gif, language, mixing, neardup, packing, quality, urls
+from spindrel.llm import ann, chat, gif, language, mixing, neardup, packing, pii, quality, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": packing.op6_packing,
         "op7_gif": gif.op7_gif,
         "op8_nearest": ann.op8_nearest,
+        "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
     }
 
