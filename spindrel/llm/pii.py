@@ -250,6 +250,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, its entities replaced."""
+    """Pipeline stage: every document stays, its entities replaced; n_chars follows a changed text."""
     new = replace_pii(docs.select("doc_id", "text", F.struct("*").alias("_row")), keep=("_row",))
-    return new.select(*[(F.col("text") if c == "text" else F.col("_row")[c].alias(c)) for c in docs.columns])
+    length = F.when(F.col("text") == F.col("_row")["text"], F.col("_row")["n_chars"]).otherwise(F.length("text")) if "n_chars" in docs.columns else None
+    fresh = {"text": F.col("text"), "n_chars": length}
+    return new.select(*[fresh.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
