@@ -13,11 +13,11 @@ documents is the Jaccard similarity of their whole shingle sets, and two are lin
    m members gives m - 1 pairs; centres differ from bucket to bucket.
 4. Candidates are confirmed on their full sets, and components found by merging nodes
    into neighbours until no link is left between different nodes.
-5. A star can miss a link between two members that are not linked to its centre.  Every
-   bucket that still spans several components therefore gets further centres, GROWTH
-   times as many in each round, until it holds one component or all its members were
-   centres: no pair in a bucket is left undecided.  These rounds compare bounded blocks
-   of centres with bounded slices of members and emit only links that join components.
+5. A star can miss a link between two members that are not linked to its centre.  In
+   every bucket that still spans several components, all members outside the largest
+   become centres: any pair of different components has one of them, so no pair in a
+   bucket is left undecided.  Bounded blocks of centres meet bounded slices of members,
+   and only links that join components leave them.
 
 Defined results: no words or a null text: size 0, linked with nothing; fewer than five
 words: the whole sequence is the one shingle; equal texts are linked; rows that share a
@@ -42,8 +42,7 @@ PERCENT = 75
 BANDS, ROWS = 50, 5
 SEED = 20
 CHUNK_BYTES = 1 << 21
-GROUP_SHINGLES = 1 << 17
-GROWTH = 32
+GROUP_SHINGLES = 1 << 18
 
 U = np.uint64
 _random = np.random.default_rng(SEED)
@@ -366,30 +365,32 @@ class NearDuplicates:
         known = sizes.select(F.col("rep").alias("a"), F.col("size").alias("size_a"))
         return self._close(proposed.join(known, "a").join(known.toDF("b", "size_b"), "b"))
 
-    def undecided(self, members: DataFrame, labels: DataFrame, done: int) -> DataFrame | None:
-        """The members, numbered, of buckets with over ``done`` members and several components; None if there are none."""
+    def undecided(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """The members, numbered, of buckets that hold several components; those outside the bucket's largest first."""
         own = labels.select(F.col("node").alias("rep"), "component")
-        labelled = members.where(F.col("c") > max(done, 2)).join(own, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        crowd = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("size").alias("total"))
-        crowd = crowd.where("x < y").select("bucket", F.ceil(F.col("total") / GROUP_SHINGLES).alias("slices"))
-        order = W.partitionBy("bucket").orderBy(F.col("rep").bitwiseXOR(F.col("bucket")))
-        before = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-        numbered = labelled.join(crowd, "bucket").select(
-            "bucket", "rep", "component", "slices", F.row_number().over(order).alias("rank"), F.floor(before / GROUP_SHINGLES).alias("block")
+        labelled = members.where("c > 2").join(own, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+        crowd = parts.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("total").alias("total")
         )
-        numbered, path = materialize(numbered.where(F.col("rank") > done))
-        if numbered.isEmpty():
-            discard(self.spark, path)
-            return None
-        return numbered
+        crowd = crowd.where("parts > 1").select("bucket", "largest", F.ceil(F.col("total") / GROUP_SHINGLES).alias("slices"))
+        minor = F.col("component") != F.col("largest")
+        order = W.partitionBy("bucket").orderBy(F.desc("minor"), F.col("rep").bitwiseXOR(F.col("bucket")))
+        before = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+        numbered = labelled.join(crowd, "bucket").withColumn("minor", minor)
+        return materialize(
+            numbered.select(
+                "bucket", "rep", "component", "slices", "minor", F.row_number().over(order).alias("rank"), F.floor(before / GROUP_SHINGLES).alias("block")
+            )
+        )[0]
 
-    def further(self, numbered: DataFrame, sets: DataFrame, to: int) -> DataFrame:
-        """Links between the members numbered up to ``to`` and the members after them.
+    def further(self, numbered: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between the minor members of each bucket and the members after them.
 
         A group is one block of centres and one slice of members, both of bounded size;
         it yields only links that join components within it.
         """
-        centres = numbered.where(F.col("rank") <= to)
+        centres = numbered.where("minor")
         blocks = centres.select("bucket", "block").distinct()
         slices = F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1)).alias("slice")
         held = centres.select("bucket", "block", slices, F.lit(True).alias("centre"), "rank", "component", "rep")
@@ -427,12 +428,9 @@ class NearDuplicates:
         tried = materialize(self.stars(members, sizes))[0]
         links = materialize(self.confirmed(tried, sets))[0]
         labels = components(links)
-        done = 1
-        while (numbered := self.undecided(members, labels, done)) is not None:
-            found = materialize(self.further(numbered, sets, done * GROWTH))[0]
-            if not found.isEmpty():
-                labels = self.merged(labels, found)
-            done *= GROWTH
+        numbered = self.undecided(members, labels)
+        if not numbered.isEmpty():
+            labels = self.merged(labels, materialize(self.further(numbered, sets))[0])
         return signed, classes, labels
 
     def run(self) -> DataFrame:
