@@ -521,7 +521,8 @@ def _list(*args):
     if len(kinds) <= 1 and not any(a.json for a in args):
         return F.array(*[a.col for a in args])
     if all(a.num or a.null for a in args):
-        return F.array(*[a.col.cast("double") for a in args])
+        wide = "bigint" if all(a.int or a.null for a in args) else "double"
+        return F.array(*[a.col.cast(wide) for a in args])
     if any(a.json for a in args):
         return Json(F.concat(F.lit("["), F.array_join(F.array(*[as_json(a) for a in args]), ","), F.lit("]")))
     # really mixed: a tuple, whose elements keep their types

@@ -39,6 +39,7 @@ class Body:
         self.evaluator = evaluator
         self.df: DataFrame | None = None
         self.columns: dict[str, str] = {}
+        self.constants: dict[str, Any] = {}  # variables that are literals, which sources filter by
         self.made = 0
         self.unique: list[set[str]] | None = []  # for each source so far, variables that tell its rows apart
 
@@ -100,6 +101,8 @@ class Body:
             name = self.fresh()
             self.df = self.frame().select("*", scope.column(atom.expr, name))
             self.columns[atom.var] = name
+            if isinstance(atom.expr, A.Lit):
+                self.constants[atom.var] = atom.expr
 
     def narrowed(self, source: DataFrame, pairs: list[tuple[str, Any]]) -> tuple[DataFrame, dict[str, str], list[tuple[str, Any]]]:
         """Source filtered by constants and repeated variables: (rows, variable -> column, computed arguments)."""
@@ -107,6 +110,8 @@ class Body:
         later: list[tuple[str, Any]] = []
         for column, e in pairs:
             if isinstance(e, A.Var):
+                if e.name in self.constants:
+                    source = source.where(Scope(source, {"_": column}).test(A.Call("eq", (A.Var("_"), self.constants[e.name]))))
                 if e.name in own:
                     source = source.where(F.col(f"`{column}`").eqNullSafe(F.col(f"`{own[e.name]}`")))
                 else:
@@ -131,10 +136,19 @@ class Body:
             self.df = right
         else:
             condition = None
+            computed = [(c, e) for c, e in later if A.variables(e) <= set(self.columns)]
+            later = [x for x in later if x not in computed]
+            extra = []
+            for column, e in computed:  # arguments over bound variables are join keys too
+                name = self.fresh()
+                self.df = self.df.select("*", self.scope().column(e, name))
+                same = F.col(name).eqNullSafe(F.col(names[column]))
+                condition = same if condition is None else condition & same
+                extra += [name, names[column]]
             for v in shared:
                 same = F.col(self.columns[v]).eqNullSafe(F.col(names[own[v]]))
                 condition = same if condition is None else condition & same
-            self.df = (self.df.crossJoin(right) if condition is None else self.df.join(right, condition)).drop(*[names[own[v]] for v in shared])
+            self.df = (self.df.crossJoin(right) if condition is None else self.df.join(right, condition)).drop(*[names[own[v]] for v in shared], *extra)
         for v, column in own.items():
             self.columns.setdefault(v, names[column])
         for column, e in later:
@@ -227,7 +241,7 @@ def aggregated(rows: DataFrame, head: tuple, nonempty_only: bool = False) -> Dat
             parts.append(plain.groupBy(*keys).agg(*columns) if keys else plain.agg(*columns))
     for i in counted:
         pairs = rows.groupBy(*[k for k in keys], F.col(position(i)).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        packed = F.sort_array(F.collect_list(F.struct(F.col("_v"), F.col("_n")))).alias(position(i))
+        packed = F.sort_array(F.collect_list(F.struct(F.col("_v").alias("_0"), F.col("_n").alias("_1")))).alias(position(i))
         parts.append(pairs.groupBy(*keys).agg(packed) if keys else pairs.agg(packed))
     out = parts[0]
     for extra in parts[1:]:
@@ -342,6 +356,9 @@ class Evaluator:
 
     def fixpoint(self, group: list[str]) -> None:
         inside = set(group)
+        for name in {a.name for n in group for b in self.rules[n].bodies for a in b if isinstance(a, A.RuleAtom)} - inside:
+            if name in self.results:  # read again in every round
+                self.results[name], _ = written(self.results[name])
         kept: dict[str, list[tuple[DataFrame, str]]] = {n: [] for n in group}
         found = {n: self.base(self.rules[n], inside) for n in group}
         self.settle_types(group, found, inside)
