@@ -104,8 +104,22 @@ def nearest(relation: Any, index: Any, rows: DataFrame, condition: Column, queri
 # --- full text ----------------------------------------------------------------------
 
 
-def postings(relation: Any, index: Any) -> DataFrame:
-    """word, keys, positions, offsets and the document's length in tokens."""
+@dataclass(frozen=True)
+class Term:
+    text: str
+    prefix: bool = False
+    boost: float = 1.0
+
+
+@dataclass(frozen=True)
+class Group:
+    op: str  # and, or, not, near
+    parts: tuple
+    distance: int = 10
+
+
+def analyzed_rows(relation: Any, index: Any) -> tuple[DataFrame, Any]:
+    """Rows that the index covers, and their text."""
     options = option_map(index)
     rows = relation.frame()
     scope = Scope(rows, {c: c for c in rows.columns})
@@ -114,6 +128,30 @@ def postings(relation: Any, index: Any) -> DataFrame:
     text = scope.compile(options["extractor"])
     if text.list:
         text = text.__class__(F.array_join(text.col, " "), rows.select(F.lit("").alias("x")).schema[0].dataType)
+    return rows, text
+
+
+def sought(relation: Any, index: Any, terms: list[Term]) -> DataFrame:
+    """word, keys and positions of the words that a query names; nothing else is gathered."""
+    rows, text = analyzed_rows(relation, index)
+    analyzer, keys = Analyzer(option_map(index)), relation.key_columns
+    words = analyzer.words(text.col)
+    if words is None:
+        rows = rows.select(*keys, analyzer.column(text.col).alias("_t"))
+        words = F.transform("_t", lambda t: t["word"])
+    spread = rows.select(*keys, words.alias("_words")).select(*keys, F.posexplode("_words").alias("position", "word"))
+    exact = [t.text for t in terms if not t.prefix]
+    wanted = F.col("word").isin(exact) if exact else F.lit(False)
+    for t in terms:
+        if t.prefix:
+            wanted = wanted | F.startswith("word", F.lit(t.text))
+    return spread.where(wanted).groupBy(*keys, "word").agg(F.sort_array(F.collect_list("position")).alias("position"))
+
+
+def postings(relation: Any, index: Any) -> DataFrame:
+    """word, keys, positions, offsets and the document's length in tokens."""
+    options = option_map(index)
+    rows, text = analyzed_rows(relation, index)
     keys = relation.key_columns
     tokens = rows.select(*keys, Analyzer(options).column(text.col).alias("_t")).where("_t is not null")
     spread = tokens.select(*keys, F.size("_t").alias("total_length"), F.posexplode("_t").alias("position", "_x"))
@@ -124,20 +162,6 @@ def postings(relation: Any, index: Any) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Term:
-    text: str
-    prefix: bool = False
-    boost: float = 1.0
-
-
-@dataclass(frozen=True)
-class Group:
-    op: str  # and, or, not, near
-    parts: tuple
-    distance: int = 10
-
-
 class QueryParser:
     """Terms, ``*`` prefixes, ``^`` boosts, AND, OR, NOT, NEAR/d(...), quotes and brackets."""
 
@@ -214,6 +238,10 @@ class QueryParser:
         return Term(text, prefix, boost)
 
 
+def terms_of(node: Any) -> list[Term]:
+    return [node] if isinstance(node, Term) else [t for p in node.parts for t in terms_of(p)]
+
+
 def tokenized(node: Any, analyzer: Analyzer) -> Any:
     """Terms as the index's tokens; several tokens of one term must all be there."""
     if isinstance(node, Group):
@@ -282,14 +310,14 @@ def full_text(relation: Any, index: Any, rows: DataFrame, condition: Column, que
         raise A.ScriptError("a text search needs a positive k")
     kind = constant("score_kind", "tf_idf")
     analyzer, keys = Analyzer(option_map(index)), relation.key_columns
-    words, _ = written(postings(relation, index))
     total = rows.count() if kind == "tf_idf" else 0
     texts = [r["_q"] for r in queries.limit(1001).collect() if r["_q"] is not None]
     if len(texts) > 1000:
         raise A.ScriptError("a text search takes at most 1000 different queries at once")
+    nodes = {text: tokenized(QueryParser(text).parse(), analyzer) for text in texts}
+    words, _ = written(sought(relation, index, [t for n in nodes.values() for t in terms_of(n)]))
     out = None
-    for text in texts:
-        node = tokenized(QueryParser(text).parse(), analyzer)
+    for text, node in nodes.items():
         scores = TextScores(words, keys, total, kind == "tf_idf").run(node).select(F.lit(text).alias("_q"), *keys, "_score")
         out = scores if out is None else out.union(scores)
     if out is None:

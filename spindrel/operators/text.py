@@ -193,6 +193,24 @@ class Analyzer:
     def __call__(self, text: str) -> list[Token]:
         return analyzed(self.key(), text)
 
+    def words(self, text: Column) -> Column | None:
+        """array<string> of the tokens by Spark's own functions; None where they cannot express the chain."""
+        split = {"Raw": F.array(text), "Simple": F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), "Whitespace": F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))}
+        out = split.get(self.tokens[0])
+        for name, args in self.filters:
+            if out is None:
+                return None
+            if name in ("Lowercase", "LowerCase"):
+                out = F.transform(out, F.lower)
+            elif name == "RemoveLong":
+                out = F.filter(out, lambda t, n=int(args[0]): F.octet_length(t) < n)
+            elif name == "Stopwords":
+                stop = list(args[0]) if args and isinstance(args[0], tuple) else STOPWORDS.get(str(args[0]) if args else "en", [])
+                out = F.filter(out, lambda t, stop=stop: ~t.isin(stop)) if stop else None
+            else:
+                return None
+        return out
+
     def column(self, text: Column) -> Column:
         """array<struct<word, start, end>> of a text column."""
         key = self.key()

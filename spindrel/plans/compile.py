@@ -47,7 +47,7 @@ class Body:
 
     def frame(self) -> DataFrame:
         if self.df is None:
-            self.df = self.evaluator.spark.range(1).select(F.lit(0).alias("_unit"))
+            self.df = self.evaluator.spark.range(0, 1, 1, 1).select(F.lit(0).alias("_unit"))
         return self.df
 
     def scope(self) -> Scope:

@@ -481,7 +481,7 @@ add(
     "walk first",
     None,
 )
-add("graph_yen", _NEAR + "s[n] <- [[0]]  g[n] <- [[7]]  p[] <~ KShortestPathYen(near[], s[], g[], k: 3)  ?[c, q] := p[_, _, c, q]", "cost path", None, "path")
+add("graph_yen", TRADE + "s[n] <- [[0]]  g[n] <- [[7]]  p[] <~ KShortestPathYen(trade[], s[], g[], k: 3)  ?[c, q] := p[_, _, c, q]", "cost path", None, "path")
 add(
     "graph_dfs",
     TRADE + "s[n] <- [[0]]  p[] <~ DFS(trade[a, b], *nation{n_nationkey, n_name}, s[], condition: n_name == 'NATION_7')  ?[a, b] := p[a, b, _]",
