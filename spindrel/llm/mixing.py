@@ -165,3 +165,51 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", F.struct("*").alias("_row"))
     repeated = rows.join(share, rows["doc_id"].eqNullSafe(share["_id"]))
     return repeated.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+
+
+def _oracle() -> str:
+    """DuckDB text of ``op5_mixing``: the same apportionment by windows."""
+
+    def apportioned(name: str, parties: str, votes: str, seats: str, within: str, order: str) -> str:
+        group = f"PARTITION BY {within}" if within else ""
+        bound = lambda sign: f"CASE WHEN total > 0 AND s {sign} n / 2.0::DOUBLE > 0 THEN floor({votes} * (s {sign} n / 2.0::DOUBLE) / total + 0.5)::BIGINT ELSE 0 END"
+        keys = ", ".join(x for x in (within, order) if x)
+        return f"""
+{name}0 AS (SELECT *, {seats}::DOUBLE AS s, sum({votes}) OVER ({group})::DOUBLE AS total, count(*) OVER ({group}) AS n FROM {parties}),
+{name}1 AS (SELECT *, {bound("-")} AS low, {bound("+")} AS most FROM {name}0),
+{name}2 AS (SELECT *, s::BIGINT - sum(low) OVER ({group}) AS seats_left, greatest(low, most) AS high FROM {name}1),
+{name}3 AS (SELECT {keys}, {votes} AS v, seats_left, unnest(range(low + 1, high + 1)) AS k FROM {name}2 WHERE high > low),
+{name}4 AS (SELECT *, row_number() OVER ({group} ORDER BY v / (2 * k - 1)::DOUBLE DESC, {order}, k) AS seat FROM {name}3),
+{name}5 AS (SELECT {keys}, count(*) AS more FROM {name}4 WHERE seat <= seats_left GROUP BY {keys}),
+{name} AS (SELECT {name}2.*, low + coalesce(more, 0) AS quota FROM {name}2 LEFT JOIN {name}5 USING ({keys}))"""
+
+    weights = ", ".join(f"{w}.0" for w in WEIGHTS)
+    return rf"""
+WITH sizes AS (
+  SELECT doc_id, source IS NULL AS nil, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+by0 AS (SELECT nil, src, sum(size)::BIGINT AS source_size FROM sizes GROUP BY 1, 2),
+by1 AS (SELECT *, [{weights}][((row_number() OVER (ORDER BY nil, src)) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS weight, source_size * {MOST}.0::DOUBLE AS cap FROM by0),
+by2 AS (SELECT *, row_number() OVER f AS place,
+  ((sum(source_size) OVER ()) * {SHARE}::DOUBLE - coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM by1 WINDOW f AS (ORDER BY cap / weight, nil, src)),
+by3 AS (SELECT *, (SELECT arg_min(level, place) FROM by2 WHERE cap > level * weight) AS free FROM by2),
+goal0 AS (SELECT nil, src, source_size, least(cap, coalesce(free * weight, cap)) AS target FROM by3),
+goal1 AS (SELECT *, round((sum(target) OVER ()) / {BLOCK}) AS seats FROM goal0),
+{apportioned("goal2", "goal1", "target", "seats", "", "nil, src")},
+goal AS (SELECT nil, src, source_size, target, quota AS blocks, ceil(greatest(source_size, 1) / {SHARD_WORDS}.0)::BIGINT AS shards FROM goal2),
+laid0 AS (SELECT *, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM sizes JOIN goal USING (nil, src)),
+laid AS (SELECT *, ('0x' || substr(digest, 1, 8))::BIGINT % shards AS shard FROM laid0),
+shards0 AS (SELECT nil, src, shard, sum(size)::BIGINT AS words, min(blocks) AS source_blocks FROM laid GROUP BY 1, 2, 3),
+{apportioned("shards1", "shards0", "words", "source_blocks", "nil, src", "shard")},
+run0 AS (SELECT nil, src, shard, words, greatest(ceil(words / {BLOCK}.0)::BIGINT, 1) AS whole, quota FROM shards1),
+run1 AS (SELECT *, least(quota, {MOST} * whole) AS q, ('0x' || substr(md5('{SEED}#' || src || '#' || shard::VARCHAR), 1, 8))::BIGINT % whole AS first FROM run0),
+run AS (SELECT nil, src, shard, q // whole AS turns, first * {BLOCK} AS lo, least((first + q % whole) * {BLOCK}, words) AS hi, greatest(0, (first + q % whole - whole) * {BLOCK}) AS wrapped FROM run1),
+placed AS (SELECT *, (sum(size) OVER (PARTITION BY nil, src, shard ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS finish FROM laid)
+SELECT doc_id, size, source_size, target,
+  (turns * size + greatest(0, least(finish, hi) - greatest(finish - size, lo)) + greatest(0, least(finish, wrapped) - greatest(finish - size, 0)))::BIGINT AS taken
+FROM placed JOIN run USING (nil, src, shard)
+"""
+
+
+ORACLE = _oracle()

@@ -26,5 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_duplicates": neardup.ORACLE,
+        "op3_chat": chat.ORACLE,
         "op4_urls": urls.ORACLE,
+        "op5_mixing": mixing.ORACLE,
     }
