@@ -19,23 +19,30 @@ from pyspark.sql import types as T
 
 from spindrel.operators.fixed import Context, algorithm
 from spindrel.plans import ast as A
-from spindrel.sources.durable import delete, written
+from spindrel.sources.durable import counted, delete, observed, written
 
 SEQUENTIAL_EDGES = 2_000_000
 
 
 class Rounds:
-    """A table that is rewritten in every round; the last version but one is deleted."""
+    """A table that is rewritten in every round; the last version but one is deleted.
 
-    def __init__(self, df: DataFrame):
+    ``live`` counts the rows that meet a condition, gathered while they are written.
+    """
+
+    def __init__(self, df: DataFrame, live: str = "true"):
         self.spark = df.sparkSession
-        self.df, self.path = written(df)
+        self.condition = live
+        self.df, self.path, self.live = None, None, 0
+        self.advance(df)
 
-    def advance(self, df: DataFrame) -> DataFrame:
-        new, path = written(df)
-        delete(self.spark, self.path)
-        self.df, self.path = new, path
-        return new
+    def advance(self, df: DataFrame, **metrics: Any) -> dict:
+        held = F.count(F.when(F.expr(self.condition), 1))
+        new, path, seen = observed(df, _live=held, **metrics)
+        if self.path:
+            delete(self.spark, self.path)
+        self.df, self.path, self.live = new, path, seen["_live"]
+        return seen
 
 
 def collected(edges: DataFrame, what: str) -> list[Any]:
@@ -70,7 +77,7 @@ def merged_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     edges = Rounds(links.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct())
     every = written(nodes.distinct())[0]
     merges: list[DataFrame] = []
-    while not edges.df.isEmpty():
+    while edges.live:
         key = lambda col: F.xxhash64(F.lit(len(merges)), F.col(col))  # noqa: E731, B023
         both = edges.df.union(edges.df.select("b", "a"))
         near = both.groupBy("a").agg(F.min_by("b", key("b")).alias("other"))
@@ -113,14 +120,15 @@ def connected_components(c: Context) -> DataFrame:
 
 def spread_min(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Smallest label reaching each node along the edges (labels: node, label)."""
-    state = Rounds(labels.select("node", "label", F.lit(True).alias("moved")))
+    state = Rounds(labels.select("node", "label", F.lit(True).alias("moved")), "moved")
     while True:
         live = state.df.where("moved").select(F.col("node").alias("src"), F.col("label").alias("offer"))
         best = edges.join(live, "src").groupBy(F.col("dst").alias("node")).agg(F.min("offer").alias("offer"))
         after = state.df.join(best, "node", "left").select(
             "node", F.least("label", "offer").alias("label"), F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("moved")
         )
-        if state.advance(after).where("moved").isEmpty():
+        state.advance(after)
+        if not state.live:
             return state.df.select("node", "label")
 
 
@@ -135,7 +143,7 @@ def strongly_connected(c: Context) -> DataFrame:
     nodes, _ = written(nodes)
     left_edges, left = Rounds(e), Rounds(nodes)
     found: list[DataFrame] = []
-    while not left.df.isEmpty():
+    while left.live:
         colour, _ = written(spread_min(left_edges.df, left.df.select("node", F.col("node").alias("label"))))
         mine = colour.toDF("src", "cs")
         within = left_edges.df.join(mine, "src").join(colour.toDF("dst", "cd"), "dst").where("cs = cd").select("src", "dst")
@@ -153,13 +161,14 @@ def strongly_connected(c: Context) -> DataFrame:
 
 def spread_min_from(reverse: DataFrame, colour: DataFrame) -> DataFrame:
     """Nodes that reach the root of their colour: node, component."""
-    reached = Rounds(colour.where("node = label").select("node", F.col("label").alias("component"), F.lit(True).alias("new")))
+    reached = Rounds(colour.where("node = label").select("node", F.col("label").alias("component"), F.lit(True).alias("new")), "new")
     while True:
         live = reached.df.where("new").select(F.col("node").alias("src"), "component")
         more = reverse.join(live, "src").select(F.col("dst").alias("node"), "component").distinct()
         fresh = more.join(reached.df.select("node"), "node", "left_anti").select("node", "component", F.lit(True).alias("new"))
         old = reached.df.select("node", "component", F.lit(False).alias("new"))
-        if reached.advance(old.unionByName(fresh)).where("new").isEmpty():
+        reached.advance(old.unionByName(fresh))
+        if not reached.live:
             return reached.df.select("node", "component")
 
 
@@ -176,13 +185,14 @@ def pagerank(c: Context) -> DataFrame:
     # every edge with its source's share, dealt by source once
     edges, _ = written(e.join(counts, "src").select("src", "dst", "outs").repartition("src"))
     state = Rounds(nodes.select("node", "outs", F.lit(1.0 / n).alias("rank")))
+    loose = nodes.where("outs is null").count() / n
     for _ in range(iterations):
-        loose = state.df.where("outs is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         sent = edges.join(state.df.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("outs")).alias("got"))
         base = (1 - theta) / n + theta * loose / n
         after = state.df.join(sent, "node", "left").select("node", "outs", F.col("rank").alias("before"), (F.lit(base) + theta * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        moved = state.advance(after).agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
-        if moved < epsilon:
+        seen = state.advance(after, moved=F.sum(F.abs(F.col("rank") - F.col("before"))), loose=F.sum(F.when(F.col("outs").isNull(), F.col("rank"))))
+        loose = seen["loose"] or 0.0
+        if seen["moved"] < epsilon:
             break
     return state.df.select("node", "rank")
 
@@ -307,8 +317,8 @@ def kruskal(c: Context) -> DataFrame:
     chosen: list[DataFrame] = []
     while True:
         named = e.join(labels.toDF("src", "x"), "src").join(labels.toDF("dst", "y"), "dst").where("x <> y")
-        named, _ = written(named)
-        if named.isEmpty():
+        named, _, left = counted(named)
+        if not left:
             break
         edge = F.struct("weight", "src", "dst")
         best = named.select(F.col("x").alias("own"), edge.alias("edge")).union(named.select("y", edge)).groupBy("own").agg(F.min("edge").alias("edge"))
@@ -364,8 +374,8 @@ def top_sort(c: Context) -> DataFrame:
     left_edges, nodes = Rounds(e), Rounds(all_nodes(e))
     layers: list[DataFrame] = []
     while True:
-        free, _ = written(nodes.df.join(left_edges.df.select(F.col("dst").alias("node")), "node", "left_anti"))
-        if free.isEmpty():
+        free, _, count = counted(nodes.df.join(left_edges.df.select(F.col("dst").alias("node")), "node", "left_anti"))
+        if not count:
             break
         layers.append(free.select(F.lit(len(layers)).alias("layer"), "node"))
         nodes.advance(nodes.df.join(free, "node", "left_anti"))
@@ -391,7 +401,8 @@ def label_propagation(c: Context) -> DataFrame:
         # half of the nodes move in a round, so that two neighbours do not swap for ever
         turn = F.pmod(F.shiftright("h", step % 60), F.lit(2)) == 0
         after = state.df.join(best, "node", "left").select("node", "h", F.col("label").alias("before"), F.when(turn, F.coalesce("best", "label")).otherwise(F.col("label")).alias("label"))
-        if state.advance(after).where("before <> label").isEmpty() and step:
+        changed = state.advance(after, changed=F.count(F.when(F.col("before") != F.col("label"), 1)))["changed"]
+        if not changed and step:
             break
     return state.df.select("label", "node")
 
@@ -475,7 +486,7 @@ def random_walk(c: Context) -> DataFrame:
     e = written(source.df.select(source.column(0).alias("src"), source.column(1).alias("dst"), weight.alias("w")).where("w > 0"))[0]
     starts = c.input(2 if c.has(2) else 1).nodes().distinct()
     first = starts.select("node", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("turn"))
-    state = Rounds(first.select(F.monotonically_increasing_id().alias("walk"), F.col("node").alias("start"), F.array("node").alias("path"), F.col("node").alias("at"), F.lit(True).alias("live")))
+    state = Rounds(first.select(F.monotonically_increasing_id().alias("walk"), F.col("node").alias("start"), F.array("node").alias("path"), F.col("node").alias("at"), F.lit(True).alias("live")), "live")
     for _ in range(steps):
         options = state.df.where("live").join(e, F.col("at") == F.col("src")).withColumn("draw", F.ln(1 - F.rand()) / F.col("w"))
         # the largest u^(1/w) is a draw in proportion to the weights
@@ -485,6 +496,7 @@ def random_walk(c: Context) -> DataFrame:
             "walk", "start", F.when(F.col("next").isNotNull(), F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path"),
             F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("live"),
         )
-        if state.advance(after).where("live").isEmpty():
+        state.advance(after)
+        if not state.live:
             break
     return state.df.select("walk", "start", "path")

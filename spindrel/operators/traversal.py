@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spindrel.operators.fixed import Context, algorithm
 from spindrel.operators.graph import Rounds, adjacency, collected, node_type, sort_key
 from spindrel.plans import ast as A
-from spindrel.sources.durable import written
+from spindrel.sources.durable import counted, written
 
 
 def tested(c: Context) -> DataFrame:
@@ -36,14 +36,14 @@ def bfs(c: Context) -> DataFrame:
     front = Rounds(starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path")))
     found: list[DataFrame] = []
     count = 0
-    while count < limit and not front.df.isEmpty():
+    while count < limit and front.live:
         step = front.df.withColumnRenamed("node", "src").join(e, "src").join(seen.df.select(F.col("node").alias("dst")), "dst", "left_anti")
         best = step.groupBy(F.col("dst").alias("node")).agg(F.min_by(F.struct("start", "path"), F.struct("start", "path")).alias("b"))
         front.advance(best.select("b.start", "node", F.array_append("b.path", F.col("node")).alias("path")))
         seen.advance(seen.df.union(front.df.select("node")))
-        hits = written(front.df.join(wanted, "node", "left_semi").select("start", F.col("node").alias("found"), "path"))[0]
+        hits, _, more = counted(front.df.join(wanted, "node", "left_semi").select("start", F.col("node").alias("found"), "path"))
         found.append(hits)
-        count += hits.count()
+        count += more
     if not found:
         return front.df.select("start", F.col("node").alias("found"), "path").limit(0)
     out = found[0]
@@ -90,7 +90,7 @@ def shortest_bfs(c: Context) -> DataFrame:
         fresh = step.join(seen.df.select("start", "node"), ["start", "node"], "left_anti")
         hops += 1
         fresh = fresh.select("start", "node", F.array_append("path", F.col("node")).alias("path"), F.lit(hops).alias("hops"))
-        if seen.advance(seen.df.unionByName(fresh)).where(F.col("hops") == hops).isEmpty():
+        if not seen.advance(seen.df.unionByName(fresh), fresh=F.count(F.when(F.col("hops") == hops, 1)))["fresh"]:
             break
     pairs = starts.select(F.col("node").alias("start")).crossJoin(ends.select(F.col("node").alias("end")))
     known = seen.df.where("hops > 0").select(F.col("start").alias("s"), F.col("node").alias("n"), "path")
@@ -99,7 +99,7 @@ def shortest_bfs(c: Context) -> DataFrame:
 
 def cheapest(e: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node, cost, path: all cheapest paths, rounds of relaxing what moved last."""
-    state = Rounds(starts.select(F.col("node").alias("start"), "node", F.lit(0.0).alias("cost"), F.array("node").alias("path"), F.lit(True).alias("moved")))
+    state = Rounds(starts.select(F.col("node").alias("start"), "node", F.lit(0.0).alias("cost"), F.array("node").alias("path"), F.lit(True).alias("moved")), "moved")
     while True:
         live = state.df.where("moved").select("start", F.col("node").alias("src"), "cost", "path")
         offers = live.join(e, "src").select("start", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), "path")
@@ -111,7 +111,8 @@ def cheapest(e: DataFrame, starts: DataFrame) -> DataFrame:
             "start", "node", F.when(better, F.col("o.cost")).otherwise(F.col("cost")).alias("cost"),
             F.when(better, F.array_append("o.path", F.col("node"))).otherwise(F.col("path")).alias("path"), better.alias("moved"),
         )
-        if state.advance(after).where("moved").isEmpty():
+        state.advance(after)
+        if not state.live:
             return state.df.select("start", "node", "cost", "path")
 
 
@@ -146,7 +147,7 @@ def tied(e: DataFrame, best: DataFrame) -> DataFrame:
     reached = best.where(F.col("cost") < float("inf"))
     open_ = Rounds(reached.select("start", "end", "cost", F.array("end").alias("path"), F.col("end").alias("at")))
     done: list[DataFrame] = []
-    while not open_.df.isEmpty():
+    while open_.live:
         done.append(written(open_.df.where("at = start").select("start", "end", "cost", "path"))[0])
         back = open_.df.where("at <> start").join(tight.toDF("start", "src", "at"), ["start", "at"])
         open_.advance(back.where(~F.array_contains("path", F.col("src"))).select("start", "end", "cost", F.array_prepend("path", F.col("src")).alias("path"), F.col("src").alias("at")))

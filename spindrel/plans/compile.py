@@ -17,7 +17,7 @@ from spindrel.functions import aggregates as G
 from spindrel.plans import ast as A
 from spindrel.plans.analyze import ENTRY, Definition, ordered, recursive, strata
 from spindrel.plans.expressions import JSON_FLAG, Scope, flagged
-from spindrel.sources.durable import delete, written
+from spindrel.sources.durable import counted, delete, written
 
 MAX_ROUNDS = 10_000
 #: Deltas are merged into one table whenever so many have gathered.
@@ -363,12 +363,13 @@ class Evaluator:
         found = {n: self.base(self.rules[n], inside) for n in group}
         self.settle_types(group, found, inside)
         self.total, self.fresh = {}, {}
+        size: dict[str, int] = {}
         for name in group:
-            df, path = written(found[name])
+            df, path, size[name] = counted(found[name])
             self.total[name] = self.fresh[name] = df
             kept[name].append((df, path))
         for _ in range(MAX_ROUNDS):
-            live = {n for n in group if not self.fresh[n].isEmpty()}
+            live = {n for n in group if size[n]}
             if not live:
                 break
             after: dict[str, DataFrame] = {}
@@ -381,10 +382,10 @@ class Evaluator:
                 if d.aggregates:
                     merged, path = written(aggregated(self.total[name].union(after[name]), merge_head(d), True))
                     fresh[name] = null_safe_minus(merged, self.total[name], columns)
-                    fresh[name], _ = written(fresh[name])
+                    fresh[name], _, size[name] = counted(fresh[name])
                     kept[name] = [(merged, path)]
                 else:
-                    fresh[name], path = written(null_safe_minus(after[name].dropDuplicates(), self.total[name], columns))
+                    fresh[name], path, size[name] = counted(null_safe_minus(after[name].dropDuplicates(), self.total[name], columns))
                     kept[name].append((fresh[name], path))
             for name in group:
                 self.fresh[name] = fresh[name]

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 
@@ -37,6 +38,19 @@ def written(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, str, dict]:
+    """``written`` with aggregates of the rows that are gathered while they are written."""
+    seen = Observation()
+    table, path = written(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]))
+    return table, path, seen.get
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, str, int]:
+    """``written``, and the number of rows without another job."""
+    table, path, seen = observed(df, n=F.count(F.lit(1)))
+    return table, path, seen["n"]
+
+
 @atexit.register
 def _clean() -> None:
     for path, spark in list(_written.items()):
