@@ -35,14 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrel.llm.common import discard, materialize, table
+from spindrel.llm.common import discard, materialize, small_batches, table
 
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 50, 5
 SEED = 20
-CHUNK_BYTES = 1 << 21
-GROUP_SHINGLES = 1 << 18
+CHUNK_BYTES = 1 << 19
+BATCH_ROWS = 1_000
+GROUP_SHINGLES = 1 << 17
 
 U = np.uint64
 _random = np.random.default_rng(SEED)
@@ -418,6 +419,10 @@ class NearDuplicates:
         labels: node, component; links: a, b between representatives, enough of them to
         span every component.
         """
+        with small_batches(self.spark, BATCH_ROWS):
+            return self._classes()
+
+    def _classes(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         signed = self.signatures()
         some = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         classes = materialize(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")))[0]
