@@ -38,7 +38,7 @@ SAMPLE_DOCS = 200
 SAMPLE_SYMBOLS = 24_000
 SYMBOLS = 64
 BLOCK = 256
-BATCH_SYMBOLS = 2_000_000
+BATCH_SYMBOLS = 500_000
 UNKNOWN = "und"
 HELD_OUT = (4, 2)
 
