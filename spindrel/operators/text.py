@@ -15,12 +15,13 @@ from pyspark.sql import types as T
 
 from spindrel.plans import ast as A
 
-#: Common words of English that an index may leave out.
+#: Common words that an index may leave out, by language.
 STOPWORDS = {
-    "en": (
-        "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
-    ).split()
-}
+    "en": "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split(),
+    "de": "aber als am an auch auf aus bei bin bis da das dem den der des die doch du ein eine einem einen einer er es für hat ich ihr im in ist ja mit nach nicht noch nur oder sich sie sind so um und uns von vor war was wenn wer wie wir zu zum zur".split(),
+    "fr": "à au aux avec ce ces dans de des du elle en et eux il ils je la le les leur lui ma mais me mes moi mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une vos votre vous".split(),
+    "es": "a al algo como con de del desde donde el ella ellos en entre era es esta este esto fue ha hay la las le les lo los más me mi mis muy no nos o para pero por que se ser sin sobre su sus también te tu un una uno y ya yo".split(),
+}
 Token = tuple[str, int, int]  # text, from, to
 
 
