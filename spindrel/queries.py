@@ -470,7 +470,22 @@ add(
     "WITH RECURSIVE t AS (SELECT n_nationkey AS a, n_regionkey AS c FROM nation UNION SELECT t.a, n_regionkey FROM t JOIN nation ON n_nationkey = t.c), n AS (SELECT n_nationkey AS n FROM nation UNION SELECT n_regionkey FROM nation) "
     "SELECT n.n, least(n.n, coalesce((SELECT min(x.c) FROM t x JOIN t y ON y.a = x.c AND y.c = n.n WHERE x.a = n.n), n.n))::BIGINT AS r FROM n",
 )
-add("graph_pagerank", SUPPLY + "?[] <~ PageRank(e[], undirected: true, iterations: 10)", "node rank", None)
+
+
+def ranked(rounds: int = 10) -> str:
+    """SQL of so many rounds of power iteration over the supply graph, both ways."""
+    steps = [
+        "u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)",
+        "outs AS (SELECT a AS n, count(*) AS k FROM u GROUP BY 1)",
+        "size AS (SELECT count(*)::DOUBLE AS m FROM outs)",
+        "r0 AS (SELECT n, k, 1 / m AS r FROM outs, size)",
+    ]
+    for i in range(1, rounds + 1):
+        steps.append(f"r{i} AS (SELECT b AS n, any_value(t.k) AS k, 0.15 / any_value(m) + 0.85 * sum(s.r / s.k) AS r FROM u JOIN r{i - 1} s ON s.n = a JOIN outs t ON t.n = b, size GROUP BY 1)")
+    return f"WITH {SUPPLY_SQL}, {', '.join(steps)} SELECT n AS node, round(r * 1000000) / 1000000 AS rank FROM r{rounds}"
+
+
+add("graph_pagerank", SUPPLY + "p[] <~ PageRank(e[], undirected: true, iterations: 10, epsilon: 0.0)  ?[n, r] := p[n, x], r = round(x * 1000000) / 1000000", "node rank", ranked())
 add("graph_closeness", TRADE + "u[a, b] := trade[a, b, w], w < 2500.0  ?[] <~ ClosenessCentrality(u[], undirected: true)", "node centrality", None)
 add("graph_betweenness", TRADE + "u[a, b] := trade[a, b, w], w < 2500.0  ?[] <~ BetweennessCentrality(u[], undirected: true)", "node centrality", None)
 add("graph_louvain", SUPPLY + "c[] <~ CommunityDetectionLouvain(e[], undirected: true)  ?[n, l] := c[l, n]", "node labels", None, "labels")

@@ -209,3 +209,29 @@ def test_parse_shapes():
     assert len(parse("?[a, b] := a = 1; ?[b, a] := b = 2, a = 3;").rules) == 2
     with pytest.raises(ScriptError, match="line 2"):
         parse("?[x] := x = 1\n:nonsense 1")
+
+
+@pytest.mark.parametrize(
+    "script",
+    [
+        "t[a, b] := e[a, b] t[a, c] := e[a, b], t[b, c] ?[b] := t[1, b]",
+        "t[a, b] := e[a, b] t[a, c] := t[a, b], e[b, c] ?[a] := t[a, 4]",
+        "t[a, b] := e[a, b] t[a, c] := t[a, b], t[b, c] ?[b] := t[5, b]",
+        "t[a, b] := e[a, b] t[x, z] := e[x, y], t[y, z] ?[x, b] := x in [1, 5], t[x, b]",
+        "s[x, y] := e[p, x], e[p, y], x != y s[x, y] := e[p, x], s[p, q], e[q, y] ?[y] := s[4, y]",
+    ],
+)
+def test_bound_recursion_finds_the_same(session, script):
+    bound = run(session, EDGES + script)
+    assert sorted(bound) == sorted(run(session, EDGES + script + " :disable_magic_rewrite true"))
+
+
+def test_demand_reaches_only_what_is_asked():
+    from spindrel.plans.analyze import definitions
+    from spindrel.plans.magic import specialised
+
+    rules = specialised(definitions(parse("t[a, b] := *e[a, b] t[a, c] := *e[a, b], t[b, c] ?[b] := t[3, b]")))
+    assert {"t.bf", "t.demand.bf"} <= set(rules)
+    assert all(body[0].name == "t.demand.bf" for body in rules["t.bf"].bodies)
+    kept = specialised(definitions(parse("t[a, b] := *e[a, b] t[a, c] := *e[a, b], t[b, c] ?[a, b] := t[a, b]")))
+    assert set(kept) == {"t", "?"}
