@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from spindrel.llm.common import id_remainder, table
 
 SAMPLE_DOCS = 200
-SAMPLE_SYMBOLS = 24_000
+SAMPLE_SYMBOLS = 16_000
 SYMBOLS = 64
 BLOCK = 256
 BATCH_SYMBOLS = 500_000
@@ -151,7 +151,7 @@ class Judge:
         return names, scores
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def judge_of(key: str, samples: tuple[tuple[str, str], ...]) -> Judge:
     """Built once in a worker process and kept over its tasks."""
     return Judge(samples)

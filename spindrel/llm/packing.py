@@ -31,7 +31,7 @@ CAPACITY = 2048
 END_ID = 1
 WINDOW_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-CACHE_WORDS = 700_000
+CACHE_WORDS = 350_000
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
