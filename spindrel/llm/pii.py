@@ -62,8 +62,8 @@ KINDS: tuple[tuple[str, str], ...] = (
     ("name", rf"\b(?:{_titles})\.? {_capital}(?: {_capital})?"),
 )
 FINDER = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS))
-#: A line without any of these holds no entity; no entity spans lines.
-HINT = re.compile(rf"[@\d]|(?<!\w)[{''.join(sorted({t[0] for t in (*TITLES_F, *TITLES_M, *TITLES_N)}))}][a-z]+\.? {_capital}")
+#: A line without any of these holds no entity; no entity spans lines.  Secrets of letters alone count too.
+HINT = re.compile(rf"[@\d]|\bA[KS]IA|\bgh[pousr]_|\bsk-|token = \"|TOKEN = \"|(?<!\w)[{''.join(sorted({t[0] for t in (*TITLES_F, *TITLES_M, *TITLES_N)}))}][a-z]+\.? {_capital}")
 LETTERS = {"A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "a": "abcdefghijklmnopqrstuvwxyz", "0": "0123456789", "f": "0123456789abcdef", "F": "0123456789ABCDEF"}
 
 
