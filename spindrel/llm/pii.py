@@ -8,14 +8,19 @@ tokens, assigned tokens) and names behind a title.  A surrogate keeps its entity
   keyed Feistel permutation over the entity's own mixed-radix number, so that equal
   entities get equal surrogates in every document (coreference) and different entities
   of a format different ones (distinctness) without any table of what was seen;
-* fixed parts keep their meaning: mail goes to a reserved domain, a card number stays a
+* fixed parts keep their meaning: mail goes to a reserved domain (a permuted local part, and
+  a 128-bit keyed tag in place of the domain), a card number stays a
   card number by its check digit, each part of an address stays below 256, a country
   code stays;
-* names are drawn from lists by gender (from the title) and script.
+* words of names are permuted within their script, vowels to vowels and consonants to
+  consonants, whatever their case, so a family name has one surrogate behind any title and
+  in any document; behind a title with gender, two Latin words get a given name of
+  that gender (any gender without one) in front, and the permuted ones follow it.
 
-A collision check walks the permutation on (cycle walking) while a surrogate is the
-entity itself or any other text detected in the document, and drawn names are moved on
-while another entity of the document has them; so distinct entities stay distinct.
+Collisions are excluded by construction: a surrogate depends on its entity and the key
+alone, never on its document, and the permutations are single cycles, so that no entity of a
+format with two members or more is its own surrogate.  Spellings that differ in case only
+(names, mail domains) or in the marks of a card number are one entity.
 
 Defined results: a null text stays null with no entities, an empty one stays empty;
 overlapping detections go to the kind listed first; repeated rows get equal results;
@@ -27,7 +32,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +46,9 @@ from spindrel.llm.common import table
 KEY = b"spindrel-surrogates"
 ROUNDS = 6
 
-#: First names by gender, family names, titles by gender.
+#: First names and titles by gender.
 FEMALE = ("Alice", "Clara", "Edith", "Grace", "Irene", "Karin", "Maria", "Nadia", "Olivia", "Paula", "Ruth", "Sonia", "Teresa", "Ursula", "Vera", "Wanda")
 MALE = ("Albert", "Bruno", "Carlos", "David", "Edgar", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Louis", "Martin", "Oscar", "Peter", "Victor")
-FAMILY = ("Adler", "Bauer", "Castro", "Dupont", "Evans", "Fischer", "Garcia", "Hansen", "Ibsen", "Jensen", "Keller", "Lopez", "Moreau", "Novak", "Olsen", "Petit", "Quinn", "Romero", "Santos", "Turner", "Unger", "Vidal", "Weber", "Young")
-GREEK = ("Αλεξίου", "Βασιλείου", "Γεωργίου", "Δημητρίου", "Ευαγγέλου", "Ιωάννου", "Κωνσταντίνου", "Νικολάου")
-CYRILLIC = ("Алексеев", "Борисов", "Васильев", "Григорьев", "Дмитриев", "Егоров", "Иванов", "Кузнецов")
 TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Sra", "Srta", "Madame")
 TITLES_M = ("Mr", "Herr", "Mister", "Sr", "Monsieur")
 TITLES_N = ("Dr", "Prof")
@@ -64,22 +68,37 @@ KINDS: tuple[tuple[str, str], ...] = (
 FINDER = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS))
 #: A line without any of these holds no entity; no entity spans lines.  Secrets of letters alone count too.
 HINT = re.compile(rf"[@\d]|\bA[KS]IA|\bgh[pousr]_|\bsk-|token = \"|TOKEN = \"|(?<!\w)[{''.join(sorted({t[0] for t in (*TITLES_F, *TITLES_M, *TITLES_N)}))}][a-z]+\.? {_capital}")
+#: Sets that letters of names, in lower case, are permuted within; other letters stay in their block of 128.
+NAME_SETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çðñþýÿ", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ", "ς", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "ъь")
 LETTERS = {"A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "a": "abcdefghijklmnopqrstuvwxyz", "0": "0123456789", "f": "0123456789abcdef", "F": "0123456789ABCDEF"}
 
 
 def permute(number: int, size: int, key: bytes) -> int:
-    """A keyed permutation of range(size): a balanced Feistel network with cycle walking."""
+    """A keyed permutation of range(size) that is one cycle: no number stays, if there are two.
+
+    The next number in the order of a balanced Feistel network with cycle walking.
+    """
     if size < 2:
         return number
+    return _feistel((_feistel(number, size, key, range(ROUNDS)) + 1) % size, size, key, range(ROUNDS - 1, -1, -1))
+
+
+def _feistel(number: int, size: int, key: bytes, rounds: range) -> int:
+    """The network's permutation of range(size), or its inverse by descending rounds."""
     half = max(1, -(-(size - 1).bit_length() // 2))
     mask = (1 << half) - 1
     width = -(-half // 8)
+    back = rounds.step < 0
     while True:
         left, right = number >> half, number & mask
-        for r in range(ROUNDS):
+        if back:
+            left, right = right, left
+        for r in rounds:
             digest = hmac.digest(key, bytes([r]) + right.to_bytes(width, "big"), "sha256")
             stream = digest if width <= 32 else hashlib.shake_256(digest).digest(width)
             left, right = right, left ^ (int.from_bytes(stream[:width], "big") & mask)
+        if back:
+            left, right = right, left
         number = left << half | right
         if number < size:
             return number
@@ -94,7 +113,10 @@ def _alphabets(text: str, base16: bool) -> list[str | None]:
 
 def reshape(text: str, key: bytes, base16: bool = False) -> str:
     """Permute the characters that have an alphabet, as one number."""
-    sets = _alphabets(text, base16)
+    return _permuted(text, _alphabets(text, base16), key)
+
+
+def _permuted(text: str, sets: list[str | None], key: bytes) -> str:
     number, size = 0, 1
     for c, s in zip(text, sets, strict=True):
         if s:
@@ -120,11 +142,11 @@ def luhn(digits: str) -> str:
 def _email(text: str, key: bytes) -> str:
     local, _, domain = text.partition("@")
     upper = local.upper() == local and local.lower() != local
-    tag = hmac.digest(key, domain.lower().encode(), "sha256").hex()[:6]
+    tag = hmac.digest(key, domain.lower().encode(), "sha256").hex()[:32]
     moved = reshape("".join(c if c.isascii() else "x" for c in local), key)
     if not local.isascii():  # letters outside the alphabets: told apart by a tag
-        moved += hmac.digest(key, local.encode(), "sha256").hex()[:8]
-    new = f"{moved}@m{tag}.example.org"
+        moved += hmac.digest(key, local.encode(), "sha256").hex()[:32]
+    new = f"{moved}@{'m' if local.isascii() else 'u'}{tag}.example.org"
     return new.upper() if upper else new
 
 
@@ -165,21 +187,46 @@ def _iban(text: str, key: bytes) -> str:
     return text[:2] + reshape(text[2:], key)
 
 
+def _caseless(c: str) -> bool:
+    """Whether a lower-case letter has a capital that leads back to it."""
+    return len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c
+
+
+@lru_cache(maxsize=4096)
+def _name_set(c: str) -> str | None:
+    """The letters that ``c``, in lower case if it has one, is drawn from."""
+    for s in (*NAME_SETS, LETTERS["0"]):
+        if c in s:
+            return s
+    if not c.isalnum():
+        return None
+    like = lambda x: (unicodedata.category(x), _caseless(x))
+    block = ord(c) & ~127
+    return "".join(x for x in map(chr, range(block, block + 128)) if like(x) == like(c) and not any(x in s for s in NAME_SETS))
+
+
+def _word(text: str, key: bytes) -> str:
+    """A word of a name, permuted in lower case; its capitals come back."""
+    upper = [c != c.lower() and len(c.lower()) == 1 and _caseless(c.lower()) and c.lower().upper() == c for c in text]
+    low = "".join(c.lower() if u else c for c, u in zip(text, upper, strict=True))
+    new = _permuted(low, [_name_set(c) for c in low], key)
+    return "".join(c.upper() if u else c for c, u in zip(new, upper, strict=True))
+
+
 def _name(text: str, key: bytes) -> str:
     title, _, rest = text.partition(" ")
     bare = title.rstrip(".")
-    draw = int.from_bytes(hmac.digest(key, rest.lower().encode(), "sha256")[:8], "big")
-    script = GREEK if re.search("[Ͱ-Ͽ]", rest) else CYRILLIC if re.search("[Ѐ-ӿ]", rest) else FAMILY
-    family = script[draw % len(script)]
+    words = " ".join(_word(w, key) for w in rest.split(" "))
+    if " " not in rest or re.search("[Ͱ-Ͽ]|[Ѐ-ӿ]", rest):
+        return f"{title} {words}"
+    draw = int.from_bytes(hmac.digest(key, rest.partition(" ")[0].lower().encode(), "sha256")[:8], "big")
     first = FEMALE if bare in TITLES_F else MALE if bare in TITLES_M else FEMALE + MALE
-    given = f"{first[draw // 64 % len(first)]} " if " " in rest and script is FAMILY else ""
-    return f"{title} {given}{family}"
+    return f"{title} {first[draw % len(first)]} {words}"
 
 
 REPLACE: dict[str, Callable[[str, bytes], str]] = {
     "email": _email, "secret": _secret, "iban": _iban, "ipv4": _ipv4, "card": _card, "ssn": reshape, "phone": _phone, "name": _name,
 }
-WALKS = 64
 
 
 def surrogates(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, str, str]]]:
@@ -195,19 +242,9 @@ def surrogates(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, str, s
     for m in matches:
         found.setdefault(m[0], m.lastgroup)
     given: dict[str, str] = {}
-    taken = set(found)
     for entity, kind in found.items():
-        own = hmac.digest(key, kind.encode(), "sha256")
-        new = REPLACE[kind](entity, own)
-        for walk in range(WALKS):
-            if new not in taken:
-                break
-            # a permuted surrogate is moved on along its permutation, a drawn name drawn again
-            new = REPLACE[kind](new, own) if kind not in ("name", "email") else REPLACE[kind](entity, own + bytes([walk]))
-        while new in taken:  # a full list of names, or a format with hardly any members
-            new += "x"
-        taken.add(new)
-        given[entity] = new
+        new = REPLACE[kind](entity, hmac.digest(key, kind.encode(), "sha256"))
+        given[entity] = new if new != entity else new + "x"  # a format with one member
     out, at = [], 0
     for m in matches:
         out += [text[at : m.start()], given[m[0]]]

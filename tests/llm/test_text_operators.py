@@ -476,6 +476,27 @@ def test_surrogates_are_consistent_keyed_and_distinct():
     assert len({s for _, _, s in found}) == 2_000 and not {s for _, _, s in found} & set(phones)
 
 
+def test_surrogates_are_distinct_and_consistent_over_documents():
+    """Each entity in a document of its own, and all in one: the same surrogates, each of one entity."""
+    draw = random.Random(7)
+    word = lambda: made_text(draw, ["ba", "lo", "mi", "tu", "ren", "sko"], 1).capitalize()
+    families = sorted({word() for _ in range(400)} | {"Li", "Bo", "O'Neil", "Ångström", "Dušek", "Αλεξίου", "Νίκας", "Иванов", "Фёдоров"})
+    names = [f"{t} {f}" for f in families for t in ("Mr", "Mrs", "Dr.")] + [f"Ms {word()} {f}" for f in families]
+    mails = [f"info@firm{i}.example" for i in range(20_000)] + ["é@a.example", "ü@a.example"]
+    entities = sorted({*names, *mails})
+    alone = {e: pii.surrogates(e)[1][0] for e in entities}
+    assert all(old == e and new != e for e, (_, old, new) in alone.items())
+    assert len({new for _, _, new in alone.values()}) == len(entities)
+    assert {old: new for _, old, new in pii.surrogates("\n".join(reversed(entities)))[1]} == {e: new for e, (_, _, new) in alone.items()}
+    fresh = lambda name: pii.surrogates(name)[0].split()
+    assert fresh("Mr Smith")[1] == fresh("Dr. Smith")[1] == fresh("Mrs Anna Smith")[-1] == fresh("Mr SMITH")[1].capitalize()
+    for size in (2, 3, 7, 105, 1000):
+        cycle = [0]
+        while (nxt := pii.permute(cycle[-1], size, b"k")) != 0:
+            cycle.append(nxt)
+        assert sorted(cycle) == list(range(size))
+
+
 def test_clean_text_stays():
     for text in ("", "Nothing here: 3.14, 2024-01-02, v1.2.3.4.5, 12:30, GNU General Public License, version 3.", "CC BY-NC 4.0. a@b", "Mr of 1999"):
         assert pii.surrogates(text) == (text, [])
