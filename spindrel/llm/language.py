@@ -10,8 +10,11 @@ that cannot extend the match leads to the state reached by that symbol alone and
 new phrase.  One gather per symbol then parses thousands of blocks in lockstep.  Texts are cut
 into blocks of a fixed number of symbols only to fill the lanes; every symbol counts.
 
-The training sample is bounded per language (``sample_docs`` documents of the smallest
-keyed digest, ``sample_symbols`` symbols of their text), whatever the corpus holds.
+The training sample is bounded per language, whatever the corpus holds: ``sample_docs``
+documents of the smallest keyed digest, and ``sample_symbols`` characters in all of them.
+Every one of these documents gives one window at a keyed place in its text; windows are
+equally long, but where a text is shorter it is taken whole and the others' share grows, to
+``WIDEST`` times the equal share at most.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is
 every text when nothing is learned; equal entropies go to the language first by code
@@ -35,7 +38,8 @@ from pyspark.sql import functions as F
 from spindrel.llm.common import id_remainder, table
 
 SAMPLE_DOCS = 200
-SAMPLE_SYMBOLS = 16_000
+SAMPLE_SYMBOLS = 24_000
+WIDEST = 8
 SYMBOLS = 64
 BLOCK = 256
 BATCH_SYMBOLS = 500_000
@@ -70,12 +74,14 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    flat = np.full((len(nexts), size), -1, np.int64)
+    flat = np.full((len(nexts), size), -1, np.int32)
     for state, out in enumerate(nexts):
         for c, to in out.items():
             flat[state, c] = to
-    alone = np.maximum(flat[0], 0)
-    return np.where(flat >= 0, flat * size * 2, alone * size * 2 + 1).astype(np.int32).ravel()
+    ends, alone = flat < 0, np.maximum(flat[0], 0) * (size * 2) + 1
+    flat *= size * 2
+    np.copyto(flat, alone, where=ends)
+    return flat.ravel()
 
 
 class Judge:
@@ -95,7 +101,7 @@ class Judge:
             folded = chr(i).lower()[:1]
             if folded in self.symbol:
                 self.low[i] = self.symbol[folded]
-        self.size = size
+        self.size = size = len(letters) + 2  # no columns for symbols that no text has
         self.tables, self.weight = [], []
         for _, text in samples:
             s = self.encode(text)
@@ -167,14 +173,27 @@ def learn(
     )
     first = keyed.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("key", "id"))).where(F.col("at") <= sample_docs)
     chosen = sorted({r["id"] for r in first.select("id").collect() if r["id"] is not None})
-    texts: dict[str, list[str]] = defaultdict(list)
+    texts: dict[str, list[tuple[int, str]]] = defaultdict(list)
     sample = docs.where(F.col(id_col).isin(chosen) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    each = max(1, 4 * sample_symbols // sample_docs)
-    for lang, _, text in sorted(
-        (r[0], r[1], r[2]) for r in sample.select(lang_col, F.xxhash64(F.lit("language"), F.col(id_col)), F.substring(F.col(text_col), 1, each)).collect()
-    ):
-        texts[lang].append(text)
-    return tuple((lang, "\n".join(t)[:sample_symbols]) for lang, t in sorted(texts.items()))
+    key = F.xxhash64(F.lit("language"), F.col(id_col))
+    found = sample.select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(text_col).alias("text"), F.xxhash64(F.lit("window"), F.col(id_col)).alias("place"))
+    each = max(1, WIDEST * sample_symbols // max(1, sample_docs))
+    place = (F.pmod("place", F.greatest(F.length("text") - each, F.lit(0)) + 1) + 1).cast("int")
+    for lang, at, text in sorted((r[0], r[1], r[2]) for r in found.select("lang", "key", F.substr("text", place, F.lit(each))).collect()):
+        texts[lang].append((at, text))
+    return tuple((lang, "\n".join(windows(t, sample_symbols))) for lang, t in sorted(texts.items()))
+
+
+def windows(texts: list[tuple[int, str]], most: int) -> list[str]:
+    """A window of every (key, text), equally long where the texts allow it, of ``most`` characters in all."""
+    left, level = most, 0
+    for i, n in enumerate(sorted(len(t) for _, t in texts)):
+        level = left // (len(texts) - i)
+        if n > level:
+            break
+        left -= n
+        level = n
+    return [t[(at := key % (max(len(t) - level, 0) + 1)) : at + level] for key, t in texts]
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], *, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -150,6 +150,20 @@ def test_languages_are_told_apart(spark):
     assert all(found[i] == k for i, _, k in rows)
 
 
+def test_training_windows_come_from_all_parts_of_all_documents(spark):
+    """Documents open with a header longer than any prefix; the text behind it is learned, of every one."""
+    header, body = "header " * 100, lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for _ in range(2_000))
+    docs = spark.createDataFrame([(i, header + body(i), "aa") for i in range(200)], "doc_id long, text string, lang string")
+    ((_, text),) = language.learn(docs)
+    parts = text.split("\n")
+    assert len(parts) == 200 and sum(map(len, parts)) == language.SAMPLE_SYMBOLS
+    assert sum("header" in part for part in parts) < 50
+    assert sum(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" in text for i in range(200)) > 150
+    short = spark.createDataFrame([(i, "ab" * (10 if i % 2 else 1_000), "aa") for i in range(40)], "doc_id long, text string, lang string")
+    ((_, text),) = language.learn(short, sample_docs=40, sample_symbols=4_000)
+    assert sorted({len(part) for part in text.split("\n")}) == [20, 180]
+
+
 def test_cross_parsing_counts_the_phrases(spark):
     """The lockstep parser against a plain search for the longest match."""
     train, text = "abracadabra alakazam", "abra cadalaka zzz abrakazam"
