@@ -1,14 +1,15 @@
 """Shared helpers of the corpus operators: table access and durable intermediates.
 
 Intermediates are Parquet tables in the folder named by ``spark.checkpoint.dir``, so
-that any executor can be lost after they are written.  Only when that setting is
-absent (unit tests, local mode) is a private temporary folder used instead.
+that any executor can be lost after they are written.  Where it is unset, a private folder
+serves only if all of Spark is one process (tests); on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spindrel-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

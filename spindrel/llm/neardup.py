@@ -21,7 +21,8 @@ documents is the Jaccard similarity of their whole shingle sets, and two are lin
 
 Defined results: no words or a null text: size 0, linked with nothing; fewer than five
 words: the whole sequence is the one shingle; equal texts are linked; rows that share a
-doc_id are one document with the links of each; a null doc_id stays alone and is kept;
+doc_id are one document with the links of each, whatever their texts; a null doc_id stays
+alone and is kept; a very long text is hashed piece by piece and keeps its whole set;
 other columns are ignored; no rows give none.
 """
 
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +44,7 @@ PERCENT = 75
 BANDS, ROWS = 50, 5
 SEED = 20
 CHUNK_BYTES = 1 << 19
+LONG_WORD = 512
 BATCH_ROWS = 1_000
 GROUP_SHINGLES = 1 << 17
 
@@ -78,8 +81,38 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def _long_word(word: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(word.tobytes().lower())
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts laid end to end, and the words in each text."""
+    if len(bounds) == 2 and len(data) > 2 * CHUNK_BYTES:
+        whole = np.concatenate([*_pieces(data)])
+        return whole, np.array([len(whole)])
+    return _hashed(data, bounds)
+
+
+def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+    """The word hashes of one long text, a bounded piece that ends between words at a time."""
+    at = 0
+    while at < len(data):
+        to = min(len(data), at + CHUNK_BYTES)
+        blank = np.flatnonzero(~_IN_WORD[data[at:to]])
+        start = at + int(blank[-1]) + 1 if len(blank) else at
+        while to < len(data) and _IN_WORD[data[to]]:  # to the end of the word that the cut would fall into
+            more = np.flatnonzero(~_IN_WORD[data[to : to + CHUNK_BYTES]])
+            to = to + int(more[0]) if len(more) else min(len(data), to + CHUNK_BYTES)
+        if to - start <= LONG_WORD:
+            start = to
+        if start > at:
+            yield _hashed(data[at:start], np.array([0, start - at]))[0]
+        if to > start:
+            yield np.array([_long_word(data[start:to])], U)
+        at = to
+
+
+def _hashed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, U), np.zeros(len(bounds) - 1, np.int64)
@@ -95,6 +128,8 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     last[cuts - 1] = inside[cuts - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * _STEP[0])
+    for i in np.flatnonzero(end - start > LONG_WORD):  # long words can be made to agree in any such sum
+        hashes[i] = _long_word(data[start[i] : end[i]])
     return hashes, np.diff(np.searchsorted(start, bounds))
 
 
@@ -342,7 +377,9 @@ class NearDuplicates:
 
     def members(self, signed: DataFrame, classes: DataFrame) -> DataFrame:
         """bucket, rep, size, c of the class representatives in buckets with company."""
-        reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2", "n_shingles"), ["doc_id", "f1", "f2", "n_shingles"], "left_semi")
+        keys = ["doc_id", "f1", "f2", "n_shingles"]
+        rows = signed.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2", "n_shingles"), keys, "left_semi")
+        reps = rows.groupBy(*keys).agg(F.first("bands").alias("bands"))  # a row of each, should rows repeat
         spread = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"))
         # the smallest id after flipping the bucket's bits: another centre in each bucket
         star = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.col("rep").bitwiseXOR(F.col("bucket"))).alias("least"))
@@ -356,15 +393,15 @@ class NearDuplicates:
         return met.mapInArrow(_confirm(self.percent), "a long, b long").distinct()
 
     def _close(self, pairs: DataFrame) -> DataFrame:
-        """Sets of too different sizes cannot be similar."""
-        x, y = F.col("size_a"), F.col("size_b")
-        return pairs.where(100 * F.least(x, y) >= self.percent * F.greatest(x, y)).select("a", "b").distinct()
+        """Sets of too different sizes cannot be similar; a document with several sets has a range of sizes."""
+        most, least = F.least("most_a", "most_b"), F.greatest("least_a", "least_b")
+        return pairs.where(100 * most >= self.percent * least).select("a", "b").distinct()
 
     def stars(self, members: DataFrame, sizes: DataFrame) -> DataFrame:
         """The first centre of each bucket with every other member: pairs (a, b), a < b."""
         proposed = members.where("rep != centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        known = sizes.select(F.col("rep").alias("a"), F.col("size").alias("size_a"))
-        return self._close(proposed.join(known, "a").join(known.toDF("b", "size_b"), "b"))
+        known = sizes.select(F.col("rep").alias("a"), F.col("least").alias("least_a"), F.col("most").alias("most_a"))
+        return self._close(proposed.join(known, "a").join(known.toDF("b", "least_b", "most_b"), "b"))
 
     def undecided(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """The members, numbered, of buckets that hold several components; those outside the bucket's largest first."""
@@ -413,38 +450,62 @@ class NearDuplicates:
         moved = labels.join(onto, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
         return materialize(moved.union(fresh))[0]
 
-    def classes(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(signatures, class representatives, their labels and links).
+    def repeated(self, signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+        """doc_id, rep: the classes of documents with several rows, where there are such documents."""
+        rows = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+        rows = materialize(rows)[0]
+        if rows.isEmpty():
+            return None
+        own = signed.join(rows, "doc_id", "left_semi").select("doc_id", "f1", "f2", "n_shingles").distinct()
+        return materialize(own.join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep").distinct())[0]
+
+    def sets(self, sizes: DataFrame, several: DataFrame | None) -> DataFrame:
+        """doc_id, set: the distinct sets of every document that is sought."""
+        wanted = sizes.select(F.col("rep").alias("doc_id"))
+        made = self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(self.words), "doc_id long, set binary")
+        if several is None:
+            return materialize(made)[0]
+        ids = several.select("doc_id").distinct()
+        return materialize(made.join(ids, "doc_id", "left_anti").union(made.join(ids, "doc_id", "left_semi").distinct()))[0]
 
-        labels: node, component; links: a, b between representatives, enough of them to
-        span every component.
+    def classes(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+        """(signatures, class representatives, their labels, documents in several classes).
+
+        labels: node, component of the representatives that any link touches.
         """
         with small_batches(self.spark, BATCH_ROWS):
             return self._classes()
 
-    def _classes(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _classes(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
         signed = self.signatures()
         some = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         classes = materialize(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")))[0]
         members = self.members(signed, classes)
-        sizes = members.groupBy("rep").agg(F.max("size").alias("size"))
-        wanted = sizes.select(F.col("rep").alias("doc_id"))
-        sets = materialize(self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(self.words), "doc_id long, set binary"))[0]
+        sizes = members.groupBy("rep").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+        several = self.repeated(signed, classes)
+        sets = self.sets(sizes, several)
         tried = materialize(self.stars(members, sizes))[0]
-        links = materialize(self.confirmed(tried, sets))[0]
+        links = self.confirmed(tried, sets)
+        if several is not None:  # the classes of one document belong together
+            first = F.min("rep").over(W.partitionBy("doc_id"))
+            links = links.union(several.select(first.alias("a"), F.col("rep").alias("b")).where("a <> b")).distinct()
+        links = materialize(links)[0]
         labels = components(links)
         numbered = self.undecided(members, labels)
         if not numbered.isEmpty():
             labels = self.merged(labels, materialize(self.further(numbered, sets))[0])
-        return signed, classes, labels
+        return signed, classes, labels, several
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every row."""
-        signed, classes, labels = self.classes()
+        signed, classes, labels, several = self.classes()
         named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
             "f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component")
         )
         placed = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
+        if several is not None:  # rows without words follow the others of their document
+            whole = several.join(labels, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("own"))
+            placed = placed.join(whole, "doc_id", "left").withColumn("component", F.coalesce("component", "own"))
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
         return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -459,12 +520,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, with one of its rows."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select("doc_id", F.struct("*").alias("_row"))
-    stay = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]))
     # rows without an id are different documents; those that share one are the same
-    alone = stay.where("doc_id is null").select("_row")
-    first = stay.where("doc_id is not null").withColumn("_at", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("_row"))))
+    alone = rows.where("doc_id is null").select("_row")
+    stay = rows.join(kept, rows["doc_id"] == kept["_id"])
+    first = stay.withColumn("_at", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("_row"))))
     return first.where("_at = 1").select("_row").union(alone).select("_row.*")
 
 

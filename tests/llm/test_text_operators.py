@@ -122,6 +122,46 @@ def test_near_duplicates_edge_cases(odd, empty, clashing):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, 1, 2, 3, 4, 5, 6, 7, 8])
 
 
+def brute_repeated(rows):
+    """Components where all rows of an id are one document: (id, shingles of the row) -> component."""
+    ids = sorted({i for i, _ in rows})
+    sets = {i: [shingles(t) for j, t in rows if i == j] for i in ids}
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if any(len(x & y) and 100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return sorted((i, len(shingles(t)), root(i), root(i) == i) for i, t in rows)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_rows_of_one_id_are_one_document(spark, seed):
+    draw = random.Random(seed)
+    rows = [(draw.randrange(40), t) for _, t in near_copies(seed)] + [(4, "a b"), (4, "c d"), (2, "c d"), (9, ""), (9, "c d"), (50, "x " * 40), (50, "x " * 40), (51, "")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == brute_repeated(rows)
+
+
+def test_a_text_of_many_pieces_has_the_set_of_its_words(monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(neardup, "LONG_WORD", 20)
+    draw = random.Random(3)
+    for _ in range(20):
+        text = "".join(draw.choice(("ab", " ", "\n", "Q" * draw.randrange(1, 200), "\u00e9x ")) for _ in range(draw.randrange(40, 300)))
+        data = np.frombuffer(text.encode(), np.uint8)
+        bounds = np.array([0, len(data)])
+        want, n = neardup._hashed(data, bounds)
+        got, m = neardup.word_hashes(data, bounds)
+        assert got.tolist() == want.tolist() and n.tolist() == m.tolist() == [len(words(text))]
+
+
 def test_hashes_do_not_depend_on_what_lies_beside(spark):
     texts = ["alpha beta", "Gamma  delta\nalpha", "", "x"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
