@@ -204,19 +204,52 @@ def test_training_windows_come_from_all_parts_of_all_documents(spark):
     assert sorted({len(part) for part in text.split("\n")}) == [20, 180]
 
 
-def test_cross_parsing_counts_the_phrases(spark):
-    """The lockstep parser against a plain search for the longest match."""
-    train, text = "abracadabra alakazam", "abra cadalaka zzz abrakazam"
-    judge = language.Judge((("x", train),))
-    s, t = judge.encode(train).tolist(), judge.encode(text).tolist()
-    phrases, at = 0, 0
-    while at < len(t):
-        n = 1
-        while at + n < len(t) and any(s[i : i + n + 1] == t[at : at + n + 1] for i in range(len(s))):
-            n += 1
-        phrases, at = phrases + 1, at + n
-    bits = judge.entropies([np.array(t, np.uint8)])[0, 0]
-    assert bits * len(t) / judge.weight[0] == pytest.approx(phrases, abs=1)
+@pytest.mark.parametrize("block", [7, 2_048])
+def test_cross_parsing_counts_the_phrases(monkeypatch, block):
+    """The lockstep parser against a plain search for the longest match, over parts of a text."""
+    monkeypatch.setattr(language, "BLOCK", block)
+    draw = random.Random(6)
+    samples = (("x", "abracadabra alakazam"), ("y", "ΑΒΓ αβγ абв 漢字 かな"), ("z", ""))
+    judge = language.Judge(samples)
+    texts = ["abra cadalaka zzz abrakazam", "", "!", "αβγ漢字漢ñ"] + ["".join(draw.choice("abrαβ漢字 .z") for _ in range(draw.randrange(60))) for _ in range(40)]
+    encoded = [judge.encode(t) for t in texts]
+    got = judge.phrases(encoded)
+    for i, t in enumerate(encoded):
+        for k, (_, train) in enumerate(samples):
+            s, phrases = judge.encode(train).tolist(), 0
+            for a in range(0, len(t), block):
+                part, at = t[a : a + block].tolist(), 0
+                while at < len(part):
+                    n = 1
+                    while at + n < len(part) and any(s[j : j + n + 1] == part[at : at + n + 1] for j in range(len(s))):
+                        n += 1
+                    phrases, at = phrases + 1, at + n
+            assert got[i, k] == phrases
+
+
+#: Where the letters of the scripts of this test lie.
+SCRIPTS = {"han": (0x4E00, 0x5600), "hangul": (0xAC00, 0xB400), "kana": (0x3041, 0x3096), "cyrillic": (0x430, 0x44F), "latin": (0x61, 0x7A), "gothic": (0x10330, 0x10340)}
+
+
+def test_languages_of_many_scripts_are_told_apart(spark):
+    """Two languages to a script, apart by the frequency of its letters only."""
+    draw = random.Random(8)
+    words_of = {f"{name}{v}": [[chr(draw.randrange(a, b)) for _ in range(draw.randrange(1, 4))] for _ in range(300)] for name, (a, b) in SCRIPTS.items() for v in (1, 2)}
+    rows = [(i, " ".join("".join(w) for w in draw.choices(words_of[k], k=60)), k) for i, k in enumerate(sorted(words_of) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language.learn(docs.where("doc_id < 240"))
+    assert len(samples) == 12
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs.where("doc_id >= 240"), samples).collect()}
+    assert sum(found[i] == k for i, _, k in rows if i >= 240) >= 0.95 * len(found)
+
+
+def test_memory_grows_with_the_training_text_alone():
+    import pickle
+
+    draw = random.Random(9)
+    samples = tuple((f"l{i:02}", "".join(chr(draw.randrange(0x4E00 + 100 * i, 0x5200 + 100 * i)) for _ in range(language.SAMPLE_SYMBOLS))) for i in range(6))
+    per_language = len(pickle.dumps(language.Judge(samples))) / len(samples)
+    assert 50 * per_language < 300e6
 
 
 def test_language_edge_cases(odd, empty, clashing):
