@@ -9,22 +9,29 @@ tokens, assigned tokens) and names behind a title.  A surrogate keeps its entity
   entities get equal surrogates in every document (coreference) and different entities
   of a format different ones (distinctness) without any table of what was seen;
 * fixed parts keep their meaning: mail goes to a reserved domain (a permuted local part, and
-  a 128-bit keyed tag in place of the domain), a card number stays a
-  card number by its check digit, each part of an address stays below 256, a country
-  code stays;
+  a 128-bit keyed tag in place of the domain), card numbers and IBANs stay such by their
+  check digits, each part of an address stays below 256, a country code stays;
 * words of names are permuted within their script, vowels to vowels and consonants to
   consonants, whatever their case, so a family name has one surrogate behind any title and
-  in any document; behind a title with gender, two Latin words get a given name of
-  that gender (any gender without one) in front, and the permuted ones follow it.
+  in any document; of two Latin words the given one becomes a known given name of the
+  title's gender (of any behind a title without one) joined by a hyphen to the permuted word,
+  as drawn names alone would coincide;
+* a full or a family name that a title has told is replaced wherever it stands again in
+  the same text without one.
 
 Collisions are excluded by construction: a surrogate depends on its entity and the key
 alone, never on its document, and the permutations are single cycles, so that no entity of a
 format with two members or more is its own surrogate.  Spellings that differ in case only
-(names, mail domains) or in the marks of a card number are one entity.
+(names, mail domains) or in the marks of a card number or an IBAN are one entity.
+
+The key is a secret of the session (``spark.spindrel.pii.secret``): who has it can undo the
+permutations.  Where none is set a random one is drawn for this application, so surrogates
+agree within it and with no other.
 
 Defined results: a null text stays null with no entities, an empty one stays empty;
-overlapping detections go to the kind listed first; repeated rows get equal results;
-other columns are ignored; no rows give none.
+overlapping detections go to the kind listed first and to the left, and numbers without the
+check digits of a card or an IBAN are none; a very long text is read whole, line by line;
+repeated rows get equal results; other columns are ignored; no rows give none.
 """
 
 from __future__ import annotations
@@ -32,20 +39,35 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrel.llm.common import table
 
-KEY = b"spindrel-surrogates"
+SECRET = "spark.spindrel.pii.secret"
 ROUNDS = 6
 
+_drawn: list[bytes] = []
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The configured key of the session, or one drawn at random for this application."""
+    given = spark.conf.get(SECRET, None)
+    if given:
+        return hashlib.sha256(given.encode()).digest()
+    if not _drawn:
+        _drawn.append(secrets.token_bytes(32))
+    return _drawn[0]
+
+
 #: First names and titles by gender.
 FEMALE = ("Alice", "Clara", "Edith", "Grace", "Irene", "Karin", "Maria", "Nadia", "Olivia", "Paula", "Ruth", "Sonia", "Teresa", "Ursula", "Vera", "Wanda")
 MALE = ("Albert", "Bruno", "Carlos", "David", "Edgar", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Louis", "Martin", "Oscar", "Peter", "Victor")
@@ -54,7 +76,7 @@ TITLES_M = ("Mr", "Herr", "Mister", "Sr", "Monsieur")
 TITLES_N = ("Dr", "Prof")
 
 _titles = "|".join(sorted((*TITLES_F, *TITLES_M, *TITLES_N), key=len, reverse=True))
-_capital = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][\w'-]+"
+_capital = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я](?:[\w-]|'(?!s\b)\w)+"
 KINDS: tuple[tuple[str, str], ...] = (
     ("email", r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"\bA[KS]IA[A-Z2-7][A-Z0-9]{15}\b|\bgh[pousr]_[A-Za-z0-9]{30,}\b|\bsk-[A-Za-z0-9_-]{20,}|(?<![A-Za-z0-9])(?=[0-9A-Fa-f]{0,39}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])|(?<=token = \")[^\"\s]{8,}(?=\")|(?<=TOKEN = \")[^\"\s]{8,}(?=\")"),
@@ -183,8 +205,21 @@ def _secret(text: str, key: bytes) -> str:
     return prefix + reshape(rest, key, base16)
 
 
+def iban_check(country: str, rest: str) -> str:
+    """The two check digits that belong between the country and the rest."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country) + '00') % 97:02}"
+
+
+def _is_iban(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
 def _iban(text: str, key: bytes) -> str:
-    return text[:2] + reshape(text[2:], key)
+    plain = text.replace(" ", "")
+    rest = reshape(plain[4:], key + plain[:2].encode())
+    fresh = iter(plain[:2] + iban_check(plain[:2], rest) + rest)
+    return "".join(c if c == " " else next(fresh) for c in text)
 
 
 def _caseless(c: str) -> bool:
@@ -215,13 +250,29 @@ def _word(text: str, key: bytes) -> str:
 
 def _name(text: str, key: bytes) -> str:
     title, _, rest = text.partition(" ")
-    bare = title.rstrip(".")
-    words = " ".join(_word(w, key) for w in rest.split(" "))
-    if " " not in rest or re.search("[Ͱ-Ͽ]|[Ѐ-ӿ]", rest):
-        return f"{title} {words}"
-    draw = int.from_bytes(hmac.digest(key, rest.partition(" ")[0].lower().encode(), "sha256")[:8], "big")
-    first = FEMALE if bare in TITLES_F else MALE if bare in TITLES_M else FEMALE + MALE
-    return f"{title} {first[draw % len(first)]} {words}"
+    return f"{title} {_untitled(title.rstrip('.'), rest, key)}"
+
+
+def _untitled(title: str, rest: str, key: bytes) -> str:
+    words = [_word(w, key) for w in rest.split(" ")]
+    if len(words) > 1 and not re.search("[Ͱ-Ͽ]|[Ѐ-ӿ]", rest):
+        draw = int.from_bytes(hmac.digest(key, rest.partition(" ")[0].lower().encode(), "sha256")[:8], "big")
+        first = FEMALE if title in TITLES_F else MALE if title in TITLES_M else FEMALE + MALE
+        words[0] = f"{first[draw % len(first)]}-{words[0]}"
+    return " ".join(words)
+
+
+def _mentions(names: list[str], key: bytes) -> tuple[re.Pattern, dict[str, str]]:
+    """Where full and family names stand without their titles, and what becomes of them."""
+    given: dict[str, str] = {}
+    for name in names:
+        title, _, rest = name.partition(" ")
+        family = rest.rpartition(" ")[2]
+        given.setdefault(rest, _untitled(title.rstrip("."), rest, key))
+        if len(family) > 2:
+            given.setdefault(family, _word(family, key))
+    known = "|".join(map(re.escape, sorted(given, key=lambda n: (-len(n), n))))
+    return re.compile(rf"(?<![\w'-])(?:{known})(?![\w-]|'(?!s\b))"), given
 
 
 REPLACE: dict[str, Callable[[str, bytes], str]] = {
@@ -229,13 +280,17 @@ REPLACE: dict[str, Callable[[str, bytes], str]] = {
 }
 
 
-def surrogates(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, str, str]]]:
+#: Kinds that hold only what has the right check digits.
+CHECKS: dict[str, Callable[[str], bool]] = {"card": _is_card, "iban": _is_iban}
+
+
+def surrogates(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]]]:
     """(text with surrogates, [(kind, entity, surrogate)] for each distinct entity)."""
     matches, at = [], 0
     while hint := HINT.search(text, at):
         start, end = text.rfind("\n", 0, hint.start()) + 1, text.find("\n", hint.start())
         at = len(text) if end < 0 else end
-        matches += [m for m in FINDER.finditer(text, start, at) if m.lastgroup != "card" or _is_card(m[0])]
+        matches += [m for m in FINDER.finditer(text, start, at) if CHECKS.get(m.lastgroup, bool)(m[0])]
     if not matches:
         return text, []
     found: dict[str, str] = {}
@@ -245,25 +300,31 @@ def surrogates(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, str, s
     for entity, kind in found.items():
         new = REPLACE[kind](entity, hmac.digest(key, kind.encode(), "sha256"))
         given[entity] = new if new != entity else new + "x"  # a format with one member
+    names = [entity for entity, kind in found.items() if kind == "name"]
+    if names:
+        bare, known = _mentions(names, hmac.digest(key, b"name", "sha256"))
+        between = lambda piece: bare.sub(lambda m: known[m[0]], piece)
+    else:
+        between = str
     out, at = [], 0
     for m in matches:
-        out += [text[at : m.start()], given[m[0]]]
+        out += [between(text[at : m.start()]), given[m[0]]]
         at = m.end()
-    return "".join(out) + text[at:], [(kind, entity, given[entity]) for entity, kind in found.items()]
+    return "".join(out) + between(text[at:]), [(kind, entity, given[entity]) for entity, kind in found.items()]
 
 
-def replace_pii(docs: DataFrame, *, id_col="doc_id", text_col="text", key: bytes = KEY, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id (and ``keep``), the new text, and the distinct entities found, by kind.
+def replace_pii(docs: DataFrame, key: bytes, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id, the new text, and the distinct entities found, by kind.
 
     ``entities`` maps a kind to the number of distinct entities of that kind.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("entities", T.MapType(T.StringType(), T.LongType()))])
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([*source.schema.fields, T.StructField("entities", T.MapType(T.StringType(), T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(1):
                 old = value.as_py()
                 new, found = surrogates(old, key) if old is not None else (None, [])
                 texts.append(new)
@@ -272,23 +333,39 @@ def replace_pii(docs: DataFrame, *, id_col="doc_id", text_col="text", key: bytes
                     tally[kind] = tally.get(kind, 0) + 1
                 counts.append(sorted(tally.items()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(counts, pa.map_(pa.string(), pa.int64()))],
-                names=[*batch.schema.names[:-1], "text", "entities"],
+                [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.map_(pa.string(), pa.int64()))], names=["doc_id", "text", "entities"]
             )
 
     return source.mapInArrow(run, schema)
 
 
+def rewrite(docs: DataFrame, key: bytes, *, text_col="text", length_col="n_chars") -> DataFrame:
+    """The rows with all their columns, entities replaced; a length column follows a changed text."""
+    text_at = docs.columns.index(text_col)
+    length_at = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column(text_at)
+            new = pa.array([None if (t := value.as_py()) is None else surrogates(t, key)[0] for value in old], old.type)
+            columns = batch.columns
+            columns[text_at] = new
+            if length_at is not None:
+                kind = columns[length_at].type
+                same = pc.fill_null(pc.equal(old, new), True)
+                columns[length_at] = pc.if_else(same, columns[length_at], pc.utf8_length(new).cast(kind))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with surrogates, and the number of distinct entities of each kind."""
-    found = replace_pii(table(spark, sf_dir, "documents"))
+    found = replace_pii(table(spark, sf_dir, "documents"), key_of(spark))
     counts = [F.coalesce(F.try_element_at("entities", F.lit(kind)), F.lit(0)).alias(f"n_{kind}") for kind, _ in KINDS]
     return found.select("doc_id", "text", *counts)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays, its entities replaced; n_chars follows a changed text."""
-    new = replace_pii(docs.select("doc_id", "text", F.struct("*").alias("_row")), keep=("_row",))
-    length = F.when(F.col("text") == F.col("_row")["text"], F.col("_row")["n_chars"]).otherwise(F.length("text")) if "n_chars" in docs.columns else None
-    fresh = {"text": F.col("text"), "n_chars": length}
-    return new.select(*[fresh.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    return rewrite(docs, key_of(docs.sparkSession))
