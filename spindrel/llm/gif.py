@@ -2,17 +2,20 @@
 
 ``decode`` reads any GIF: the block structure, LZW code streams of growing width, local
 and global palettes, interlacing, transparency and the disposal rules, and composes each
-frame on the canvas.  A stream whose codes all are single samples between clear codes
-(what ``encode`` writes) is unpacked for all codes at once; any other goes through the
-table-driven decoder.
+frame on the canvas, one frame at a time.  How wide a code is follows from its place since
+the last clear code alone, so codes are cut out of a stream many at once; the code table
+then turns them into samples.
 
 ``encode`` stores a payload as 8-bit samples, 64 to a row, in frames of at most
-``FRAME_ROWS`` rows over a grey palette.  It clears the code table before the codes would
-widen, so encoding is bit packing and its time and size are linear in the payload.
-
-Defined results: a null or empty text is 64 zero bytes; repeated rows are stored each;
-media that is null or not a GIF has no frames, a frame cut short is padded with its
-first colour index; other columns are ignored; no rows give none.
+``FRAME_ROWS`` rows over a grey palette, by LZW with codes of 9 to 12 bits and a clear code
+whenever the table is full.
+
+Defined results: a null or empty text is 64 zero bytes; a very long text is many frames,
+each read and freed in turn; repeated rows are stored each; media that is null or not a
+GIF has no frames; a frame that is cut short, or whose codes are damaged, is padded with
+colour index 0, and reading ends at the first block that is no block; a screen or frame of
+more than ``MAX_PIXELS`` is no picture and ends the reading; other columns are ignored; no
+rows give none.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,8 @@ from spindrel.llm.common import table
 WIDTH = 64
 FRAME_ROWS = 16_384
 DELAY = 10
-RUN = 254
+CODES = 4096
+MAX_PIXELS = 1 << 26
 BATCH_BYTES = 4 << 20
 BINS = 16
 
@@ -52,28 +57,47 @@ class Frame:
         return np.stack([np.bincount(seen[:, c] * bins >> 8, minlength=bins) for c in range(3)])
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    """9-bit codes, lowest bits first."""
-    padded = np.zeros(-(-len(codes) // 8) * 8, np.uint16)
-    padded[: len(codes)] = codes
-    c = padded.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, 0] = c[:, 0] & 255
-    for k in range(1, 8):
-        out[:, k] = (c[:, k - 1] >> (9 - k)) | ((c[:, k] << k) & 255)
-    out[:, 8] = c[:, 7] >> 1
-    return out.tobytes()[: -(-len(codes) * 9 // 8)]
-
-
-def _unpack(data: np.ndarray) -> np.ndarray:
-    n = len(data) * 8 // 9
-    padded = np.zeros(-(-n // 8) * 9, np.uint16)
-    padded[: len(data)] = data[: len(padded)]
-    b = padded.reshape(-1, 9)
-    out = np.empty((len(b), 8), np.uint16)
-    for k in range(8):
-        out[:, k] = (b[:, k] >> k) | ((b[:, k + 1] << (8 - k)) & 511)
-    return out.ravel()[:n]
+@lru_cache(maxsize=16)
+def _widths(minimum: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the first CODES codes after a clear code: widths, and the bits before each and all."""
+    held = (1 << minimum) + 2 + np.maximum(np.arange(CODES) - 1, 0)  # table entries when a code is read
+    bits = np.ceil(np.log2(held + 1)).astype(np.int64)
+    width = np.minimum(12, np.maximum(minimum + 1, bits))
+    return width, np.concatenate(([0], np.cumsum(width)))
+
+
+def _compressed(data: bytes) -> bytes:
+    """The code stream of 8-bit samples."""
+    clear, over, size = 256, 257, 258
+    codes, starts = [clear], [0, 1]  # starts: where the widths begin anew
+    table: dict[int, int] = {}
+    find, emit = table.get, codes.append
+    at = data[0]
+    for sample in data[1:]:
+        key = at << 8 | sample
+        longer = find(key)
+        if longer is not None:
+            at = longer
+            continue
+        emit(at)
+        at = sample
+        table[key] = size
+        size += 1
+        if size == CODES:
+            emit(clear)
+            starts.append(len(codes))
+            table.clear()
+            size = 258
+    emit(at)
+    emit(over)
+    place = np.arange(len(codes)) - np.repeat(starts, np.diff([*starts, len(codes)]))
+    width = _widths(8)[0][place]
+    bit = np.cumsum(width) - width
+    value = np.array(codes, np.int64) << (bit & 7)
+    length = int(bit[-1] + width[-1] + 7) >> 3
+    # no two codes share a bit, so sums are unions
+    whole = sum(np.bincount((bit >> 3) + k, value >> 8 * k & 255, length + 2) for k in range(3))
+    return whole[:length].astype(np.uint8).tobytes()
 
 
 def _blocks(data: bytes) -> bytes:
@@ -96,65 +120,52 @@ def encode(payload: bytes) -> bytes:
     out = [_HEAD, WIDTH.to_bytes(2, "little"), min(rows, FRAME_ROWS).to_bytes(2, "little"), b"\xf7\0\0", _GREY]
     for top in range(0, rows, FRAME_ROWS):
         height = min(FRAME_ROWS, rows - top)
-        samples = np.frombuffer(payload, np.uint8, height * WIDTH, top * WIDTH)
-        runs = -(-len(samples) // RUN)
-        codes = np.full((runs, RUN + 1), 257, np.uint16)
-        codes[:, 0] = 256
-        flat = codes[:, 1:]
-        whole = len(samples) // RUN
-        flat[:whole] = samples[: whole * RUN].reshape(whole, RUN)
-        if whole < runs:
-            flat[whole, : len(samples) - whole * RUN] = samples[whole * RUN :]
-        stream = codes.ravel()[: len(samples) + runs]
         out += [b"\x21\xf9\x04\x04", DELAY.to_bytes(2, "little"), b"\0\0", b"\x2c\0\0\0\0"]
-        out += [WIDTH.to_bytes(2, "little"), height.to_bytes(2, "little"), b"\0\x08", _blocks(_pack(np.append(stream, np.uint16(257))))]
+        out += [WIDTH.to_bytes(2, "little"), height.to_bytes(2, "little"), b"\0\x08", _blocks(_compressed(payload[top * WIDTH : (top + height) * WIDTH]))]
     return b"".join(out) + b"\x3b"
 
 
 def _join(data: bytes, at: int) -> tuple[np.ndarray, int]:
-    """The bytes of the sub-blocks from ``at`` on, and where they end."""
-    first = at
-    while at < len(data) and data[at] == 255:
-        at += 256
-    whole = np.frombuffer(data, np.uint8, max(0, min(at, len(data)) - first), first)
-    parts = [whole.reshape(-1, 256)[:, 1:].ravel() if len(whole) % 256 == 0 else whole[np.arange(len(whole)) % 256 > 0]]
+    """The bytes of the sub-blocks from ``at`` on, as far as there are any, and where they end."""
+    parts = []
     while at < len(data) and data[at]:
-        parts.append(np.frombuffer(data, np.uint8, min(data[at], len(data) - at - 1), at + 1))
-        at += data[at] + 1
-    return np.concatenate(parts), at + 1
+        if data[at] == 255:  # a run of full blocks at once
+            first = at
+            while at < len(data) and data[at] == 255:
+                at += 256
+            whole = np.frombuffer(data, np.uint8, min(at, len(data)) - first, first)
+            parts.append(whole.reshape(-1, 256)[:, 1:].ravel() if len(whole) % 256 == 0 else whole[np.arange(len(whole)) % 256 > 0])
+        else:
+            parts.append(np.frombuffer(data, np.uint8, min(data[at], len(data) - at - 1), at + 1))
+            at += data[at] + 1
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8), at + 1
 
 
-def lzw(data: np.ndarray, minimum: int) -> np.ndarray:
-    """The samples of a GIF code stream."""
-    clear = 1 << minimum
-    if minimum == 8:
-        codes = _unpack(data)
-        over = np.flatnonzero(codes == clear + 1)
-        codes = codes[: over[0]] if len(over) else codes
-        clears = np.flatnonzero(codes == clear)
-        bounds = np.concatenate(([-1], clears, [len(codes)]))
-        if len(codes) and (codes <= clear).all() and np.diff(bounds).max() <= 255:
-            return np.delete(codes, clears).astype(np.uint8)
-    return _lzw_any(data.tobytes(), minimum)
-
-
-def _lzw_any(data: bytes, minimum: int) -> np.ndarray:
+def lzw(data: np.ndarray, minimum: int, most: int | None = None) -> np.ndarray:
+    """The samples of a GIF code stream, up to its end, its first damage, or ``most``."""
+    if not 1 <= minimum <= 11:
+        return np.zeros(0, np.uint8)
     clear = 1 << minimum
-    fresh = [bytes([i]) for i in range(clear)] + [b"", b""]
-    entries, width, last = list(fresh), minimum + 1, b""
-    out, bits, held = [], 0, 0
-    for byte in data:
-        bits |= byte << held
-        held += 8
-        while held >= width:
-            code = bits & (1 << width) - 1
-            bits >>= width
-            held -= width
-            if code == clear:
-                entries, width, last = list(fresh), minimum + 1, b""
-                continue
-            if code == clear + 1:
-                return np.frombuffer(b"".join(out), np.uint8)
+    padded = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64)
+    bits, at, place = len(data) * 8, 0, 0
+    fresh = [bytes([i & 255]) for i in range(clear)] + [b"", b""]
+    entries, last, full = list(fresh), b"", False
+    out: list[bytes] = []
+    made = 0
+    while True:
+        if full:  # the table no longer grows: 12 bits each
+            width, before = np.full(CODES, 12), np.arange(CODES + 1) * 12
+        else:
+            width, before = (x[place:] for x in _widths(minimum))
+        begin = at + before[:-1] - before[0]
+        begin = begin[: int(np.searchsorted(begin + width, bits, side="right"))]
+        if not len(begin):
+            break
+        byte = begin >> 3
+        codes = (padded[byte] | padded[byte + 1] << 8 | padded[byte + 2] << 16) >> (begin & 7) & (1 << width[: len(begin)]) - 1
+        marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        n = int(marks[0]) if len(marks) else len(codes)
+        for code in codes[:n].tolist():
             if code < len(entries):
                 entry = entries[code]
             elif last and code == len(entries):
@@ -162,11 +173,20 @@ def _lzw_any(data: bytes, minimum: int) -> np.ndarray:
             else:  # a damaged stream ends here
                 return np.frombuffer(b"".join(out), np.uint8)
             out.append(entry)
-            if last and len(entries) < 4096:
+            made += len(entry)
+            if last and len(entries) < CODES:
                 entries.append(last + entry[:1])
-                if len(entries) == 1 << width and width < 12:
-                    width += 1
             last = entry
+            if most is not None and made >= most:
+                return np.frombuffer(b"".join(out), np.uint8)[:most]
+        if len(marks):
+            if codes[n] == clear + 1:
+                break
+            at = int(begin[n] + width[n])
+            entries, last, full, place = list(fresh), b"", False, 0
+        else:
+            at, place = int(begin[-1] + width[len(begin) - 1]), place + len(codes)
+            full = full or place >= CODES
     return np.frombuffer(b"".join(out), np.uint8)
 
 
@@ -177,12 +197,15 @@ def _rows(height: int, interlaced: bool) -> np.ndarray:
     return np.concatenate([np.arange(a, height, step) for a, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(media: bytes | None) -> list[Frame]:
+def decode(media: bytes | None) -> Iterator[Frame]:
     """All frames of a GIF, composed one upon the other."""
     if not media or media[:3] != b"GIF" or len(media) < 13:
-        return []
-    short = lambda at: int.from_bytes(media[at : at + 2], "little")
+        return
+    byte = lambda at: media[at] if at < len(media) else 0
+    short = lambda at: byte(at) | byte(at + 1) << 8
     width, height, packed, at = short(6), short(8), media[10], 13
+    if width * height > MAX_PIXELS:
+        return
 
     def palette(packed: int) -> np.ndarray | None:
         nonlocal at
@@ -198,22 +221,23 @@ def decode(media: bytes | None) -> list[Frame]:
 
     shared = palette(packed)
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     start, delay, disposal, clear_index = 0, 0, 0, None
     while at < len(media) and media[at] != 0x3B:
         if media[at] == 0x21:
-            if media[at + 1] == 0xF9:
-                flags, delay = media[at + 3], short(at + 4)
-                disposal, clear_index = flags >> 2 & 7, media[at + 6] if flags & 1 else None
+            if byte(at + 1) == 0xF9 and byte(at + 2) >= 4:
+                flags, delay = byte(at + 3), short(at + 4)
+                disposal, clear_index = flags >> 2 & 7, byte(at + 6) if flags & 1 else None
             at = _join(media, at + 2)[1]
         elif media[at] == 0x2C and at + 10 < len(media):
             left, top, w, h, flags = short(at + 1), short(at + 3), short(at + 5), short(at + 7), media[at + 9]
+            if w * h > MAX_PIXELS:
+                return
             at += 10
             own = palette(flags)
             colours = own if own is not None else shared if shared is not None else np.full((256, 4), 255, np.uint8)
-            minimum = media[at] if at < len(media) else 8
+            minimum = byte(at)
             data, at = _join(media, at + 1)
-            stored = lzw(data, minimum)[: w * h]
+            stored = lzw(data, minimum, w * h)
             if len(stored) < w * h:
                 stored = np.append(stored, np.zeros(w * h - len(stored), np.uint8))
             samples = np.empty((h, w), np.uint8)
@@ -226,15 +250,14 @@ def decode(media: bytes | None) -> list[Frame]:
             else:
                 drawn = visible != clear_index
                 area[drawn] = colours[visible[drawn]]
-            frames.append(Frame(start, delay, samples, canvas.copy()))
+            yield Frame(start, delay, samples, canvas.copy())
             if disposal == 2:
                 area[...] = 0
             elif disposal == 3:
                 canvas = before
             start, delay, disposal, clear_index = start + delay, 0, 0, None
         else:
-            break
-    return frames
+            return
 
 
 def payload_of(text: str) -> tuple[int, bytes]:

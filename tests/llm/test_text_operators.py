@@ -427,16 +427,40 @@ def test_the_word_cache_may_be_full(tokenizer, monkeypatch):
 @pytest.mark.parametrize("rows", [1, 3, 4, 253, 254, 255, 508, 16_384, 17_000])
 def test_gif_payloads_round_trip(rows):
     payload = np.random.default_rng(rows).integers(0, 256, rows * 64, dtype=np.uint8).tobytes()
-    frames = gif.decode(gif.encode(payload))
-    assert b"".join(f.samples.tobytes() for f in frames) == payload
-    assert [f.start_cs for f in frames] == [10 * i for i in range(len(frames))]
-    if rows < 600:  # what the fast path reads, the table-driven decoder reads too
-        data, _ = gif._join(gif.encode(payload), 13 + 768 + 8 + 10 + 1)
-        assert gif._lzw_any(data.tobytes(), 8).tobytes() == payload
-
-
-def compressed(samples, minimum):
-    """A plain LZW encoder with growing code widths."""
+    text = (b"the code table grows with what repeats " * (rows * 2))[: rows * 64]
+    for held in (payload, text, bytes(rows * 64)):
+        media = gif.encode(held)
+        frames = list(gif.decode(media))
+        assert b"".join(f.samples.tobytes() for f in frames) == held
+        assert [f.start_cs for f in frames] == [10 * i for i in range(len(frames))]
+        if rows < 600:  # the stream is that of a plain encoder
+            data, _ = gif._join(media, 13 + 768 + 8 + 10 + 1)
+            assert data.tobytes() == compressed(held, 8)
+    assert len(gif.encode(text)) < len(text) or rows < 16
+
+
+def test_damaged_pictures_have_defined_frames():
+    draw = random.Random(4)
+    palette = [(0, 0, 0), (255, 0, 0), (0, 255, 0), (0, 0, 255)]
+    good = picture([(0, 0, 8, 8, [draw.randrange(4) for _ in range(64)], 2, None, True), (1, 1, 5, 5, [1, 2, 3, 0, 1] * 5, 3, 3, False)], 8, 8, palette)
+    assert len(list(gif.decode(good))) == 2
+    cases = [good[:n] for n in range(len(good))]
+    for _ in range(1_500):
+        bad = bytearray(good)
+        for _ in range(draw.randrange(1, 4)):
+            bad[draw.randrange(3, len(bad))] = draw.randrange(256)
+        cases.append(bytes(bad))
+    for media in [*cases, b"GIF89a" + b"\xff" * 7, b"GIF89a" + bytes(7) + b"\x2c" + b"\xff" * 20, None, b"", b"GIF"]:
+        if media and len(media) > 9 and int.from_bytes(media[6:8], "little") * int.from_bytes(media[8:10], "little") > 1 << 20:
+            continue  # a large canvas is allowed and slow
+        for f in gif.decode(media):
+            assert f.samples.ndim == 2 and f.canvas.shape[2] == 4
+    for minimum in (0, 9, 11, 12, 255):
+        gif.lzw(np.arange(200, dtype=np.uint8), minimum, 1_000)
+
+
+def compressed(samples, minimum, restart=True):
+    """A plain LZW encoder with growing code widths, and a clear code when the table is full or else never again."""
     clear, width = 1 << minimum, minimum + 1
     bits = held = 0
     out = bytearray()
@@ -464,8 +488,13 @@ def compressed(samples, minimum):
             size += 1
             if size > 1 << width and width < 12:
                 width += 1
+            if size == 4096 and restart:
+                put(clear)
+                table, size, width = {bytes([i]): i for i in range(clear)}, clear + 2, minimum + 1
         word = bytes([s])
     put(table[word])
+    if size + 1 > 1 << width and width < 12:
+        width += 1
     put(clear + 1)
     if held:
         out.append(bits & 255)
@@ -495,7 +524,7 @@ def test_gif_palette_disposal_transparency_and_interlacing():
         ],
         4, 4, palette,
     )
-    frames = gif.decode(media)
+    frames = list(gif.decode(media))
     colour = lambda f, y, x: tuple(frames[f].canvas[y, x, :3]) if frames[f].canvas[y, x, 3] else None
     assert [f.start_cs for f in frames] == [0, 7, 14, 21]
     assert colour(0, 1, 1) == (255, 0, 0)
@@ -509,7 +538,8 @@ def test_gif_palette_disposal_transparency_and_interlacing():
 def test_lzw_with_growing_codes(minimum):
     samples = np.random.default_rng(minimum).integers(0, 1 << min(minimum, 4), 30_000, dtype=np.uint8)
     samples[1_000:9_000] = 1
-    assert gif.lzw(np.frombuffer(compressed(samples.tolist(), minimum), np.uint8), minimum).tolist() == samples.tolist()
+    for restart in (True, False):
+        assert gif.lzw(np.frombuffer(compressed(samples.tolist(), minimum, restart), np.uint8), minimum).tolist() == samples.tolist()
 
 
 def test_gif_columns(spark, odd, empty, clashing):
