@@ -717,7 +717,7 @@ def test_quality_is_learned_from_positives(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if i < 120], "doc_id long, quality int, toxic int")
     model = quality.learn(docs.where("doc_id < 160"), labels)
-    assert model.prior == pytest.approx(0.8)
+    assert model.prior == pytest.approx(0.8, abs=0.15)  # from positives and unlabelled texts alone
     found = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
     assert sum((found[i] >= 0.5) == bool(q) for i, _, q in rows if i >= 160) >= 78
     assert all(0 <= s <= 1 for s in found.values())
@@ -731,6 +731,83 @@ def test_features_do_not_depend_on_what_lies_beside():
         assert together[i] == pytest.approx(quality.features(*lay([t]))[0])
 
 
+def plain_features(text):
+    """The features of one text, byte by byte."""
+    raw = text.encode()
+    sort = lambda b: (
+        "high" if b >= 128 else "lower" if 97 <= b <= 122 else "upper" if 65 <= b <= 90 else "digit" if 48 <= b <= 57
+        else "line" if b == 10 else "space" if b in (32, 9, 11, 12, 13) else "stop" if b == 46 else "comma" if b == 44 else "other"
+    )
+    kinds, n = [sort(b) for b in raw], max(1, len(raw))
+    found = [m.group() for m in re.finditer(rb"[^ \t\n\v\f\r]+", raw)]
+    w = max(1, len(found))
+    share = lambda k: kinds.count(k) / n
+    odd = [k == "other" for k in kinds]
+    is_odd = lambda b: sort(b) == "other"
+    mean = sum(map(len, found)) / w
+    lines = raw.split(b"\n")
+    letters = kinds.count("upper") + kinds.count("lower")
+    again = sum(len(a) == len(b) and sum(a) == sum(b) and sum(x * x for x in a) == sum(x * x for x in b) for a, b in zip(found, found[1:]))
+    return [
+        share("lower"), share("upper"), again / w, share("space"), share("line"), share("stop"), share("comma"), share("other"), share("high"),
+        sum(a == b for a, b in zip(raw, raw[1:])) / n, sum(a and b for a, b in zip(odd, odd[1:])) / n, sum(65 <= x[0] <= 90 for x in found) / w, sum(is_odd(x[0]) for x in found) / w,
+        sum(is_odd(x[-1]) for x in found) / w, sum(len(x) == 1 and is_odd(x[0]) for x in found) / w, kinds.count("upper") / max(1, letters), mean,
+        max(0, sum(len(x) ** 2 for x in found) / w - mean**2) ** 0.5, kinds.count("stop") / w, kinds.count("comma") / w, kinds.count("line") / w, np.log1p(w),
+        (letters + kinds.count("high")) / n, 1 - len(set(lines)) / len(lines),
+    ]
+
+
+@pytest.mark.parametrize("piece", [20, 1 << 22])
+def test_features_equal_plain_ones_over_pieces(monkeypatch, piece):
+    monkeypatch.setattr(quality, "PIECE_BYTES", piece)
+    draw = random.Random(2)
+    texts = ["", "a", "  ", "\n\n", "One two two.", "x" * 100] + ["".join(draw.choice(("ab ", "ab", " ", "\n", "!", "#! ", "É", "Q. ", "7,", "to to ", "xx\nxx\n")) for _ in range(draw.randrange(80))) for _ in range(60)]
+    for t in texts:
+        raw = t.encode()
+        assert quality.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0] == pytest.approx(plain_features(t))
+
+
+def test_the_risk_and_its_slopes():
+    draw = np.random.default_rng(3)
+    weights = draw.random(7)
+    weights /= weights.sum()
+    for prior in (0.1, 0.9):  # with a non-negative and with a negative part that is held at 0
+        scores = draw.normal(size=12)
+        s = [1 / (1 + np.exp(-g)) for g in scores]
+        plain = (prior * sum(1 - x for x in s[:5]) / 5, sum(w * x for w, x in zip(weights, s[5:])) - prior * sum(s[:5]) / 5)
+        assert quality.risk(scores, 5, weights, prior) == pytest.approx(plain)
+        kept = (lambda r: sum(r)) if plain[1] >= 0 else (lambda r: -r[1])
+        for i, slope in enumerate(quality.risk_slopes(scores, 5, weights, prior)):
+            step = np.zeros(12)
+            step[i] = 1e-6
+            rise = kept(quality.risk(scores + step, 5, weights, prior)) - kept(quality.risk(scores - step, 5, weights, prior))
+            assert slope == pytest.approx(rise / 2e-6, abs=1e-6)
+    net = quality.Network(np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
+    z = draw.normal(size=(12, quality.FEATURES))
+    hidden, g = net.forward(z)
+    grads = net.gradients(z, hidden, quality.risk_slopes(g, 5, weights, 0.3))
+    for part, grad in zip(net.parts, grads):
+        at = tuple(d // 2 for d in part.shape)
+        values = []
+        for sign in (1, -1):
+            part[at] += sign * 1e-6
+            values.append(sum(quality.risk(net.forward(z)[1], 5, weights, 0.3)))
+            part[at] -= sign * 1e-6
+        assert grad[at] == pytest.approx((values[0] - values[1]) / 2e-6, abs=1e-6)
+
+
+def test_every_document_weighs_at_its_nearest_prototype(spark):
+    rows = quality_corpus(90)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(7, None), (None, "x")], "doc_id long, text string")
+    points = quality._drawn(docs, [3, 5, 7, 20, 999])
+    assert points.shape == (4, quality.FEATURES)
+    got = quality._weights(docs, points)
+    mean, scale = points.mean(0), points.std(0) + 1e-6
+    standard = lambda x: np.clip((x - mean) / scale, -6, 6)
+    want = Counter(int(((standard(points) - standard(np.array(plain_features(t or "")))) ** 2).sum(1).argmin()) for t in [t for _, t, _ in rows] + [None, "x"])
+    assert got.sum() == 92 and sum(abs(got[i] - want[i]) for i in range(4)) <= 2  # single against double precision
+
+
 def test_quality_edge_cases(spark, odd, empty, clashing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.learn(odd, none)
