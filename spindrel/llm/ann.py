@@ -5,19 +5,19 @@ shard a graph is built in growing batches: each new vector searches the graph so
 greedily from common entry points, and robust pruning chooses among all it met: the closest
 is taken, and with it go the candidates that it is nearer to, by the factor ``ALPHA``,
 than the vector is.  Edges back are added and pruned alike.  A second pass repeats this
-over the whole graph.  Queries beam-search every shard, in blocks, and the best of all
-shards are ranked by exact cosines in double precision.
+over the whole graph.  Queries beam-search every shard, and the best of all shards are ranked by
+exact cosines in double precision.
 
-Equal vectors are one node holding its smallest ids, so a common vector neither fills a
-graph with zero-length edges nor a shard with one row; as many ids are held as a result
-can need.  A shard's graph is one row of a durable table; queries meet it in blocks of
-bounded size, so a task holds one shard and one block.
+Equal vectors are one node holding its smallest rows, so a common vector neither fills a
+graph with zero-length edges nor a shard with one row; as many rows are held as a result
+can need.  A shard's graph is one row of a durable table.  Queries go to the shards in blocks, past
+the graph that a task holds: a task has one shard, loaded once, and at most ``PART`` queries.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take
-no part, as queries or candidates, nor do those of another length than most (shards with
-several lengths search each length apart); ties go to the smaller id; a repeated id keeps
-its rows apart unless its vectors are equal; with fewer candidates than asked all are
-returned; other columns are ignored; no rows give none.
+no part, as queries or candidates, nor do rows without an id; vectors of different lengths
+are searched apart, as no angle lies between them; ties go to the smaller id; rows that
+share an id are rows of their own, and a query leaves out its own row only; with fewer
+candidates than asked all are returned; other columns are ignored; no rows give none.
 """
 
 from __future__ import annotations
@@ -26,18 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrel.llm.common import materialize, table
+from spindrel.llm.common import materialize, small_batches, table
 
 SHARD = 8_192
 DEGREE = 40
-BUILD_BEAM = 96
-QUERY_BEAM = 256
+BUILD_BEAM = 48
+QUERY_BEAM = 192
 ALPHA = 1.2
 BLOCK = 512
+PART = 1 << 16
 ENTRIES = 64
 SEED = 5
 
@@ -158,100 +159,146 @@ def _add_back(points: np.ndarray, edges: np.ndarray, batch: np.ndarray, alpha: f
         edges[nodes[~few]] = robust_prune(points, nodes[~few], both[~few], degree, alpha)
 
 
-def distinct_vectors(vectors: DataFrame, ids: int) -> DataFrame:
-    """vector, ids: usable vectors, each with its ``ids`` smallest ids."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """The rows that can take part, each with a number of its own."""
     whole = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
     some = F.exists("vector", lambda x: x != 0)
-    usable = vectors.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(whole).where(some)
-    rank = F.row_number().over(W.partitionBy("vector").orderBy("id"))
-    return usable.distinct().withColumn("_at", rank).where(F.col("_at") <= ids).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    rows = vectors.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(whole).where(some)
+    return materialize(rows.select(F.monotonically_increasing_id().alias("row"), "id", "vector", "asked"))[0]
+
+
+def nodes_of(rows: DataFrame, held: int) -> DataFrame:
+    """vector, rows: the distinct vectors, each with its ``held`` smallest rows (id, row)."""
+    rank = F.row_number().over(W.partitionBy("vector").orderBy("id", "row"))
+    few = rows.withColumn("_at", rank).where(F.col("_at") <= held)
+    return few.groupBy("vector").agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("rows"))
+
+
+def _scaled(flat: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: exact, and no square overflows."""
+    return np.ldexp(flat, -np.frexp(np.abs(flat).max(1, keepdims=True))[1])
 
 
 def _unit(flat: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 without overflow."""
-    scaled = flat / np.abs(flat).max(1, keepdims=True)
+    scaled = _scaled(flat)
     return (scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))).astype(np.float32)
 
 
-INDEX = "shard int, dim int, entries array<int>, vectors binary, edges binary, ids array<array<long>>"
+INDEX = "shard int, dim int, entries array<int>, vectors binary, edges binary, bounds binary, ids binary, numbers binary"
 
 
 def _index(key: tuple, group: pa.Table) -> pa.Table:
     shard, dim = key[0].as_py(), key[1].as_py()
     group = group.combine_chunks()
     flat = np.asarray(group["vector"].chunk(0).flatten() if group["vector"].num_chunks else [], np.float64).reshape(-1, dim)
-    ids = group["ids"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: ids[i][0])
-    flat = flat[order]
-    edges, entries = build(_unit(flat))
+    held = [[(r["id"], r["row"]) for r in rows] for rows in group["rows"].to_pylist()]
+    order = sorted(range(len(held)), key=lambda i: held[i][0])
+    edges, entries = build(_unit(flat[order]))
+    rows = np.array([r for i in order for r in held[i]], np.int64).reshape(-1, 2)
+    bounds = np.cumsum([0, *(len(held[i]) for i in order)])
+    as_bytes = lambda x, kind: pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary())
     return pa.table(
         {
             "shard": pa.array([shard], pa.int32()), "dim": pa.array([dim], pa.int32()), "entries": pa.array([entries.astype(np.int32)], pa.list_(pa.int32())),
-            "vectors": pa.array([flat.tobytes()], pa.binary()), "edges": pa.array([edges.astype(np.int32).tobytes()], pa.binary()),
-            "ids": pa.array([[ids[i] for i in order]], pa.list_(pa.list_(pa.int64()))),
+            "vectors": as_bytes(flat[order], np.float64), "edges": as_bytes(edges, np.int32), "bounds": as_bytes(bounds, np.int64),
+            "ids": as_bytes(rows[:, 0], np.int64), "numbers": as_bytes(rows[:, 1], np.int64),
         }
     )
 
 
+class Shard:
+    """A shard's graph, ready for queries."""
+
+    def __init__(self, row: dict):
+        read = lambda name, kind: np.frombuffer(row[name], kind)
+        self.vectors = _scaled(read("vectors", np.float64).reshape(-1, row["dim"]))
+        self.units = _unit(self.vectors)
+        self.lengths = np.sqrt((self.vectors * self.vectors).sum(1))
+        self.edges = read("edges", np.int32).reshape(len(self.vectors), -1).astype(np.int64)
+        self.entries, self.bounds, self.ids, self.numbers = row["entries"], read("bounds", np.int64), read("ids", np.int64), read("numbers", np.int64)
+
+    def search(self, own: np.ndarray, targets: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, list[tuple[float, int, int]]]]:
+        """Of each query (its row number, its vector) the k best: (-score, id, row)."""
+        nodes, _, _ = beam_search(self.units, self.edges, self.entries, _unit(targets), min(beam, len(self.vectors)))
+        targets = _scaled(targets)
+        for q, (number, target) in enumerate(zip(own.tolist(), targets, strict=True)):
+            found = nodes[q][nodes[q] >= 0]
+            scores = (self.vectors[found] * target).sum(1) / (self.lengths[found] * np.sqrt((target * target).sum()))
+            best: list[tuple[float, int, int]] = []
+            # one node's only row may be the query's own, so k + 1 nodes and their ties hold the k best
+            least = -np.partition(-scores, k)[k] if len(found) > k else -np.inf
+            for at in np.flatnonzero(scores >= least).tolist():
+                node = found[at]
+                for r in range(self.bounds[node], self.bounds[node + 1]):
+                    if self.numbers[r] != number:
+                        best.append((-float(scores[at]), int(self.ids[r]), int(self.numbers[r])))
+            yield number, sorted(best)[:k]
+
+
 def _search(k: int, beam: int):
+    """Streams over a shard's graph and the blocks of queries behind it, in this order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard = None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                value = lambda name: batch.column(name)[row]  # noqa: E731, B023
-                dim = value("dim").as_py()
-                vectors = np.frombuffer(value("vectors").as_buffer(), np.float64).reshape(-1, dim)
-                edges = np.frombuffer(value("edges").as_buffer(), np.int32).reshape(len(vectors), -1).astype(np.int64)
-                ids = value("ids").as_py()
-                asked = np.array(value("query_ids").as_py(), np.int64)
-                targets = np.asarray(value("queries").values.flatten(), np.float64).reshape(-1, dim)
-                nodes, _, _ = beam_search(_unit(vectors), edges, value("entries").as_py(), _unit(targets), min(beam, len(vectors)))
-                lengths = np.sqrt((vectors * vectors).sum(1))
-                out: tuple[list, list, list] = ([], [], [])
-                for q, (query, target) in enumerate(zip(asked.tolist(), targets, strict=True)):
-                    found = nodes[q][nodes[q] >= 0]
-                    scores = (vectors[found] * target).sum(1) / (lengths[found] * np.sqrt((target * target).sum()))
-                    best = [(-s, i) for s, node in zip(scores.tolist(), found.tolist(), strict=True) for i in ids[node] if i != query]
-                    for s, i in sorted(best)[:k]:
-                        out[0].append(query)
-                        out[1].append(i)
-                        out[2].append(-s)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"]
-                )
+                value = {name: batch.column(name)[row] for name in batch.schema.names}
+                here = (value["shard"].as_py(), value["dim"].as_py())
+                if value["edges"].is_valid:
+                    key, shard = here, None
+                    shard = Shard({n: v.as_py() if n in ("shard", "dim", "entries") else v.as_buffer() for n, v in value.items() if n in INDEXED})
+                elif here == key:  # else the shard has no vectors of this length
+                    own = np.asarray(value["own"].values, np.int64)
+                    targets = np.asarray(value["queries"].values.flatten(), np.float64).reshape(-1, here[1])
+                    out: tuple[list, list, list, list] = ([], [], [], [])
+                    for number, best in shard.search(own, targets, k, beam):
+                        for s, i, r in best:
+                            for column, x in zip(out, (number, i, r, -s), strict=True):
+                                column.append(x)
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["own", "vec_id", "vec_row", "score"])
 
     return run
 
 
-def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int, *, shard_rows: int = SHARD, beam: int = QUERY_BEAM, block: int = BLOCK
-) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows of ``vectors`` found for each query.
+INDEXED = tuple(c.split()[0] for c in INDEX.split(", "))
+
 
-    Both have columns id and vector (array of double); a query finds no row of its own id.
+def nearest(vectors: DataFrame, asked: Column, k: int, *, shard_rows: int = SHARD, beam: int = QUERY_BEAM, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest other rows found for each row that is ``asked``.
+
+    ``vectors`` has columns id and vector (array of double).
     """
-    whole = materialize(distinct_vectors(vectors, k + 1).withColumn("dim", F.size("vector")))[0]
-    shards = max(1, -(-whole.count() // shard_rows))
-    placed = whole.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
-    index = materialize(placed.select("shard", "dim", "vector", "ids").groupBy("shard", "dim").applyInArrow(_index, INDEX))[0]
-    asked = distinct_vectors(queries, 1 << 30).select(F.explode("ids").alias("id"), "vector", F.size("vector").alias("dim"))
-    asked = materialize(asked)[0]
-    blocks = max(1, -(-asked.count() // block))
+    spark = vectors.sparkSession
+    rows = usable(vectors.select("id", "vector", F.coalesce(asked, F.lit(False)).alias("asked")))
+    nodes = materialize(nodes_of(rows, k + 1).withColumn("dim", F.size("vector")))[0]
+    shards = max(1, -(-nodes.count() // shard_rows))
+    placed = nodes.select(F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), "dim", "vector", "rows")
+    # by range, as hashes of the shards' numbers would leave some tasks with two shards and some with none
+    index = materialize(placed.repartitionByRange(shards, "shard").groupBy("shard", "dim").applyInArrow(_index, INDEX))[0]
+    queries = rows.where("asked")
+    count = queries.count()
+    blocks, parts = max(1, -(-count // block)), max(1, -(-count // PART))
+    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     grouped = (
-        asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+        queries.select("row", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"))
         .groupBy("block", "dim")
-        .agg(F.sort_array(F.collect_list(F.struct("id", "vector"))).alias("rows"))
-        .select("block", "dim", F.col("rows.id").alias("query_ids"), F.col("rows.vector").alias("queries"))
-    )
-    met = grouped.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["shard", "dim"])
-    met = met.repartition(max(1, shards * blocks), "shard", "block")
-    found = met.select("dim", "entries", "vectors", "edges", "ids", "query_ids", "queries").mapInArrow(
-        _search(k, beam), "query_id long, vec_id long, score double"
+        .agg(F.sort_array(F.collect_list(F.struct("row", "vector"))).alias("q"))
+        .select("dim", F.pmod("block", F.lit(parts)).cast("int").alias("part"), F.col("q.row").alias("own"), F.col("q.vector").alias("queries"))
     )
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    grouped = materialize(grouped)[0]
+    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = copies.unionByName(grouped.select("*", each), allowMissingColumns=True)
+    dealt = met.repartitionByRange(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "dim", F.col("own").isNotNull())
+    with small_batches(spark, 8):
+        found = materialize(dealt.mapInArrow(_search(k, beam), "own long, vec_id long, vec_row long, score double"))[0]
+    order = W.partitionBy("own").orderBy(F.desc("score"), "vec_id", "vec_row")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    named = queries.select(F.col("row").alias("own"), F.col("id").alias("query_id"))
+    return best.join(named, "own").select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return nearest(rows, rows.where(F.col("id") % 50 == 0), 5)
+    return nearest(rows, F.col("id") % 50 == 0, 5)

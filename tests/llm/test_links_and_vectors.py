@@ -5,6 +5,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spindrel.llm import ann, queries, urls
@@ -59,43 +60,67 @@ def vectors(spark, data):
     return spark.createDataFrame(data, "id long, vector array<double>")
 
 
-def brute(data, queries_, k):
-    good = [(i, np.array(v)) for i, v in data if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+def brute(data, asked, k):
+    """By row: the k nearest other rows, as (score, id)."""
+    good = [(n, i, np.array(v)) for n, (i, v) in enumerate(data) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    unit = lambda v: v / np.abs(v).max() / np.sqrt(((v / np.abs(v).max()) ** 2).sum())
     out = {}
-    for q, v in good:
-        if q in queries_:
-            scored = sorted((-float((w * v).sum() / (np.sqrt((w * w).sum()) * np.sqrt((v * v).sum()))), i) for i, w in good if i != q)
-            out[q] = [i for _, i in scored[:k]]
+    for n, i, v in good:
+        if asked(i):
+            scored = sorted((-float((unit(w) * unit(v)).sum()), j) for m, j, w in good if m != n and len(w) == len(v))
+            out[n] = [(-s, j) for s, j in scored[:k]]
     return out
 
 
-def test_recall_over_shards_with_a_dense_cluster(spark):
+def ranked(found):
+    by = {}
+    for r in found:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    return {q: sorted(rows) for q, rows in by.items()}
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_recall_over_shards(spark, dense):
+    """Shards of some thousand rows, without structure, or a third of the rows in one dense cluster."""
     draw = np.random.default_rng(1)
-    base = draw.normal(size=16)
-    data = [(i, (base + 0.05 * draw.normal(size=16) if i % 3 == 0 else draw.normal(size=16)).tolist()) for i in range(900)]
-    df = vectors(spark, data)
-    found = ann.nearest(df, df.where("id % 20 = 0"), 5, shard_rows=300).collect()
-    want = brute(data, {i for i in range(0, 900, 20)}, 5)
-    hits = sum(r["vec_id"] in want[r["query_id"]] for r in found)
-    assert len(found) == 225 and hits >= 0.95 * 225
-    assert all(r["score"] <= 1 + 1e-12 for r in found)
+    base = draw.normal(size=32)
+    data = [(i, (base + 0.05 * draw.normal(size=32) if dense and i % 3 == 0 else draw.normal(size=32)).tolist()) for i in range(9_000)]
+    found = ranked(ann.nearest(vectors(spark, data), F.col("id") % 100 == 0, 5, shard_rows=3_000).collect())
+    want = brute(data, lambda i: i % 100 == 0, 5)
+    assert all([rank for rank, _, _ in rows] == [1, 2, 3, 4, 5] for rows in found.values()) and set(found) == set(want)
+    hits = sum(i in {j for _, j in want[q]} for q, rows in found.items() for _, _, i in rows)
+    assert hits >= 0.95 * 450
+    exact = {q: dict((j, s) for s, j in rows) for q, rows in want.items()}
+    assert all(s == pytest.approx(exact[q][i], abs=1e-12) for q, rows in found.items() for _, s, i in rows if i in exact[q])
 
 
 def test_equal_vectors_and_unusable_ones(spark):
-    data = [(i, [1.0, 2.0]) for i in range(40)] + [(50, None), (51, [0.0, 0.0]), (52, [float("nan"), 1.0]), (53, [None, 1.0]), (54, [2.0, -1.0]), (54, [2.0, -1.0]), (55, [float("inf"), 1.0])]
-    df = vectors(spark, data)
-    got = {}
-    for r in ann.nearest(df, df.where("id in (0, 3, 50, 51, 54)"), 5).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert [i for _, i, _ in sorted(got[3])] == [0, 1, 2, 4, 5] and sorted(got[0])[0][2] == pytest.approx(1)
-    assert [i for _, i, _ in sorted(got[54])] == [0, 1, 2, 3, 4] and set(got) == {0, 3, 54}
+    data = [(i, [1.0, 2.0]) for i in range(40)] + [(50, None), (51, [0.0, 0.0]), (52, [float("nan"), 1.0]), (53, [None, 1.0]), (54, [2.0, -1.0]), (55, [float("inf"), 1.0]), (None, [1.0, 2.0])]
+    got = ranked(ann.nearest(vectors(spark, data), F.col("id").isin(0, 3, 50, 51, 54), 5).collect())
+    assert [i for _, _, i in got[3]] == [0, 1, 2, 4, 5] and got[0][0][1] == pytest.approx(1)
+    assert [i for _, _, i in got[54]] == [0, 1, 2, 3, 4] and set(got) == {0, 3, 54}
+
+
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    data = [(0, [1.0, 0.0]), (0, [1.0, 0.1]), (0, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [1.0, 1.0, 1.0]), (3, [1.0, 2.0, 1.0])]
+    found = ann.nearest(vectors(spark, data), F.col("id") % 2 == 0, 2).collect()
+    want = brute(data, lambda i: i % 2 == 0, 2)
+    mine = sorted((r["query_id"], round(r["score"], 9), r["vec_id"]) for r in found)
+    assert mine == sorted((data[n][0], round(s, 9), j) for n, rows in want.items() for s, j in rows) and len(mine) == 7
+
+
+def test_very_long_and_very_short_vectors(spark):
+    data = [(0, [1e200, 2e200]), (1, [3e-200, 1e-200]), (2, [-1e300, 1.0]), (3, [5e-324, 0.0])]
+    got = ranked(ann.nearest(vectors(spark, data), F.lit(True), 3).collect())
+    want = brute(data, lambda i: True, 3)
+    assert {q: [i for _, _, i in rows] for q, rows in got.items()} == {q: [i for _, i in rows] for q, rows in want.items()}
 
 
 def test_few_or_no_vectors(spark):
-    one = vectors(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])])
-    assert [tuple(r) for r in ann.nearest(one, one.where("id = 0"), 5).collect()] == [(0, 1, 1, 0.0)]
+    one = spark.createDataFrame([(0, [1.0, 0.0], "x", True, 7), (1, [0.0, 1.0], "y", None, 8)], "id long, vector array<double>, row string, asked boolean, shard int")
+    assert [tuple(r) for r in ann.nearest(one, F.col("id") == 0, 5).collect()] == [(0, 1, 1, 0.0)]
     none = vectors(spark, [])
-    assert ann.nearest(none, none, 5).count() == 0
+    assert ann.nearest(none, F.lit(True), 5).count() == 0
 
 
 # --- queries and pipeline -----------------------------------------------------------
