@@ -149,7 +149,7 @@ def lzw(data: np.ndarray, minimum: int, most: int | None = None) -> np.ndarray:
     padded = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64)
     bits, at, place = len(data) * 8, 0, 0
     fresh = [bytes([i & 255]) for i in range(clear)] + [b"", b""]
-    entries, last, full = list(fresh), b"", False
+    entries, full = list(fresh), False
     out: list[bytes] = []
     made = 0
     while True:
@@ -165,29 +165,44 @@ def lzw(data: np.ndarray, minimum: int, most: int | None = None) -> np.ndarray:
         codes = (padded[byte] | padded[byte + 1] << 8 | padded[byte + 2] << 16) >> (begin & 7) & (1 << width[: len(begin)]) - 1
         marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
         n = int(marks[0]) if len(marks) else len(codes)
-        for code in codes[:n].tolist():
-            if code < len(entries):
-                entry = entries[code]
-            elif last and code == len(entries):
-                entry = last + last[:1]
-            else:  # a damaged stream ends here
-                return np.frombuffer(b"".join(out), np.uint8)
-            out.append(entry)
-            made += len(entry)
-            if last and len(entries) < CODES:
-                entries.append(last + entry[:1])
-            last = entry
-            if most is not None and made >= most:
-                return np.frombuffer(b"".join(out), np.uint8)[:most]
+        first = len(out)
+        whole = _looked_up(codes[:n].tolist(), entries, out, place == 0)
+        made += sum(map(len, out[first:]))
+        if not whole or most is not None and made >= most:
+            break
         if len(marks):
             if codes[n] == clear + 1:
                 break
             at = int(begin[n] + width[n])
-            entries, last, full, place = list(fresh), b"", False, 0
+            entries, full, place = list(fresh), False, 0
         else:
             at, place = int(begin[-1] + width[len(begin) - 1]), place + len(codes)
             full = full or place >= CODES
-    return np.frombuffer(b"".join(out), np.uint8)
+    return np.frombuffer(b"".join(out), np.uint8)[:most]
+
+
+def _looked_up(codes: list[int], entries: list[bytes], out: list[bytes], first: bool) -> bool:
+    """Add the samples of codes to ``out`` while the table grows; whether all codes were sound."""
+    put, grow = out.append, entries.append
+    if first and codes:
+        if codes[0] >= len(entries):
+            return False
+        put(entries[codes[0]])
+        codes = codes[1:]
+    last, room = out[-1] if out else b"", CODES - len(entries)
+    for code in codes[:room]:
+        try:
+            entry = entries[code]
+        except IndexError:
+            if code > len(entries):  # a damaged stream ends here
+                return False
+            entry = last + last[:1]
+        put(entry)
+        grow(last + entry[:1])
+        last = entry
+    for code in codes[room:]:
+        put(entries[code])
+    return True
 
 
 def _rows(height: int, interlaced: bool) -> np.ndarray:
