@@ -1,6 +1,11 @@
 """URL filters, nearest neighbours, the registered queries and the pipeline."""
 
+import hashlib
+import math
 import os
+import random
+import re
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -49,6 +54,79 @@ def test_the_model_follows_the_labels(spark):
     assert sum(got[len(rows) + i] == want for i, (_, want) in enumerate(open_)) >= 38
 
 
+def plain_verdicts(pages):
+    """The models by dictionaries, one character at a time."""
+    rules = sorted(urls.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    label = {}
+    for _, u in pages:
+        if u is not None:
+            rest = u.partition("://")[2] if "://" in u else ""
+            host = re.split("[/?#]", rest)[0]
+            path = re.split("[?#]", rest[len(host) :])[0]
+            low = "".join(c.lower() if c.isascii() else c for c in host)
+            label[u] = next((v for v, h, p in rules if (low == h or low.endswith("." + h)) and path.startswith(p)), None) if "://" in u else None
+    held = {u: hashlib.md5(u.encode()).hexdigest()[0] in urls.HOLD for u in label}
+
+    def model(known):
+        count, after = Counter(), defaultdict(set)
+        for u in known:
+            whole = urls.PAD * urls.ORDER + u
+            for i in range(urls.ORDER, len(whole)):
+                for k in range(urls.ORDER + 1):
+                    count[whole[i - k : i], whole[i]] += 1
+                    after[whole[i - k : i]].add(whole[i])
+        total = Counter()
+        for (context, _), n in count.items():
+            total[context] += n
+
+        def log(context, c):
+            p = 1 / urls.SYMBOLS
+            for k in range(urls.ORDER + 1):
+                at = context[len(context) - k :]
+                if total[at]:
+                    p = (count[at, c] + len(after[at]) * p) / (total[at] + len(after[at]))
+            return math.log(p)
+
+        return log
+
+    def scorer(known):
+        good, bad = (model([u for u in known if label[u] == v]) for v in ("allow", "block"))
+
+        def score(u):
+            whole = urls.PAD * urls.ORDER + u
+            d = [good(whole[i - urls.ORDER : i], whole[i]) - bad(whole[i - urls.ORDER : i], whole[i]) for i in range(urls.ORDER, len(whole))]
+            return sum(d) / len(d) if d else None
+
+        return score
+
+    ruled = [u for u in label if label[u]]
+    fit, every = scorer([u for u in ruled if not held[u]]), scorer(ruled)
+    s = {v: [fit(u) for u in ruled if held[u] and label[u] == v] for v in ("allow", "block")}
+    mean, spread = ({v: f(x) for v, x in s.items()} for f in (np.mean, np.std))
+    t = (mean["allow"] * spread["block"] + mean["block"] * spread["allow"]) / (spread["allow"] + spread["block"])
+    out = {}
+    for i, u in pages:
+        score = every(u) if u and not label[u] else None
+        out[i] = label.get(u) or ("allow" if (score if score is not None else 0 if not u else score) >= t else "block") if u else ("allow" if t <= 0 else "block")
+    return out
+
+
+def test_verdicts_equal_plain_models(spark):
+    draw = random.Random(5)
+    tail = lambda: "".join(draw.choice("abcé😀/-?=#%") for _ in range(draw.randrange(12)))
+    pages = [(i, draw.choice(("http://a.com/", "https://B.net/es/", "http://c.net/fr/", "http://d.org/", "d.org/", "x", "")) + tail()) for i in range(300)]
+    pages += [(400, None), (401, "http://d.org/" + "ab" * 20_000), (402, "http://d.org/q"), (403, "http://d.org/q")]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == plain_verdicts(pages) and len(got) == len(pages)
+
+
+def test_equal_rules_go_by_code_point(spark):
+    rules = (("allow", "b.c", "/x"), ("block", "b.c", "/x"), ("block", "a.b.c", "/"), ("allow", "b.c", "/"))
+    pages = spark.createDataFrame([(1, "http://a.b.c/x"), (1, "http://a.b.c/x"), (2, "http://q.b.c/x/y")], "page_id long, url string")
+    got = sorted((r["page_id"], r["rule"], r["verdict"]) for r in urls.judge(pages, rules=rules).collect())
+    assert got == [(1, "a.b.c/", "block"), (1, "a.b.c/", "block"), (2, "b.c/x", "allow")]
+
+
 def test_no_pages(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
