@@ -1,11 +1,13 @@
 """Mixing sources to target weights (native: DataFrame operations only).
 
-Sainte-Lague apportionment in two levels.  Sources compete for equal-token blocks with
-their target sizes as votes; then the shards of a source compete for its blocks with
-their sizes as votes.  A shard is a bounded slice of a source in a seeded order, and
-takes a run of consecutive blocks (cyclic, from a seeded position) as often as its quota
-says, so what every document contributes is plain interval arithmetic: no row per block
-exists and no window spans more than one shard.
+Sainte-Lague apportionment in three levels.  Sources compete for equal-token blocks with
+their target sizes as votes; then groups of the shards of a source compete for its blocks, and
+the shards of a group for the group's, with their sizes as votes.  A shard is a bounded slice of a
+source in a seeded order, and takes a run of consecutive blocks (cyclic, from a seeded
+position) as often as its quota says, so what every document contributes is plain interval
+arithmetic: no row per block exists.  A source has as many groups as a group has shards, so no
+window holds more than the documents of a shard, the root of the number of a source's shards,
+or one row for each source.
 
 Highest quotients exactly, without a row per seat: with V votes, S seats and n parties,
 the divisor V/(S - n/2) hands out at most S seats and V/(S + n/2) at least S.  Every party
@@ -13,8 +15,10 @@ surely holds the seats of the first and never more than those of the second, and
 the at most 2n quotients between the two are ranked.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is the last
-source; repeated rows count as documents of their own; ties between quotients go to the
-earlier source or shard; no rows give no rows; other columns are ignored.
+source; a null id is an id like others, as the order goes by id and text; repeated rows count
+as documents of their own; ties between quotients go to the earlier source, group or shard; a
+very long text is a document like others, alone in its shard if it is larger than one; no rows
+give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ SHARD_WORDS = 1 << 18
 SEED = 7
 
 
-def _digest(column: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+def _digest(id_col: str, text_col: str, seed: int) -> Column:
+    """Of id and text: rows that share an id, or have none, do not all fall into one shard."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), text))
 
 
 def _number(digest: Column, start: int, length: int) -> Column:
@@ -91,11 +97,16 @@ def apportion(parties: DataFrame, votes: str, seats: Column, within: list[str],
     )
 
 
-def mix(
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of ``docs``."""
+    return _mixed(docs, **options).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mixed(
     docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MOST,
     block=BLOCK, shard_words=SHARD_WORDS, seed=SEED,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs``."""
+    """What ``mix`` returns, with nil, src and digest of the row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     sizes, _ = materialize(
         docs.select(
@@ -103,24 +114,23 @@ def mix(
             F.col(source_col).isNull().alias("nil"),
             F.coalesce(F.col(source_col), F.lit("")).alias("src"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+            _digest(id_col, text_col, seed).alias("digest"),
         )
     )
     goal, _ = materialize(
         apportion(
             targets(sizes, weights, share, most), "target",
             F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block), [], ["nil", "src"], "blocks",
-        ).withColumn("shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_words).cast("long"))
+        )
+        .withColumn("shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_words).cast("long"))
+        .withColumn("groups", F.ceil(F.sqrt("shards")).cast("long"))
     )
-    digest = _digest("doc_id", seed)
-    laid = (
-        sizes.join(goal, ["nil", "src"])
-        .withColumn("_digest", digest)
-        .withColumn("shard", _number(F.col("_digest"), 1, 8) % F.col("shards"))
-    )
-    shards = laid.groupBy("nil", "src", "shard").agg(
-        F.sum("size").alias("words"), F.first("blocks").alias("source_blocks"), F.first("shards").alias("n_shards")
-    )
-    quota = apportion(shards, "words", F.col("source_blocks"), ["nil", "src"], ["shard"], "quota")
+    laid = sizes.join(goal, ["nil", "src"]).withColumn("shard", _number(F.col("digest"), 1, 8) % F.col("shards"))
+    laid = laid.withColumn("grp", F.col("shard") % F.col("groups"))
+    shards, _ = materialize(laid.groupBy("nil", "src", "grp", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("source_blocks")))
+    groups = shards.groupBy("nil", "src", "grp").agg(F.sum("words").alias("votes"), F.first("source_blocks").alias("source_blocks"))
+    held = apportion(groups, "votes", F.col("source_blocks"), ["nil", "src"], ["grp"], "group_blocks").select("nil", "src", "grp", "group_blocks")
+    quota = apportion(shards.join(held, ["nil", "src", "grp"]), "words", F.col("group_blocks"), ["nil", "src", "grp"], ["shard"], "quota")
     # whole turns of the shard, then a seeded run of consecutive blocks
     whole = F.ceil(F.col("words") / block).cast("long")
     start = _number(F.md5(F.concat(F.lit(f"{seed}#"), F.col("src"), F.lit("#"), F.col("shard").cast("string"))), 1, 8)
@@ -137,12 +147,12 @@ def mix(
             F.greatest(F.lit(0), (F.col("_to") - F.col("_whole")) * block).alias("wrapped"),
         )
     )
-    run = W.partitionBy("nil", "src", "shard").orderBy("_digest", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    run = W.partitionBy("nil", "src", "shard").orderBy("digest", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = laid.withColumn("_end", F.sum("size").over(run)).join(quota, ["nil", "src", "shard"])
     begin = F.col("_end") - F.col("size")
     overlap = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("_end"), hi) - F.greatest(begin, lo))
     taken = F.col("turns") * F.col("size") + overlap(F.col("lo"), F.col("hi")) + overlap(F.lit(0), F.col("wrapped"))
-    return placed.select("doc_id", "size", "source_size", F.col("target").cast("double"), taken.cast("long").alias("taken"))
+    return placed.select("nil", "src", "digest", "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,21 +160,25 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it, to the nearest whole.
+    """Pipeline stage: every row as often as the mix takes its words, to the nearest whole.
 
-    Repeated ids are joined per id and size, so a document repeated in ``docs`` stays
-    repeated once for each of its rows.
+    In a shard only the documents at the two ends of its run are taken in part, so a
+    source misses its target by a document a shard at most.  Rows of one id, text and source
+    share what is taken of them, the first by their other columns one copy more.
     """
-    share = (
-        mix(docs)
-        .groupBy("doc_id")
-        .agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-        .select(F.col("doc_id").alias("_id"), F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_copies"))
-        .where("_copies > 0")
+    own = ["nil", "src", "digest"]
+    rounded = F.round(F.sum("taken") / F.greatest(F.max("size"), F.lit(1))).cast("long")
+    share = materialize(_mixed(docs).groupBy(*own).agg(F.count(F.lit(1)).alias("n"), rounded.alias("copies")).where("copies > 0"))[0]
+    rows = docs.select(
+        F.col("source").isNull().alias("nil"), F.coalesce(F.col("source"), F.lit("")).alias("src"), _digest("doc_id", "text", SEED).alias("digest"), F.struct("*").alias("_row")
     )
-    rows = docs.select("doc_id", F.struct("*").alias("_row"))
-    repeated = rows.join(share, rows["doc_id"].eqNullSafe(share["_id"]))
-    return repeated.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    uneven = F.col("copies") % F.col("n") != 0
+    even = rows.join(share.where(~uneven), own).select("_row", (F.col("copies") / F.col("n")).cast("int").alias("times"))
+    at = F.row_number().over(W.partitionBy(*own).orderBy(F.xxhash64("_row")))
+    odd = rows.join(share.where(uneven), own).withColumn("_at", at)
+    times = F.floor(F.col("copies") / F.col("n")) + (F.col("_at") <= F.col("copies") % F.col("n")).cast("int")
+    repeated = even.union(odd.select("_row", times.cast("int").alias("times"))).where("times > 0")
+    return repeated.select("_row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")
 
 
 def _oracle() -> str:
@@ -186,7 +200,8 @@ def _oracle() -> str:
     weights = ", ".join(f"{w}.0" for w in WEIGHTS)
     return rf"""
 WITH sizes AS (
-  SELECT doc_id, source IS NULL AS nil, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source IS NULL AS nil, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS digest FROM documents),
 by0 AS (SELECT nil, src, sum(size)::BIGINT AS source_size FROM sizes GROUP BY 1, 2),
 by1 AS (SELECT *, [{weights}][((row_number() OVER (ORDER BY nil, src)) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS weight, source_size * {MOST}.0::DOUBLE AS cap FROM by0),
 by2 AS (SELECT *, row_number() OVER f AS place,
@@ -198,14 +213,17 @@ goal0 AS (SELECT nil, src, source_size, least(cap, coalesce(free * weight, cap))
 goal1 AS (SELECT *, round((sum(target) OVER ()) / {BLOCK}) AS seats FROM goal0),
 {apportioned("goal2", "goal1", "target", "seats", "", "nil, src")},
 goal AS (SELECT nil, src, source_size, target, quota AS blocks, ceil(greatest(source_size, 1) / {SHARD_WORDS}.0)::BIGINT AS shards FROM goal2),
-laid0 AS (SELECT *, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM sizes JOIN goal USING (nil, src)),
-laid AS (SELECT *, ('0x' || substr(digest, 1, 8))::BIGINT % shards AS shard FROM laid0),
-shards0 AS (SELECT nil, src, shard, sum(size)::BIGINT AS words, min(blocks) AS source_blocks FROM laid GROUP BY 1, 2, 3),
-{apportioned("shards1", "shards0", "words", "source_blocks", "nil, src", "shard")},
+laid0 AS (SELECT *, ('0x' || substr(digest, 1, 8))::BIGINT % shards AS shard FROM sizes JOIN goal USING (nil, src)),
+laid AS (SELECT *, shard % ceil(sqrt(shards))::BIGINT AS grp FROM laid0),
+shards00 AS (SELECT nil, src, grp, shard, sum(size)::BIGINT AS words, min(blocks) AS source_blocks FROM laid GROUP BY 1, 2, 3, 4),
+groups0 AS (SELECT nil, src, grp, sum(words)::BIGINT AS votes, min(source_blocks) AS source_blocks FROM shards00 GROUP BY 1, 2, 3),
+{apportioned("groups1", "groups0", "votes", "source_blocks", "nil, src", "grp")},
+shards0 AS (SELECT shards00.*, groups1.quota AS group_blocks FROM shards00 JOIN groups1 USING (nil, src, grp)),
+{apportioned("shards1", "shards0", "words", "group_blocks", "nil, src, grp", "shard")},
 run0 AS (SELECT nil, src, shard, words, greatest(ceil(words / {BLOCK}.0)::BIGINT, 1) AS whole, quota FROM shards1),
 run1 AS (SELECT *, least(quota, {MOST} * whole) AS q, ('0x' || substr(md5('{SEED}#' || src || '#' || shard::VARCHAR), 1, 8))::BIGINT % whole AS first FROM run0),
 run AS (SELECT nil, src, shard, q // whole AS turns, first * {BLOCK} AS lo, least((first + q % whole) * {BLOCK}, words) AS hi, greatest(0, (first + q % whole - whole) * {BLOCK}) AS wrapped FROM run1),
-placed AS (SELECT *, (sum(size) OVER (PARTITION BY nil, src, shard ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS finish FROM laid)
+placed AS (SELECT *, (sum(size) OVER (PARTITION BY nil, src, shard ORDER BY digest, size ROWS UNBOUNDED PRECEDING))::BIGINT AS finish FROM laid)
 SELECT doc_id, size, source_size, target,
   (turns * size + greatest(0, least(finish, hi) - greatest(finish - size, lo)) + greatest(0, least(finish, wrapped) - greatest(finish - size, 0)))::BIGINT AS taken
 FROM placed JOIN run USING (nil, src, shard)

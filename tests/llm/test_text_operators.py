@@ -349,6 +349,25 @@ def test_apportionment_is_by_highest_quotients(spark):
         assert [got[i] for i in range(len(votes))] == want
 
 
+def test_the_mixing_stage_meets_its_targets(spark, monkeypatch):
+    """Also where ids are null or repeated, with equal and with different texts."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 4_000)
+    draw = random.Random(3)
+    text = lambda n: " ".join(f"w{draw.randrange(1000)}" for _ in range(n))
+    rows = [(draw.choice((None, 1, 2, i)), text(draw.randrange(1, 120)), draw.choice("abc")) for i in range(400)] + [(7, "same text here", "a")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_stage(spark, docs, "").collect()
+    target = {r["source_size"]: r["target"] for r in mixing.mix(docs).collect()}
+    for s in "abc":
+        size = sum(len(t.split()) for _, t, x in rows if x == s)
+        assert sum(len(r["text"].split()) for r in out if r["source"] == s) == pytest.approx(target[size], abs=240)
+    copies, had = Counter(map(tuple, out)), Counter(rows)
+    assert all(copies[r] <= 2 * n for r, n in had.items()) and set(copies) <= set(had)
+    assert Counter(map(tuple, mixing.mix_stage(spark, docs.repartition(3), "").collect())) == copies
+    five = spark.createDataFrame([(None, text(200), "a") for _ in range(5)], "doc_id long, text string, source string")
+    assert sum(len(r["text"].split()) for r in mixing.mix_stage(spark, five, "").collect()) == pytest.approx(1_500, abs=200)
+
+
 def test_mixing_edge_cases(odd, empty, clashing):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ODD)
