@@ -14,7 +14,8 @@ a time besides the batch, as the output row of that conversation must.
 
 Defined results: a null text or role is empty; repeated rows are turns of their own; rows
 with a null conv_id are one conversation; only the role ``assistant`` is under the loss
-mask; other columns are ignored; no rows give none.
+mask; a long text is copied whole, and a conversation that formats to 2 GiB or more, which no row
+can hold, is an error; other columns are ignored; no rows give none.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ from spindrel.llm.common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
+SCATTER = 1 << 20
+EMIT_BYTES = 64 << 20
+MOST_BYTES = (1 << 31) - 1
 CONTROL = r"<(\\*)\|"
 
 FORMATTED = "conv_id long, n_turns long, formatted string, loss_start array<long>, loss_end array<long>"
@@ -72,11 +76,18 @@ def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-    """Copy segments data[start : start + length] to out[to : to + length]."""
-    total = int(length.sum())
-    if total:
-        within = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-        out[np.repeat(to, length) + within] = data[np.repeat(start, length) + within]
+    """Copy segments data[start : start + length] to out[to : to + length], indices for SCATTER bytes at a time."""
+    for i in np.flatnonzero(length > SCATTER):
+        out[to[i] : to[i] + length[i]] = data[start[i] : start[i] + length[i]]
+    rest = np.flatnonzero((length > 0) & (length <= SCATTER))
+    ends, at = np.cumsum(length[rest]), 0
+    while at < len(rest):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SCATTER, side="right")))
+        own = rest[at:end]
+        n = length[own]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to[own], n) + within] = data[np.repeat(start[own], n) + within]
+        at = end
 
 
 def assemble(roles: pa.Array, texts: pa.Array, turns: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -119,6 +130,8 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = np.diff(np.append(first, len(marks)))
         roles, texts = (pa.concat_arrays(rows[c].chunks) for c in ("role", "text"))
         formatted, start, end = assemble(roles, texts, turns)
+        if len(formatted) and pc.max(pc.binary_length(formatted)).as_py() > MOST_BYTES:
+            raise ValueError("a conversation of 2 GiB or more cannot be one row")
         lost = np.asarray(pc.fill_null(pc.equal(roles, LOSS_ROLE), False))
         owner = np.repeat(np.arange(len(turns)), turns)
         spans = np.concatenate(([0], np.cumsum(np.bincount(owner[lost], minlength=len(turns))))).astype(np.int32)
@@ -133,6 +146,17 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["conv_id", "n_turns", "formatted", "loss_start", "loss_end"],
         )
 
+    def parts(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole conversations, about EMIT_BYTES of text at a time."""
+        first = np.flatnonzero(np.asarray(rows["first"]))
+        sizes = sum(np.asarray(pc.fill_null(pc.binary_length(rows[c]), 0), np.int64) for c in ("role", "text"))
+        ends = np.add.reduceat(sizes, first).cumsum()
+        bounds, at = [*first.tolist(), rows.num_rows], 0
+        while at < len(first):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EMIT_BYTES, side="right")))
+            yield emit(rows.slice(bounds[at], bounds[to] - bounds[at]))
+            at = to
+
     held: pa.Table | None = None  # the rows of the last conversation so far
     last: object = held
     for batch in batches:
@@ -149,10 +173,10 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (int(values[-1]), bool(null[-1])) if len(ids) else last
         cut = int(np.flatnonzero(np.asarray(rows["first"]))[-1])
         if cut:
-            yield emit(rows.slice(0, cut))
+            yield from parts(rows.slice(0, cut))
         held = rows.slice(cut)
     if held is not None:
-        yield emit(held)
+        yield from parts(held)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
