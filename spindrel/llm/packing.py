@@ -11,8 +11,10 @@ Packing runs where the documents are read, over windows of a bounded number of t
 no shuffle, no group larger than a window, and a lost task is simply run again on the
 same split.  A sequence id holds the partition above its number there.
 
-Defined results: a null text is empty; an empty text is the end token alone; repeated
-rows are packed each; a null id stays null; other columns are ignored; no rows give none.
+Defined results: a null text is empty; an empty text is the end token alone; a very long text is
+encoded whole and gives off full sequences; documents of equal length go in the order in which
+they are read; repeated rows are packed each; a null id stays null; other columns are ignored;
+no rows give none.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ CAPACITY = 2048
 END_ID = 1
 WINDOW_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-CACHE_WORDS = 350_000
+CACHE_BYTES = 80 << 20
+ENTRY_BYTES = 150  # of a cached word besides its characters and ids
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -49,6 +52,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """One call for all new words; a token belongs to the word in which it starts."""
@@ -69,7 +73,9 @@ class Encoder:
         known = self.known
         if new := set(words).difference(known):
             rare = self.learn(list(new))
-            if len(known) + len(rare) <= CACHE_WORDS:
+            more = ENTRY_BYTES * len(rare) + sum(map(len, rare)) + sum(map(len, rare.values()))
+            if self.held + more <= CACHE_BYTES:
+                self.held += more
                 known.update(rare)
             else:  # full: frequent words are in by now
                 return b"".join([known[w] if w in known else rare[w] for w in words])

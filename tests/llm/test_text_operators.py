@@ -296,6 +296,19 @@ def test_chats_over_many_batches(spark):
     assert {r["conv_id"]: [t for _, t in chat.parse(r["formatted"])] for r in chats} == {c: [f"{c}-{t}" for t in range(10)] for c in (1, 2, 3, None)}
 
 
+def test_chats_with_repeats_long_texts_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SCATTER", 50)
+    texts = pa.array(["a" * 300, "<|" * 30, None, "é<\\|"] * 3)
+    roles = pa.array(["user", "assistant", None, "x|y"] * 3)
+    formatted, start, end = chat.assemble(roles, texts, np.array([4, 1, 7]))
+    got = [t for f in formatted.to_pylist() for t in chat.parse(f)]
+    assert got == [(r or "", t or "") for r, t in zip(roles.to_pylist(), texts.to_pylist())]
+    rows = [(1, 1, "user", "b" * 2_000_000)] * 2 + [(1, 1, "assistant", "c"), (2, None, None, None), (None, 3, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("z") for c in ("first", "formatted", "n_turns", "loss_start")})
+    found = {r["conv_id"]: chat.parse(r["formatted"]) for r in chat.format_chats(df).collect()}
+    assert found == {1: [("assistant", "c")] + [("user", "b" * 2_000_000)] * 2, 2: [("", "")], None: [("user", "x")]}
+
+
 def test_no_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string, n_turns int")).count() == 0
 
@@ -414,15 +427,53 @@ def test_packing_holds_each_id_once(spark, tokenizer):
         assert at <= 2048 and at & (at - 1) == 0  # no padding at all
 
 
-def test_packing_balances_the_cost():
-    draw = random.Random(3)
-    lengths = [draw.choice((30, 200, 900, 1_500, 2_048, 3_000)) for _ in range(400)]
+def plain_pack(lengths, capacity=2048):
+    """Longest first into the cheapest sequence with room, by looking at every sequence."""
+    pieces, full, rest = [], 0, []
+    for d, n in enumerate(lengths):
+        for start in range(0, n - n % capacity, capacity):
+            pieces.append((d, start, capacity, full, 0))
+            full += 1
+        if n % capacity:
+            rest.append((-(n % capacity), d, n - n % capacity))
+    left = -sum(r[0] for r in rest)
+    size = [capacity] * (left // capacity) + [1 << k for k in range(12, -1, -1) if left % capacity >> k & 1]
+    used, late = [[] for _ in size], []
+    cost = lambda b: sum(n + n * n / 2048 for n in used[b])
+    for n, d, start in sorted(rest):
+        open_ = [b for b in range(len(size)) if size[b] - sum(used[b]) >= -n]
+        if not open_:
+            late.append((-n, d, start))
+            continue
+        b = min(open_, key=lambda b: (cost(b), b))
+        pieces.append((d, start, -n, full + b, sum(used[b])))
+        used[b].append(-n)
+    for n, d, start in late:
+        while n:
+            b = max(range(len(size)), key=lambda b: (size[b] - sum(used[b]), -b))
+            take = min(n, size[b] - sum(used[b]))
+            pieces.append((d, start, take, full + b, sum(used[b])))
+            used[b].append(take)
+            start, n = start + take, n - take
+    return pieces
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_packing_balances_the_cost(seed):
+    draw = random.Random(seed)
+    lengths = [draw.choice((30, 200, 900, 1_500, 2_048, 3_000)) for _ in range(200)] + [0, 1, 2_048, 10_000]
     pieces = packing.pack(lengths)
+    assert pieces == plain_pack(lengths)
     cost = defaultdict(float)
     for _, _, n, sequence, _ in pieces:
         cost[sequence] += n + n * n / 2048
     assert sum(n for _, _, n, _, _ in pieces) == sum(lengths)
-    assert len(pieces) < len(lengths) + sum(n // 2048 for n in lengths) + len(cost)
+    even = packing.pack([64] * 3_200)  # equal documents: every sequence costs the same
+    per = defaultdict(float)
+    for _, _, n, sequence, _ in even:
+        per[sequence] += n + n * n / 2048
+    full = [c for s, c in per.items() if s < 100]
+    assert max(full) == min(full)
 
 
 def test_packing_edge_cases(odd, empty, clashing):
@@ -434,7 +485,7 @@ def test_packing_edge_cases(odd, empty, clashing):
 def test_the_word_cache_may_be_full(tokenizer, monkeypatch):
     import public_tokenizers
 
-    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 3)
     encode = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     for text in TEXTS:
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
