@@ -33,14 +33,13 @@ class Query:
     columns: tuple[str, ...]
     sql: str | None
     texts: tuple[str, ...] = ()  # list columns, given as joined text
-    prepare: Callable[[Session, str], None] | None = None
+    prepare: Callable[[Session, str], dict | None] | None = None  # may give the script's parameters
     finish: Callable[[DataFrame], DataFrame] | None = None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         session = session_for(spark, sf_dir, self.script)
-        if self.prepare:
-            self.prepare(session, sf_dir)
-        df = session.run(self.script)
+        params = self.prepare(session, sf_dir) if self.prepare else None
+        df = session.run(self.script, params)
         df = self.finish(df) if self.finish else df
         df = df.toDF(*self.columns)
         for c in self.texts:
@@ -99,11 +98,29 @@ add(
 )
 add("cross_product", "?[a, b] := *region{r_name: a}, *region{r_name: b}, a != b", "a b", "SELECT x.r_name AS a, y.r_name AS b FROM region x, region y WHERE x.r_name <> y.r_name")
 add("implicit_equality", "?[k] := *nation[k, _, k]", "k", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey = n_regionkey")
+add(
+    "implicit_equality_computed",
+    "?[o, n, p] := *lineitem[o, n, p, s, n + 1, _, _, _, _, _, _]",
+    "o n p",
+    "SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_partkey AS p FROM lineitem WHERE l_quantity = l_linenumber + 1",
+)
+add(
+    "semi_join",
+    "?[c, n] := *customer{c_custkey: c, c_name: n}, *orders{o_custkey: c}",
+    "c n",
+    "SELECT c_custkey AS c, c_name AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+)
+add(
+    "negated_predicate",
+    "?[k] := *part{p_partkey: k, p_size: s, p_brand: b}, not (s > 3, b != 'Brand#17'), not s == 2",
+    "k",
+    "SELECT p_partkey AS k FROM part WHERE NOT (p_size > 3 AND p_brand <> 'Brand#17') AND p_size <> 2",
+)
 add(
     "anti_join",
-    "?[c] := *customer{c_custkey: c}, not *orders{o_custkey: c}",
+    "?[c] := *customer{c_custkey: c}, not *orders{o_custkey: c, o_orderstatus: 'P'}",
     "c",
-    "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
 )
 add(
     "anti_join_rule",
@@ -182,7 +199,14 @@ add_aggregate("unique", "l_linenumber: v", "v", "array_to_string(list_sort(list(
 add_aggregate("count_unique", "l_partkey: v", "v", "count(DISTINCT l_partkey)")
 add_aggregate("count", "l_partkey: v", "v", "count(*)")
 add_aggregate("union", "l_linenumber", "[l_linenumber, l_linenumber + 1]", "array_to_string(list_sort(list_distinct(list_concat(list(DISTINCT l_linenumber), list(DISTINCT l_linenumber + 1)))), ',')", "v")
-add_aggregate("intersection", "l_linenumber", "[100, 7, l_linenumber]", "'7,100'", "v")
+add(
+    "agg_intersection",
+    "t[c, intersection(v)] := *orders{o_custkey: c, o_orderstatus: s, o_orderpriority: p}, v = [p, s, 'X']  ?[c, v] := t[c, w], v = sorted(w)",
+    "c v",
+    "WITH e AS (SELECT o_custkey AS c, o_orderkey AS k, unnest([o_orderpriority, o_orderstatus, 'X']) AS x FROM orders), n AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1), "
+    "held AS (SELECT c, x, count(DISTINCT k) AS m FROM e GROUP BY 1, 2) SELECT c, string_agg(x, ',' ORDER BY x) AS v FROM held JOIN n USING (c) WHERE m = n GROUP BY c",
+    "v",
+)
 add_aggregate("min", "l_extendedprice: v", "v", "min(l_extendedprice)")
 add_aggregate("max", "l_extendedprice: v", "v", "max(l_extendedprice)")
 for _name, _sql in (("variance", "var_samp(l_quantity)"), ("std_dev", "stddev_samp(l_quantity)"), ("mean", "avg(l_quantity)")):
@@ -294,13 +318,15 @@ add_functions(
     [(f"round(1000000 * {a}) / 1000000", f"round(1000000 * {b}) / 1000000") for a, b in (
         *((f"{f}(s_suppkey / 200000)", f"{f}(s_suppkey / 200000.0::DOUBLE)") for f in ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "asinh", "atanh")),
         ("acosh(s_suppkey + 1)", "acosh(s_suppkey + 1)"), ("atan2(s_suppkey, 3)", "atan2(s_suppkey, 3)"), ("deg_to_rad(s_suppkey)", "radians(s_suppkey)"), ("rad_to_deg(s_suppkey)", "degrees(s_suppkey)"),
+        ("haversine(s_suppkey / 2000, 0.1, 0.2, 0.3)", "2 * asin(sqrt(pow(sin((0.2 - s_suppkey / 2000.0::DOUBLE) / 2), 2) + cos(s_suppkey / 2000.0::DOUBLE) * cos(0.2::DOUBLE) * pow(sin(0.1::DOUBLE), 2)))"),
         ("haversine_deg_input(s_suppkey / 2000, 10, 20, 30)", "2 * asin(sqrt(pow(sin(radians(20 - s_suppkey / 2000.0::DOUBLE) / 2), 2) + cos(radians(s_suppkey / 2000.0::DOUBLE)) * cos(radians(20)) * pow(sin(radians(20) / 2), 2)))"))],
 )
 add_functions(
     "string", "part", "p_partkey",
     [("length(p_name)", "length(p_name)"), ("concat(p_brand, '-', p_type)", "p_brand || '-' || p_type"), ("p_brand ++ '!'", "p_brand || '!'"), ("lowercase(p_name)", "lower(p_name)"), ("uppercase(p_name)", "upper(p_name)"),
      ("str_includes(p_name, '1')", "contains(p_name, '1')"), ("starts_with(p_brand, 'Brand#1')", "starts_with(p_brand, 'Brand#1')"), ("ends_with(p_name, '7')", "ends_with(p_name, '7')"),
-     ("slice_string(p_name, 1, 4)", "substring(p_name, 2, 3)"), ("trim(concat(' ', p_brand, '\\t\\n'))", "p_brand"), ("from_substrings(reverse(chars(p_brand)))", "reverse(p_brand)"), ("unicode_normalize(p_brand, 'nfc')", "p_brand")],
+     ("slice_string(p_name, 1, 4)", "substring(p_name, 2, 3)"), ("trim(concat(' ', p_brand, '\\t\\n'))", "p_brand"), ("from_substrings(reverse(chars(p_brand)))", "reverse(p_brand)"), ("unicode_normalize(concat(p_brand, 'e\u0301A\u030a'), 'nfc')", "nfc_normalize(p_brand || 'e' || chr(769) || 'A' || chr(778))"),
+     ("trim_start(concat(' ', p_brand, ' '))", "p_brand || ' '"), ("trim_end(concat(' ', p_brand, ' '))", "' ' || p_brand"), ("t2s(concat(p_brand, '漢語'))", "p_brand || '汉语'")],
 )
 add_functions(
     "regex", "part", "p_partkey",
@@ -328,7 +354,8 @@ add_functions(
     "conversion", "part", "p_partkey",
     [("to_string(p_size)", "p_size::VARCHAR"), ("to_int(to_string(p_size))", "p_size"), ("to_float('2.5') + p_size", "2.5::DOUBLE + p_size"), ("to_bool(p_size - 1)", "p_size <> 1"), ("to_unity(p_size - 1)", "(p_size <> 1)::INT"),
      ("is_int(p_size)", "true"), ("is_float(p_retailprice)", "true"), ("is_string(p_name)", "true"), ("is_list([p_size])", "true"), ("is_num(p_name)", "false"), ("is_finite(p_retailprice)", "true"), ("is_nan(p_retailprice - p_retailprice)", "false"),
-     ("to_uuid('F47AC10B-58CC-4372-A567-0E02B2C3D479')", "'f47ac10b-58cc-4372-a567-0e02b2c3d479'"), ("is_bytes(decode_base64('AA=='))", "true")],
+     ("to_uuid('F47AC10B-58CC-4372-A567-0E02B2C3D479')", "'f47ac10b-58cc-4372-a567-0e02b2c3d479'"), ("is_bytes(decode_base64('AA=='))", "true"),
+     ("is_uuid(to_uuid('f47ac10b-58cc-4372-a567-0e02b2c3d479'))", "true"), ("is_uuid(p_name)", "false"), ("assert(p_size > 0, 'a size is above 0')", "true"), ("length(vec([p_size, 2, 3]))", "3")],
 )
 add_functions(
     "bytes", "nation", "n_nationkey",
@@ -338,7 +365,8 @@ add_functions(
 add_functions(
     "json", "nation", "n_nationkey",
     [("dump_json({'a': n_nationkey, 'b': [1, 2]})", "'{\"a\":' || n_nationkey || ',\"b\":[1,2]}'"), ("dump_json(get(parse_json('{\"x\": [1, {\"y\": 5}]}'), ['x', 1, 'y']))", "'5'"), ("dump_json(set_json_path(json_object('k', 1), ['q', 'r'], n_regionkey))", "'{\"k\":1,\"q\":{\"r\":' || n_regionkey || '}}'"),
-     ("dump_json(remove_json_path({'a': 1, 'b': 2}, ['a']))", "'{\"b\":2}'"), ("is_json(json(n_nationkey))", "true"), ("dump_json(concat({'a': 1}, {'b': 2}))", "'{\"a\":1,\"b\":2}'"), ("dump_json({'z': 1} -> 'z')", "'1'")],
+     ("dump_json(remove_json_path({'a': 1, 'b': 2}, ['a']))", "'{\"b\":2}'"), ("is_json(json(n_nationkey))", "true"), ("dump_json(concat({'a': 1}, {'b': 2}))", "'{\"a\":1,\"b\":2}'"), ("dump_json({'z': 1} -> 'z')", "'1'"),
+     ("json_to_scalar(get(parse_json(concat('{\"n\": \"', n_name, '\"}')), ['n'])) == n_name", "true")],
 )
 add_functions(
     "time", "nation", "n_nationkey",
@@ -355,8 +383,10 @@ add(
 # --- recursion and graphs -----------------------------------------------------------
 
 #: Parts that follow each other within an order.
-HOP = "hop[a, b] := *lineitem{l_orderkey: o, l_linenumber: n, l_partkey: a}, *lineitem{l_orderkey: o, l_linenumber: n + 1, l_partkey: b}, b % 5 == 0 "
-HOP_SQL = "hop AS (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE y.l_partkey % 5 = 0)"
+HOP = "hop[a, b] := *lineitem{l_orderkey: o, l_linenumber: n, l_partkey: a}, *lineitem{l_orderkey: o, l_linenumber: n + 1, l_partkey: b} "
+HOP_SQL = "hop AS (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1)"
+#: Hops from part 1 to every part that it reaches, which may be itself again.
+FAR_SQL = f"WITH RECURSIVE {HOP_SQL}, far AS (SELECT b, 1 AS n FROM hop WHERE a = 1 UNION SELECT h.b, far.n + 1 FROM far JOIN hop h ON h.a = far.b WHERE far.n < 30), hops AS (SELECT b, min(n)::BIGINT AS n FROM far GROUP BY 1) "
 #: The cheapest line between a customer's nation and a supplier's.
 TRADE = "trade[a, b, min(w)] := *customer{c_custkey: c, c_nationkey: a}, *orders{o_orderkey: o, o_custkey: c}, *lineitem{l_orderkey: o, l_suppkey: s, l_extendedprice: w}, *supplier{s_suppkey: s, s_nationkey: b}, a != b "
 TRADE_SQL = "trade AS (SELECT c_nationkey AS a, s_nationkey AS b, min(l_extendedprice) AS w FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)"
@@ -388,7 +418,7 @@ add(
     "shortest_hops",
     HOP + "d[b, min(n)] := hop[1, b], n = 1  d[b, min(n)] := d[a, m], hop[a, b], n = m + 1  ?[b, n] := d[b, n]",
     "b n",
-    f"WITH RECURSIVE {HOP_SQL}, t AS (SELECT b, 1 AS n FROM hop WHERE a = 1 UNION SELECT h.b, t.n + 1 FROM t JOIN hop h ON h.a = t.b WHERE t.n < 30) SELECT b, min(n)::BIGINT AS n FROM t GROUP BY 1",
+    FAR_SQL + "SELECT b, n FROM hops",
 )
 add(
     "min_cost_path",
@@ -398,9 +428,9 @@ add(
 )
 add(
     "mutual_recursion",
-    "e[n] := n = 0  o[n] := e[m], m < 8, n = m + 1  e[n] := o[m], m < 8, n = m + 1  ?[n, even] := e[n], even = true  ?[n, even] := o[n], even = false",
-    "n even",
-    "SELECT range AS n, range % 2 = 0 AS even FROM range(9)",
+    HOP + "o[b] := hop[1, b]  o[b] := e[a], hop[a, b]  e[b] := o[a], hop[a, b]  ?[b, even] := e[b], even = true  ?[b, even] := o[b], even = false",
+    "b even",
+    f"WITH RECURSIVE {HOP_SQL}, t AS (SELECT b, false AS even FROM hop WHERE a = 1 UNION SELECT h.b, NOT t.even FROM t JOIN hop h ON h.a = t.b) SELECT b, even FROM t",
 )
 add(
     "stratified_negation",
@@ -408,8 +438,19 @@ add(
     "p",
     f"WITH RECURSIVE {HOP_SQL}, t AS (SELECT b FROM hop WHERE a = 1 UNION SELECT h.b FROM t JOIN hop h ON h.a = t.b) SELECT a AS p FROM hop WHERE a NOT IN (SELECT b FROM t) UNION SELECT b FROM hop WHERE b NOT IN (SELECT b FROM t)",
 )
-SUPPLY = "e[a, b] := *lineitem{l_suppkey: s, l_partkey: p, l_quantity: q}, q == 1.0, p % 11 == 0, a = concat('s', to_string(s)), b = concat('p', to_string(p)) "
-SUPPLY_SQL = "e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity = 1 AND l_partkey % 11 = 0)"
+#: Who supplies what.
+SUPPLY = "e[a, b] := *lineitem{l_suppkey: s, l_partkey: p}, a = concat('s', to_string(s)), b = concat('p', to_string(p)) "
+SUPPLY_SQL = "e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem)"
+
+
+def spread_sql(rounds: int = 12) -> str:
+    """CTEs of the smallest node that reaches each node of ``u`` (a, b) within so many steps."""
+    steps = ["r0 AS (SELECT DISTINCT a AS n, a AS r FROM u)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"r{i} AS (SELECT n, min(r) AS r FROM (SELECT * FROM r{i - 1} UNION ALL SELECT b, r FROM u JOIN r{i - 1} ON n = a) GROUP BY 1)")
+    return ", ".join(steps)
+
+
 add(
     "graph_degree",
     SUPPLY + "?[] <~ DegreeCentrality(e[])",
@@ -420,27 +461,26 @@ add(
     "graph_components",
     SUPPLY + "c[] <~ ConnectedComponents(e[])  m[g, min_name] := c[n, g], min_name = n  l[g, smallest_by(p)] := c[n, g], p = [n, n]  ?[n, r] := c[n, g], l[g, r]",
     "n r",
-    f"WITH RECURSIVE {SUPPLY_SQL}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), t AS (SELECT a AS n, a AS r FROM u UNION SELECT u.b, t.r FROM t JOIN u ON u.a = t.n) SELECT n, min(r) AS r FROM t GROUP BY 1",
+    f"WITH {SUPPLY_SQL}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), {spread_sql()} SELECT n, r FROM r12",
 )
 add(
     "graph_clustering",
-    TRADE + "u[a, b] := trade[a, b, w], w < 2500.0  ?[] <~ ClusteringCoefficients(u[])",
+    TRADE + "u[a, b] := trade[a, b, _]  ?[] <~ ClusteringCoefficients(u[])",
     "node coefficient triangles degree",
-    f"WITH {TRADE_SQL}, u AS (SELECT a, b FROM trade WHERE w < 2500), e AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), d AS (SELECT a AS node, count(*) AS degree FROM e GROUP BY 1), s AS (SELECT DISTINCT a, b FROM e), t AS (SELECT x.a AS node, count(*) AS n FROM s x JOIN s y ON y.a = x.a AND x.b < y.b JOIN s z ON z.a = x.b AND z.b = y.b GROUP BY 1) "
+    f"WITH {TRADE_SQL}, u AS (SELECT a, b FROM trade), e AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), d AS (SELECT a AS node, count(*) AS degree FROM e GROUP BY 1), s AS (SELECT DISTINCT a, b FROM e), t AS (SELECT x.a AS node, count(*) AS n FROM s x JOIN s y ON y.a = x.a AND x.b < y.b JOIN s z ON z.a = x.b AND z.b = y.b GROUP BY 1) "
     "SELECT d.node, CASE WHEN degree < 2 THEN 0.0 ELSE 2.0::DOUBLE * coalesce(n, 0) / (degree * (degree - 1)) END AS coefficient, coalesce(n, 0) AS triangles, degree FROM d LEFT JOIN t ON t.node = d.node",
 )
 add(
     "graph_bfs_hops",
     HOP + "s[n] <- [[1]]  g[n] := hop[_, n]  p[] <~ ShortestPathBFS(hop[], s[], g[])  ?[b, n] := p[a, b, q], !is_null(q), n = length(q) - 1",
     "b n",
-    f"WITH RECURSIVE {HOP_SQL}, t AS (SELECT b, 1 AS n FROM hop WHERE a = 1 UNION SELECT h.b, t.n + 1 FROM t JOIN hop h ON h.a = t.b WHERE t.n < 30) SELECT b, min(n)::BIGINT AS n FROM t WHERE b <> 1 GROUP BY 1",
+    FAR_SQL + "SELECT b, n FROM hops WHERE b <> 1",
 )
 add(
     "graph_bfs",
-    TRADE + "s[n] <- [[0]]  ?[] <~ BFS(trade[a, b], *nation{n_nationkey, n_name}, s[], condition: n_name == 'NATION_7')",
-    "start found path",
-    f"WITH {TRADE_SQL}, one AS (SELECT 1 FROM trade WHERE a = 0 AND b = 7) SELECT 0 AS start, 7 AS found, '0,7' AS path FROM one",
-    "path",
+    HOP + "s[n] <- [[1]]  p[] <~ BFS(hop[], *part{p_partkey, p_size}, s[], condition: p_size == 50, limit: 1000000)  ?[a, b, n] := p[a, b, q], n = length(q) - 1",
+    "start found hops",
+    FAR_SQL + "SELECT 1 AS start, b AS found, n AS hops FROM hops JOIN part ON p_partkey = b WHERE p_size = 50 AND b <> 1",
 )
 add(
     "graph_dijkstra",
@@ -454,14 +494,19 @@ add(
     "b c",
     relaxed() + "SELECT n AS b, round(c * 100) / 100 AS c FROM d12",
 )
-_NEAR = TRADE + "near[a, b, w] := trade[a, b, w], w < 4000.0 "
-add("graph_mst_kruskal", _NEAR + "f[] <~ MinimumSpanningForestKruskal(near[])  ?[sum(w)] := f[_, _, w]", "total", None)
-add("graph_mst_prim", _NEAR + "f[] <~ MinimumSpanningTreePrim(near[])  ?[sum(w)] := f[_, _, w]", "total", None)
+#: The smallest of the largest steps between any two nations, both ways: what a minimum forest keeps.
+WIDEST_SQL = (
+    f"WITH {TRADE_SQL}, u AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(w) AS w FROM trade GROUP BY 1, 2), m0 AS (SELECT a, b, w FROM u UNION ALL SELECT b, a, w FROM u), "
+    + ", ".join(f"m{i} AS (SELECT a, b, min(w) AS w FROM (SELECT * FROM m{i - 1} UNION ALL SELECT x.a, y.b, greatest(x.w, y.w) FROM m{i - 1} x JOIN m{i - 1} y ON y.a = x.b AND y.b <> x.a) GROUP BY 1, 2)" for i in range(1, 6))
+)
+_TREE_SQL = WIDEST_SQL + " SELECT round(sum(u.w) * 100) / 100 AS total FROM u JOIN m5 ON m5.a = u.a AND m5.b = u.b AND m5.w = u.w"
+add("graph_mst_kruskal", TRADE + "f[] <~ MinimumSpanningForestKruskal(trade[])  t[sum(w)] := f[_, _, w]  ?[r] := t[x], r = round(x * 100) / 100", "total", _TREE_SQL)
+add("graph_mst_prim", TRADE + "f[] <~ MinimumSpanningTreePrim(trade[])  t[sum(w)] := f[_, _, w]  ?[r] := t[x], r = round(x * 100) / 100", "total", _TREE_SQL)
 add(
     "graph_topsort",
-    "e[a, b] := *nation{n_nationkey: a, n_regionkey: r}, b = r + 100  p[] <~ TopSort(e[])  ?[ok] := e[a, b], p[i, a], p[j, b], ok = i < j",
-    "ok",
-    "SELECT true AS ok",
+    "e[a, b] := *nation{n_nationkey: a, n_regionkey: r}, b = r + 100  p[] <~ TopSort(e[])  ?[a, b, ok] := e[a, b], p[i, a], p[j, b], ok = i < j",
+    "a b ok",
+    "SELECT n_nationkey AS a, n_regionkey + 100 AS b, true AS ok FROM nation",
 )
 add(
     "graph_scc",
@@ -486,22 +531,77 @@ def ranked(rounds: int = 10) -> str:
 
 
 add("graph_pagerank", SUPPLY + "p[] <~ PageRank(e[], undirected: true, iterations: 10, epsilon: 0.0)  ?[n, r] := p[n, x], r = round(x * 1000000) / 1000000", "node rank", ranked())
-add("graph_closeness", TRADE + "u[a, b] := trade[a, b, w], w < 2500.0  ?[] <~ ClosenessCentrality(u[], undirected: true)", "node centrality", None)
-add("graph_betweenness", TRADE + "u[a, b] := trade[a, b, w], w < 2500.0  ?[] <~ BetweennessCentrality(u[], undirected: true)", "node centrality", None)
-add("graph_louvain", SUPPLY + "c[] <~ CommunityDetectionLouvain(e[], undirected: true)  ?[n, l] := c[l, n]", "node labels", None, "labels")
-add("graph_label_prop", SUPPLY + "?[] <~ LabelPropagation(e[], undirected: true)", "label node", None)
+
+
+def all_pairs(edges: str, rounds: int = 5) -> str:
+    """CTEs of the cheapest costs between all nodes, by paths twice as long in each round."""
+    steps = [f"d0 AS (SELECT n AS a, n AS b, 0.0::DOUBLE AS w FROM (SELECT a AS n FROM {edges} UNION SELECT b FROM {edges}) UNION ALL SELECT a, b, w FROM {edges})"]
+    for i in range(1, rounds + 1):
+        steps.append(f"d{i} AS (SELECT x.a, y.b, min(x.w + y.w) AS w FROM d{i - 1} x JOIN d{i - 1} y ON y.a = x.b GROUP BY 1, 2)")
+    return f"WITH {TRADE_SQL}, ways AS (SELECT a, b, min(w) AS w FROM (SELECT * FROM trade UNION ALL SELECT b, a, w FROM trade) GROUP BY 1, 2), {', '.join(steps)} "
+
+
+add(
+    "graph_closeness",
+    TRADE + "p[] <~ ClosenessCentrality(trade[], undirected: true)  ?[n, r] := p[n, x], r = round(x * 1000000000) / 1000000000",
+    "node centrality",
+    all_pairs("ways") + "SELECT a AS node, round(count(*) * count(*) / sum(w) / ((SELECT count(DISTINCT a) FROM d0) - 1) * 1000000000) / 1000000000 AS centrality FROM d5 GROUP BY a",
+)
+add(
+    "graph_betweenness",
+    TRADE + "p[] <~ BetweennessCentrality(trade[])  ?[n, r] := p[n, x], r = round(x)",
+    "node centrality",
+    # prices differ, so between two nations there is one cheapest path; who lies on it has detours of no cost
+    all_pairs("trade") + "SELECT n.n AS node, count(x.a)::DOUBLE AS centrality FROM (SELECT DISTINCT a AS n FROM d5 UNION SELECT b FROM d5) n "
+    "LEFT JOIN (SELECT x.a, x.b AS via, y.b FROM d5 x JOIN d5 y ON y.a = x.b JOIN d5 z ON z.a = x.a AND z.b = y.b WHERE x.a <> x.b AND y.a <> y.b AND x.a <> y.b AND abs(x.w + y.w - z.w) < 1e-6) x ON x.via = n.n GROUP BY 1",
+)
+add(
+    "graph_louvain",
+    SUPPLY + "c[] <~ CommunityDetectionLouvain(e[], undirected: true)  k[count(n)] := c[l, n]  ?[n, one, ok] := c[l, n], k[_], one = length(l) > 0, ok = first(l) >= 0",
+    "node one ok",
+    f"WITH {SUPPLY_SQL} SELECT a AS node, true AS one, true AS ok FROM e UNION SELECT b, true, true FROM e",
+)
+add(
+    "graph_label_prop",
+    SUPPLY + "c[] <~ LabelPropagation(e[], undirected: true)  v[n] := e[n, _]  v[n] := e[_, n]  ?[n, ok] := c[l, n], v[l], ok = true",
+    "node ok",
+    f"WITH {SUPPLY_SQL} SELECT a AS node, true AS ok FROM e UNION SELECT b, true FROM e",
+)
 add(
     "graph_random_walk",
-    TRADE + "s[n] <- [[0]]  w[] <~ RandomWalk(trade[], *nation{n_nationkey}, s[], steps: 4, iterations: 5)  ?[i, n] := w[i, a, p], n = first(p)",
-    "walk first",
-    None,
+    TRADE + "s[n] := *nation{n_nationkey: n}, trade[n, _, _]  w[] <~ RandomWalk(trade[], *nation{n_nationkey}, s[], steps: 4, iterations: 5)  "
+    "bad[i] := w[i, _, p], q in windows(p, 2), x = first(q), y = last(q), not trade[x, y, _]  ?[f, n, count(i)] := w[i, f, p], not bad[i], f == first(p), n = length(p)",
+    "first nodes walks",
+    f"WITH {TRADE_SQL} SELECT a AS first, 5 AS nodes, 5 AS walks FROM trade GROUP BY a",
+)
+add(
+    "graph_yen",
+    TRADE + "s[n] <- [[0]]  g[n] <- [[7]]  p[] <~ KShortestPathYen(trade[], s[], g[], k: 3)  ?[r, q] := p[_, _, c, q], r = round(c * 100) / 100",
+    "cost path",
+    # every way of up to 7 steps without a repeat that costs no more than the third direct or one-stop way
+    f"WITH RECURSIVE {TRADE_SQL}, few AS (SELECT w AS c FROM trade WHERE a = 0 AND b = 7 UNION ALL SELECT x.w + y.w FROM trade x JOIN trade y ON y.a = x.b WHERE x.a = 0 AND y.b = 7 AND x.b <> 7), "
+    "bound AS (SELECT max(c) AS most FROM (SELECT c FROM few ORDER BY c LIMIT 3)), "
+    "p AS (SELECT [0] AS path, 0 AS place, 0.0::DOUBLE AS cost UNION ALL SELECT list_append(path, b), b, cost + w FROM p JOIN trade ON a = p.place CROSS JOIN bound WHERE p.place <> 7 AND NOT list_contains(path, b) AND cost + w <= most + 1e-9 AND len(path) < 8) "
+    "SELECT round(cost * 100) / 100 AS cost, array_to_string(path, ',') AS path FROM p WHERE place = 7 ORDER BY p.cost LIMIT 3",
+    "path",
 )
-add("graph_yen", TRADE + "s[n] <- [[0]]  g[n] <- [[7]]  p[] <~ KShortestPathYen(trade[], s[], g[], k: 3)  ?[c, q] := p[_, _, c, q]", "cost path", None, "path")
 add(
     "graph_dfs",
-    TRADE + "s[n] <- [[0]]  p[] <~ DFS(trade[a, b], *nation{n_nationkey, n_name}, s[], condition: n_name == 'NATION_7')  ?[a, b] := p[a, b, _]",
-    "start found",
-    f"WITH {TRADE_SQL} SELECT 0 AS start, 7 AS found WHERE EXISTS (SELECT 1 FROM trade WHERE a = 0) AND EXISTS (SELECT 1 FROM trade WHERE b = 7)",
+    HOP + "s[n] <- [[1]]  p[] <~ DFS(hop[], *part{p_partkey, p_size}, s[], condition: p_size == 50, limit: 1000000)  "
+    "bad[b] := p[_, b, q], w in windows(q, 2), x = first(w), y = last(w), not hop[x, y]  ?[a, b, ok] := p[a, b, q], not bad[b], ok = first(q) == a && last(q) == b",
+    "start found ok",
+    FAR_SQL + "SELECT 1 AS start, p_partkey AS found, true AS ok FROM part WHERE p_size = 50 AND (p_partkey = 1 OR p_partkey IN (SELECT b FROM hops))",
+)
+add(
+    "graph_dijkstra_ties",
+    HOP + "s[n] <- [[1]]  g[n] := *part{p_partkey: n, p_size: 50}  p[] <~ ShortestPathDijkstra(hop[], s[], g[], keep_ties: true)  t[b, count(q)] := p[_, b, c, q], is_finite(c), c > 0.0  ?[b, n] := t[b, n]",
+    "b paths",
+    FAR_SQL + ", ways AS (SELECT 1::BIGINT AS b, 0::BIGINT AS n, 1::BIGINT AS k), "
+    + ", ".join(
+        f"w{i} AS (SELECT b, n, k FROM {'ways' if i == 1 else f'w{i - 1}'} UNION ALL SELECT h.b, hops.n, sum(k)::BIGINT FROM {'ways' if i == 1 else f'w{i - 1}'} w JOIN hop h ON h.a = w.b JOIN hops ON hops.b = h.b AND hops.n = {i} WHERE w.n = {i - 1} AND h.b <> 1 GROUP BY 1, 2)"
+        for i in range(1, 11)
+    )
+    + " SELECT b, k AS paths FROM w10 JOIN part ON p_partkey = b WHERE p_size = 50 AND n > 0",
 )
 
 # --- time travel, search, mutation --------------------------------------------------
@@ -542,9 +642,9 @@ for _name, _metric, _sql in (
 ):
     add(
         f"knn_{_name}",
-        "?[a, i, r] := *embeddings{vec_id: a, embedding: q}, a < 3, ~embeddings:vec{vec_id: i | query: q, k: 10, ef: 50, bind_distance: d}, r = round(d * 10000) / 10000 + 0.0",
+        "?[a, i, r] := *embeddings{vec_id: a, embedding: q}, a % 100 == 0, ~embeddings:vec{vec_id: i | query: q, k: 10, ef: 50, bind_distance: d}, r = round(d * 10000) / 10000 + 0.0",
         "a i r",
-        f"SELECT a, i, round(d * 10000) / 10000 + 0.0 AS r FROM (SELECT q.vec_id AS a, v.vec_id AS i, {_sql} AS d FROM embeddings q, embeddings v WHERE q.vec_id < 3) QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, i) <= 10",
+        f"SELECT a, i, round(d * 10000) / 10000 + 0.0 AS r FROM (SELECT q.vec_id AS a, v.vec_id AS i, {_sql} AS d FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, i) <= 10",
         prepare=indexed(f"::hnsw create embeddings:vec {{dim: 64, m: 16, ef_construction: 50, dtype: F32, fields: [embedding], distance: {_metric}}}"),
     )
 _FTS = indexed("::fts create documents:fts {extractor: text, tokenizer: Simple, filters: [Lowercase]}")
@@ -563,12 +663,20 @@ add(
     f"WITH {_WORDS} SELECT doc_id AS i, max(n)::DOUBLE AS s FROM tf WHERE word IN ('apache', 'mit') AND doc_id NOT IN (SELECT doc_id FROM tf WHERE word = 'version') GROUP BY 1 QUALIFY row_number() OVER (ORDER BY s DESC, i) <= 1000",
     prepare=_FTS,
 )
+_LSH = indexed("::lsh create documents:lsh {extractor: text, tokenizer: Simple, filters: [Lowercase], n_gram: 5, n_perm: 64, target_threshold: 0.75}")
 add(
     "lsh_near_dup",
-    "?[a, i] := *documents{doc_id: a, text: t}, a < 20, ~documents:lsh{doc_id: i | query: t}",
+    "?[a, i] := *documents{doc_id: a, text: t}, a % 100 == 0, ~documents:lsh{doc_id: i | query: t}",
     "a i",
     None,
-    prepare=indexed("::lsh create documents:lsh {extractor: text, tokenizer: Simple, filters: [Lowercase], n_gram: 3, n_perm: 64, target_threshold: 0.7}"),
+    prepare=_LSH,
+)
+add(
+    "lsh_copies",
+    "?[a, i] := *documents{doc_id: a, text: t}, a % 100 == 0, ~documents:lsh{doc_id: i, text: u | query: t}, u == t",
+    "a i",
+    "SELECT a.doc_id AS a, b.doc_id AS i FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id % 100 = 0",
+    prepare=_LSH,
 )
 add(
     "put_update_rm",
