@@ -869,7 +869,8 @@ def _json_object(*args):
 
 @function("json_to_scalar", 1)
 def _json_to_scalar(a):
-    return Json(a.col) if a.json else a.col
+    # as text: a column has one type, and what a JSON value holds differs from row to row
+    return F.get_json_object(F.concat(F.lit('{"v":'), a.col, F.lit("}")), "$.v") if a.json else a.col
 
 
 @function("set_json_path", 3)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrel.session import Session
@@ -702,6 +704,360 @@ add(
 )
 
 
+# --- sources, keyed mutations, the catalog, extensions ------------------------------
+
+
+def folder(session: Session) -> str:
+    """A fresh folder beside the durable intermediates."""
+    from spindrel.sources.durable import shared_dir
+
+    return f"{shared_dir(session.spark)}/spindrel-files/{uuid.uuid4().hex}"
+
+
+def read_table(session: Session, sf_dir: str, name: str) -> DataFrame:
+    return session.spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def csv_of_parts(session: Session, sf_dir: str) -> dict:
+    path = folder(session)
+    parts = read_table(session, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_size") > 9, F.col("p_size")).alias("p_size"), "p_retailprice")
+    parts.write.csv(path, header=True, sep=";")
+    return {"url": path}
+
+
+def json_of_orders(session: Session, sf_dir: str) -> dict:
+    path = folder(session)
+    read_table(session, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").write.json(path)
+    return {"url": path}
+
+
+add(
+    "csv_reader",
+    "?[] <~ CsvReader(url: $url, types: ['Int', 'String', 'Int?', 'Float'], delimiter: ';')",
+    "k name size price",
+    "SELECT p_partkey AS k, p_name AS name, CASE WHEN p_size > 9 THEN p_size END AS size, p_retailprice AS price FROM part",
+    prepare=csv_of_parts,
+)
+add(
+    "csv_reader_index",
+    "c[] <~ CsvReader(url: $url, types: ['Int', 'String', 'Int?', 'Float'], delimiter: ';', prepend_index: true)  t[count(i), min(i), max(i)] := c[i, _, _, _, _]  ?[n, a, b] := t[n, a, b]",
+    "n least most",
+    "SELECT count(*) AS n, 0::BIGINT AS least, count(*) - 1 AS most FROM part",
+    prepare=csv_of_parts,
+)
+add(
+    "json_reader",
+    "?[] <~ JsonReader(url: $url, fields: ['o_orderkey', 'o_orderpriority', 'nowhere'], null_if_absent: true)",
+    "k priority absent",
+    "SELECT o_orderkey AS k, o_orderpriority AS priority, NULL::VARCHAR AS absent FROM orders",
+    prepare=json_of_orders,
+)
+add(
+    "index_scan",
+    "?[c, k] := *orders:of{o_custkey: c, o_orderkey: k}, c < 50",
+    "c k",
+    "SELECT o_custkey AS c, o_orderkey AS k FROM orders WHERE o_custkey < 50",
+    prepare=lambda session, _: session.run("::index create orders:of {o_custkey}") and None,
+)
+add("parameters", "?[k, t] := *part{p_partkey: k, p_size: s}, s in $sizes, t = $tag", "k t", "SELECT p_partkey AS k, 'x' AS t FROM part WHERE p_size IN (3, 5)", prepare=lambda *_: {"sizes": [3, 5], "tag": "x"})
+add(
+    "recursion_without_rewriting",
+    HOP + "t[a, b] := hop[a, b], a < 300, b < 300  t[a, c] := t[a, b], t[b, c]  ?[b] := t[2, b] :disable_magic_rewrite true",
+    "b",
+    f"WITH RECURSIVE {HOP_SQL}, e AS (SELECT a, b FROM hop WHERE a < 300 AND b < 300), t AS (SELECT b FROM e WHERE a = 2 UNION SELECT e.b FROM t JOIN e ON e.a = t.b) SELECT b FROM t",
+)
+add("timeout_and_sleep", "?[n, count(k)] := *customer{c_custkey: k, c_nationkey: n} :timeout 600 :sleep 0.01", "n k", "SELECT c_nationkey AS n, count(*) AS k FROM customer GROUP BY 1")
+add(
+    "assertions",
+    "{?[k] := *region{r_regionkey: k}, k > 1000 :assert none} {?[k, n] := *region{r_regionkey: k, r_name: n} :assert some}",
+    "k n",
+    "SELECT r_regionkey AS k, r_name AS n FROM region",
+)
+
+#: A relation of customers by nation, and what becomes of it.
+_KEPT = "{?[n, k, b] := *customer{c_nationkey: n, c_custkey: k, c_acctbal: b} :create kept {n: Int, k: Int => b: Float}}"
+_KEPT_SQL = "SELECT c_nationkey AS n, c_custkey AS k, c_acctbal AS b FROM customer"
+add(
+    "mutation_insert",
+    _KEPT + "{?[n, k, b] := *supplier{s_nationkey: n, s_suppkey: s, s_acctbal: b}, k = -1 - s :insert kept} {?[n, k, b] := *kept{n, k, b}}",
+    "n k b",
+    f"{_KEPT_SQL} UNION ALL SELECT s_nationkey, -1 - s_suppkey, s_acctbal FROM supplier",
+)
+add(
+    "mutation_insert_refused",
+    _KEPT + "%ignore_error {?[n, k, b] := *customer{c_nationkey: n, c_custkey: k}, b = 0.0 :insert kept} {?[n, k, b] := *kept{n, k, b}}",
+    "n k b",
+    _KEPT_SQL,
+)
+add(
+    "mutation_delete",
+    _KEPT + "{?[n, k] := *kept{n, k, b}, b < 0.0 :delete kept {n, k}} {?[n, k, b] := *kept{n, k, b}}",
+    "n k b",
+    f"{_KEPT_SQL} WHERE NOT c_acctbal < 0",
+)
+add(
+    "mutation_ensure",
+    _KEPT + "{?[n, k, b] := *customer{c_nationkey: n, c_custkey: k, c_acctbal: b} :ensure kept} {?[n, k] := *kept{n: m, k}, n = m + 1000 :ensure_not kept {n, k}} {?[count(k)] := *kept{k}}",
+    "held",
+    "SELECT count(*) AS held FROM customer",
+)
+add(
+    "mutation_returning",
+    _KEPT + "{?[n, k, b] := *kept{n, k, b: a}, n < 5, b = a + 1.0 :put kept :returning}",
+    "kind n k b",
+    "SELECT 'inserted' AS kind, c_nationkey AS n, c_custkey AS k, c_acctbal + 1 AS b FROM customer WHERE c_nationkey < 5 UNION ALL SELECT 'replaced', c_nationkey, c_custkey, c_acctbal FROM customer WHERE c_nationkey < 5",
+)
+add(
+    "mutation_replace",
+    _KEPT + "{?[n, total] := *kept{n, b}, total = 1 :replace kept {n => total}} {?[n, total] := *kept{n, total}}",
+    "n total",
+    "SELECT DISTINCT c_nationkey AS n, 1 AS total FROM customer",
+)
+add(
+    "mutation_defaults",
+    "{?[k] := *region{r_regionkey: k} :create made {k: Int => v: Float default 2.5, w: String?}} {?[k, v, w] := *made{k, v, w}}",
+    "k v w",
+    "SELECT r_regionkey AS k, 2.5::DOUBLE AS v, NULL::VARCHAR AS w FROM region",
+)
+add(
+    "mutation_last_row_of_a_key",
+    "{?[n, v] := *customer{c_nationkey: n, c_custkey: v} :create one {n: Int => v: Int}} {?[n, ok] := *one{n, v}, *customer{c_custkey: v, c_nationkey: m}, ok = m == n}",
+    "n ok",
+    "SELECT DISTINCT c_nationkey AS n, true AS ok FROM customer",
+)
+
+
+def triggered(session: Session, sf_dir: str) -> None:
+    session.run("?[k, b] := *customer{c_custkey: k, c_acctbal: b} :create watched {k: Int => b: Float}")
+    session.run("?[k, what] <- [[-1, 'start']] :create seen {k: Int, what: String}")
+    session.run("::set_triggers watched on put { ?[k, what] := _new[k, _], what = 'put' :put seen } on rm { ?[k, what] := _old[k, _], what = 'gone' :put seen }")
+    session.run("{?[k, b] := *watched{k, b: a}, a < 0.0, b = 0.0 :put watched} {?[k] := *watched{k, b}, b > 9000.0 :rm watched {k}}")
+
+
+add(
+    "triggers",
+    "?[k, what] := *seen{k, what}, *customer{c_custkey: k}",
+    "k what",
+    "SELECT c_custkey AS k, 'put' AS what FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'gone' FROM customer WHERE c_acctbal > 9000",
+    prepare=lambda session, sf_dir: session.register("customer", read_table(session, sf_dir, "customer"), KEYS["customer"]) and triggered(session, sf_dir),
+)
+
+
+def called_back(session: Session, sf_dir: str) -> None:
+    session.register("region", read_table(session, sf_dir, "region"), KEYS["region"])
+    session.run("?[k, v] := *region{r_regionkey: k, r_name: v} :create watched {k: Int => v: String}")
+    heard: list[tuple[str, DataFrame, DataFrame]] = []
+    number = session.register_callback("watched", lambda op, new, old: heard.append((op, new, old)))
+    session.run("?[k, v] <- [[1, 'one'], [99, 'new']] :put watched")
+    session.run("?[k] <- [[0]] :rm watched {k}")
+    session.unregister_callback(number)
+    session.run("?[k] <- [[2]] :rm watched {k}")
+    out = None
+    for op, new, old in heard:
+        for side, df in (("new", new), ("old", old)):
+            one = df.select(F.lit(op).alias("op"), F.lit(side).alias("side"), F.col("k").cast("long").alias("k"))
+            out = one if out is None else out.union(one)
+    session.register("heard", out)
+
+
+add(
+    "callbacks",
+    "?[op, side, k] := *heard{op, side, k}",
+    "op side k",
+    "SELECT * FROM (VALUES ('put', 'new', 1), ('put', 'new', 99), ('put', 'old', 1), ('rm', 'new', 0), ('rm', 'old', 0)) t(op, side, k) WHERE side = 'new' OR k IN (SELECT r_regionkey FROM region)",
+    prepare=called_back,
+)
+
+
+def imported(session: Session, sf_dir: str) -> None:
+    session.register("part", read_table(session, sf_dir, "part"), KEYS["part"])
+    session.run("?[k, s] := *part{p_partkey: k, p_size: s} :create sizes {k: Int => s: Int}")
+    given = session.export_relations(["sizes"])["sizes"]
+    session.import_relations({"sizes": given.selectExpr("k", "s * 10 AS s").where("k % 2 = 0"), "-sizes": given.select("k").where("k % 3 = 0")})
+
+
+add(
+    "import_export",
+    "?[k, s] := *sizes{k, s}",
+    "k s",
+    "SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size * 10 ELSE p_size END AS s FROM part WHERE p_partkey % 3 <> 0",
+    prepare=imported,
+)
+
+
+def restored(session: Session, sf_dir: str) -> None:
+    """Backed up with types, a default, an index, a trigger and an access level; changed; restored."""
+    session.register("nation", read_table(session, sf_dir, "nation"), KEYS["nation"])
+    session.run("?[k, name] := *nation{n_nationkey: k, n_name: name} :create kept {k: Int => name: String default 'none'}")
+    session.run("?[k] <- [[-1]] :create log {k: Int}")
+    session.run("?[k] <- [[7]] :create fixed {k: Int}")
+    session.run("::set_triggers kept on put { ?[k] := _new[k, _] :put log {k} }")
+    session.run("::index create kept:by_name {name}")
+    session.run("::access_level read_only fixed")
+    path = folder(session)
+    session.backup(path)
+    for name in ("kept", "log", "fixed"):
+        del session.catalog.relations[name]
+    session.restore(path)
+    session.run("?[k] <- [[1000]] :put kept {k}")
+    with contextlib.suppress(Exception):  # read only, so nothing changes
+        session.run("?[k] <- [[8]] :put fixed")
+
+
+add(
+    "backup_restore",
+    "?[k, name, how] := *kept:by_name{name, k}, how = 'kept'  ?[k, name, how] := *log{k}, name = '', how = 'log'  ?[k, name, how] := *fixed{k}, name = '', how = 'fixed'",
+    "k name how",
+    "SELECT n_nationkey AS k, n_name AS name, 'kept' AS how FROM nation UNION ALL VALUES (1000, 'none', 'kept'), (-1, '', 'log'), (1000, '', 'log'), (7, '', 'fixed')",
+    prepare=restored,
+)
+
+
+def failing(session: Session, sf_dir: str) -> None:
+    session.register("region", read_table(session, sf_dir, "region"), KEYS["region"])
+    session.run("?[k, v] := *region{r_regionkey: k, r_name: v} :create kept {k: Int => v: String}")
+    with contextlib.suppress(Exception):  # the second statement fails, so the first is undone
+        session.run("{?[k, v] <- [[0, 'changed'], [77, 'new']] :put kept} {?[k, v] <- [[1, 'again']] :insert kept}")
+    with contextlib.suppress(ZeroDivisionError), session.transaction():
+        session.run("?[k] <- [[1]] :rm kept {k}")
+        raise ZeroDivisionError
+    with session.transaction():
+        session.run("?[k] <- [[2]] :rm kept {k}")
+
+
+add("transactions", "?[k, v] := *kept{k, v}", "k v", "SELECT r_regionkey AS k, r_name AS v FROM region WHERE r_regionkey <> 2", prepare=failing)
+
+
+def ruled(session: Session, sf_dir: str) -> None:
+    """A rule of the user's: the ``most`` rows of each key with the largest values."""
+
+    def largest(inputs: list[DataFrame], options: dict) -> DataFrame:
+        key, value = inputs[0].columns
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(value)))
+        return inputs[0].withColumn("place", place).where(F.col("place") <= options["most"]).select(key, value)
+
+    session.register_fixed_rule("Largest", largest)
+
+
+add(
+    "custom_rule",
+    "p[n, b] := *customer{c_nationkey: n, c_acctbal: b}  ?[n, b] <~ Largest(p[], most: 2)",
+    "n b",
+    "SELECT n, b FROM (SELECT n, b, row_number() OVER (PARTITION BY n ORDER BY b DESC) AS place FROM (SELECT DISTINCT c_nationkey AS n, c_acctbal AS b FROM customer)) WHERE place <= 2",
+    prepare=ruled,
+)
+
+
+def arranged(session: Session, sf_dir: str) -> None:
+    for name in ("nation", "region"):
+        session.register(name, read_table(session, sf_dir, name), KEYS[name])
+    session.run("?[k, v] := *region{r_regionkey: k, r_name: v} :create old {k: Int => v: String}")
+    session.run("?[k] := *region{r_regionkey: k} :create gone {k: Int}")
+    session.run("::rename old -> new")
+    session.run("::remove gone")
+    session.run("::access_level protected new")
+
+
+add("sys_relations", "::relations", "name", "SELECT * FROM (VALUES ('nation'), ('new'), ('region')) t(name)", prepare=arranged, finish=lambda df: df.select("name"))
+add("sys_columns", "::columns new", "name is_key", "SELECT * FROM (VALUES ('k', true), ('v', false)) t(name, is_key)", prepare=arranged, finish=lambda df: df.select("column", "is_key"))
+add(
+    "sys_rename_kept_rows",
+    "?[k, v] := *new{k, v}",
+    "k v",
+    "SELECT r_regionkey AS k, r_name AS v FROM region",
+    prepare=arranged,
+)
+add(
+    "imperative_branches",
+    """{?[k] := *region{r_regionkey: k} :replace _all}
+       %if_not {?[k] := *_all{k}, k > 1000} %then {?[k] := *_all{k}, k % 2 == 0 :replace _all} %end
+       %mark outer %loop %loop {?[k] := *_all{k}, k > 0 :replace _all} %break outer %end %end
+       %ignore_error {?[x] := *nowhere{x}}
+       {?[k] := *_all{k}}""",
+    "k",
+    "SELECT r_regionkey AS k FROM region WHERE r_regionkey % 2 = 0 AND r_regionkey > 0",
+)
+add(
+    "time_travel_text",
+    "?[u, e] := *history{user_id: u, event_id: e @ '2024-01-10T00:00:00Z'}",
+    "u e",
+    f"SELECT user_id AS u, event_id AS e FROM events WHERE epoch_us(ts) <= {_AT} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type <> 'refund' DESC) = 1 AND event_type <> 'refund'",
+    prepare=versioned_events,
+)
+add(
+    "time_travel_now",
+    "?[u, e] := *history{user_id: u, event_id: e @ 'NOW'}",
+    "u e",
+    "SELECT user_id AS u, event_id AS e FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1",
+    prepare=versioned_events,
+)
+
+# --- more of the searches -----------------------------------------------------------
+
+_L2 = "list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ^ 2))"
+add(
+    "knn_radius_and_filter",
+    "?[a, i, r] := *embeddings{vec_id: a, embedding: q}, a % 100 == 0, ~embeddings:vec{vec_id: i, label: l | query: q, k: 10, ef: 50, radius: 110.0, filter: l != 3, bind_distance: d}, r = round(d * 10000) / 10000 + 0.0",
+    "a i r",
+    f"SELECT a, i, round(d * 10000) / 10000 + 0.0 AS r FROM (SELECT q.vec_id AS a, v.vec_id AS i, {_L2} AS d FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.label <> 3) WHERE d <= 110 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, i) <= 10",
+    prepare=indexed("::hnsw create embeddings:vec {dim: 64, m: 16, ef_construction: 50, dtype: F32, fields: [embedding], distance: L2}"),
+)
+add(
+    "fts_prefix",
+    "?[i, s] := ~documents:fts{doc_id: i | query: 'apach* OR licen*^2', k: 100000, score_kind: 'tf', bind_score: s}",
+    "i s",
+    f"WITH {_WORDS}, a AS (SELECT doc_id, sum(n) AS s FROM tf WHERE starts_with(word, 'apach') GROUP BY 1), l AS (SELECT doc_id, 2 * sum(n) AS s FROM tf WHERE starts_with(word, 'licen') GROUP BY 1) "
+    "SELECT coalesce(a.doc_id, l.doc_id) AS i, greatest(coalesce(a.s, 0), coalesce(l.s, 0))::DOUBLE AS s FROM a FULL JOIN l ON a.doc_id = l.doc_id",
+    prepare=_FTS,
+)
+_PLACES = r"p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents))"
+add(
+    "fts_near",
+    "?[i, s] := ~documents:fts{doc_id: i | query: 'NEAR/3(licensed apache)', k: 100000, score_kind: 'tf', bind_score: s}",
+    "i s",
+    f"WITH {_PLACES} SELECT b.doc_id AS i, count(DISTINCT b.at)::DOUBLE AS s FROM p a JOIN p b ON a.doc_id = b.doc_id AND abs(a.at - b.at) <= 3 WHERE a.word = 'licensed' AND b.word = 'apache' GROUP BY 1",
+    prepare=_FTS,
+)
+add(
+    "fts_phrase",
+    "?[i] := ~documents:fts{doc_id: i | query: '\"apache license\" NOT mit', k: 100000}",
+    "i",
+    f"WITH {_WORDS} SELECT doc_id AS i FROM tf WHERE word = 'apache' AND doc_id IN (SELECT doc_id FROM tf WHERE word = 'license') AND doc_id NOT IN (SELECT doc_id FROM tf WHERE word = 'mit')",
+    prepare=_FTS,
+)
+add(
+    "fts_of_rows",
+    "?[k, i] := *region{r_regionkey: k, r_name: t}, q = if(k == 0, 'apache', if(k == 1, 'mit', 'license')), ~documents:fts{doc_id: i | query: q, k: 100000}",
+    "k i",
+    f"WITH {_WORDS} SELECT r_regionkey AS k, doc_id AS i FROM region JOIN tf ON word = CASE r_regionkey WHEN 0 THEN 'apache' WHEN 1 THEN 'mit' ELSE 'license' END",
+    prepare=_FTS,
+)
+add(
+    "fts_tokenizers",
+    "?[i] := ~documents:raw{doc_id: i | query: 'Apache', k: 100000}",
+    "i",
+    r"SELECT doc_id AS i FROM documents WHERE list_contains(regexp_extract_all(text, '\S+'), 'Apache')",
+    prepare=indexed("::fts create documents:raw {extractor: text, tokenizer: Whitespace}"),
+)
+add(
+    "fts_index_scan",
+    "?[i, n] := *documents:fts{word: 'apache', doc_id: i, position: p}, n = length(p)",
+    "i n",
+    f"WITH {_WORDS} SELECT doc_id AS i, n FROM tf WHERE word = 'apache'",
+    prepare=_FTS,
+)
+add(
+    "fts_follows_changes",
+    """{?[k, v] := *nation{n_nationkey: k, n_name: v} :create texts {k: Int => v: String}}
+       {::fts create texts:f {extractor: v, tokenizer: Simple, filters: [Lowercase]}}
+       {?[k, v] := *nation{n_nationkey: k}, k % 2 == 0, v = 'changed word' :put texts}
+       {?[k] <- [[4]] :rm texts {k}}
+       {?[k] := ~texts:f{k | query: 'word OR nation_3', k: 1000}}""",
+    "k",
+    "SELECT n_nationkey AS k FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey <> 4 OR n_name = 'NATION_3'",
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in Q.items()}
 

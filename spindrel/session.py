@@ -17,7 +17,7 @@ from spindrel.plans import ast as A
 from spindrel.plans.analyze import ENTRY, definitions
 from spindrel.plans.compile import Evaluator, headers, order_column
 from spindrel.plans.parser import Parser
-from spindrel.sources.catalog import Callback, Catalog, Change, Writer
+from spindrel.sources.catalog import Callback, Catalog, Change, Writer, decoded, encoded
 from spindrel.sources.durable import written
 
 
@@ -49,23 +49,19 @@ class Session:
                 Writer(self.catalog, A.Store(op, name.lstrip("-"), None), rows).run()
 
     def backup(self, path: str) -> None:
-        """Every relation with its schema in one folder."""
-        import json
-
-        index = []
+        """Every relation, with its types, defaults, indices, triggers and access level, in one folder."""
+        specs = []
         for name, r in self.catalog.relations.items():
             r.frame().write.mode("overwrite").parquet(f"{path}/{name}")
-            index.append((name, json.dumps({"keys": r.key_columns, "values": [f.name for f in r.values]})))
-        self.spark.createDataFrame(index or [("", "")], "name string, spec string").where("name <> ''").coalesce(1).write.mode("overwrite").parquet(f"{path}/_spindrel_index")
+            specs.append((name, encoded(replace(r, data=None))))
+        self.spark.createDataFrame(specs, "name string, spec string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_spindrel_index")
 
     def restore(self, path: str, names: list[str] | None = None) -> None:
-        """Relations of a backup; ``names`` restores only some."""
-        import json
-
+        """Relations of a backup as they were; ``names`` restores only some."""
         for row in self.spark.read.parquet(f"{path}/_spindrel_index").collect():
             if names is None or row["name"] in names:
                 data, _ = written(self.spark.read.parquet(f"{path}/{row['name']}"))
-                self.catalog.register(row["name"], data, json.loads(row["spec"])["keys"])
+                self.catalog.relations[row["name"]] = replace(decoded(row["spec"]), data=data)
 
     # --- extension -----------------------------------------------------------------
 

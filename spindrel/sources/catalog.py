@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,6 +109,41 @@ class Catalog:
         )
 
 
+#: What a relation's definition is made of, besides plain values.
+PARTS = {c.__name__: c for c in (Relation, Field, Index, *(c for c in vars(A).values() if isinstance(c, type) and is_dataclass(c)))}
+
+
+def encoded(value: Any) -> str:
+    """A definition as JSON text: objects by class and fields, tuples apart from lists."""
+
+    def plain(x: Any) -> Any:
+        if is_dataclass(x):
+            return {"is": type(x).__name__, "of": [plain(getattr(x, f.name)) for f in fields(x)]}
+        if isinstance(x, tuple):
+            return {"is": "tuple", "of": [plain(v) for v in x]}
+        if isinstance(x, list):
+            return [plain(v) for v in x]
+        if isinstance(x, bytes):
+            return {"is": "bytes", "of": [x.hex()]}
+        return x
+
+    return json.dumps(plain(value))
+
+
+def decoded(text: str) -> Any:
+    def made(x: Any) -> Any:
+        if isinstance(x, list):
+            return [made(v) for v in x]
+        if not isinstance(x, dict):
+            return x
+        if x["is"] == "bytes":
+            return bytes.fromhex(x["of"][0])
+        values = [made(v) for v in x["of"]]
+        return tuple(values) if x["is"] == "tuple" else PARTS[x["is"]](*values)
+
+    return made(json.loads(text))
+
+
 def index_relation(relation: Relation, index: Index) -> Relation:
     """An index read as a relation."""
     if index.kind == "normal":
