@@ -34,7 +34,7 @@ END_ID = 1
 WINDOW_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 CACHE_BYTES = 80 << 20
-ENTRY_BYTES = 150  # of a cached word besides its characters and ids
+ENTRY_BYTES = 220  # of a cached word besides its characters and ids
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
