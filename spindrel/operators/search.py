@@ -2,6 +2,11 @@
 
 A search atom joins the current bindings with the rows that its index finds.  Queries
 come from constants or from bound variables; each distinct query is searched once.
+
+The postings of a text index and the bands of a near-duplicate index over a relation that was
+created here are durable tables, sorted by word or band, and follow each mutation by its
+changed rows.  A registered table may change outside, so its index holds what its rows give
+when they are searched.
 """
 
 from __future__ import annotations
@@ -12,12 +17,15 @@ from dataclasses import dataclass
 from functools import lru_cache
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrel.functions.scalars import cosine, dot, l2, vector
-from spindrel.operators.text import Analyzer
+from spindrel.operators.text import Analyzer, analyzed
 from spindrel.plans import ast as A
 from spindrel.plans.expressions import Scope
 from spindrel.sources.durable import written
@@ -118,10 +126,9 @@ class Group:
     distance: int = 10
 
 
-def analyzed_rows(relation: Any, index: Any) -> tuple[DataFrame, Any]:
+def analyzed_rows(index: Any, rows: DataFrame) -> tuple[DataFrame, Any]:
     """Rows that the index covers, and their text."""
     options = option_map(index)
-    rows = relation.frame()
     scope = Scope(rows, {c: c for c in rows.columns})
     if "extract_filter" in options:
         rows = rows.where(scope.test(options["extract_filter"]))
@@ -133,25 +140,28 @@ def analyzed_rows(relation: Any, index: Any) -> tuple[DataFrame, Any]:
 
 def sought(relation: Any, index: Any, terms: list[Term]) -> DataFrame:
     """word, keys and positions of the words that a query names; nothing else is gathered."""
-    rows, text = analyzed_rows(relation, index)
-    analyzer, keys = Analyzer(option_map(index)), relation.key_columns
-    words = analyzer.words(text.col)
-    if words is None:
-        rows = rows.select(*keys, analyzer.column(text.col).alias("_t"))
-        words = F.transform("_t", lambda t: t["word"])
-    spread = rows.select(*keys, words.alias("_words")).select(*keys, F.posexplode("_words").alias("position", "word"))
     exact = [t.text for t in terms if not t.prefix]
     wanted = F.col("word").isin(exact) if exact else F.lit(False)
     for t in terms:
         if t.prefix:
             wanted = wanted | F.startswith("word", F.lit(t.text))
+    keys = relation.key_columns
+    if index.name in dict(relation.stored):
+        return entries(relation, index).where(wanted).select(*keys, "word", "position")
+    rows, text = analyzed_rows(index, relation.frame())
+    analyzer = Analyzer(option_map(index))
+    words = analyzer.words(text.col)
+    if words is None:
+        rows = rows.select(*keys, analyzer.column(text.col).alias("_t"))
+        words = F.transform("_t", lambda t: t["word"])
+    spread = rows.select(*keys, words.alias("_words")).select(*keys, F.posexplode("_words").alias("position", "word"))
     return spread.where(wanted).groupBy(*keys, "word").agg(F.sort_array(F.collect_list("position")).alias("position"))
 
 
-def postings(relation: Any, index: Any) -> DataFrame:
+def postings(relation: Any, index: Any, rows: DataFrame) -> DataFrame:
     """word, keys, positions, offsets and the document's length in tokens."""
     options = option_map(index)
-    rows, text = analyzed_rows(relation, index)
+    rows, text = analyzed_rows(index, rows)
     keys = relation.key_columns
     tokens = rows.select(*keys, Analyzer(options).column(text.col).alias("_t")).where("_t is not null")
     spread = tokens.select(*keys, F.size("_t").alias("total_length"), F.posexplode("_t").alias("position", "_x"))
@@ -349,23 +359,50 @@ def bands_and_rows(threshold: float, n_perm: int, false_positive: float = 1.0, f
     return best
 
 
-def shingled(rows: DataFrame, source: Any, options: dict[str, Any]) -> DataFrame:
-    """``rows`` with ``_g``: distinct n-grams of tokens, or a list's own elements."""
+#: n-grams that are hashed under all seeds at a time.
+GRAMS_AT_ONCE = 8_192
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def minhashes(grams: list[str], seeds: np.ndarray) -> np.ndarray:
+    """The smallest hash of the n-grams under each seed."""
+    least = np.full(len(seeds), np.uint64(2**64 - 1))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), np.uint64, len(grams))
+    for at in range(0, len(hashes), GRAMS_AT_ONCE):
+        least = np.minimum(least, _mixed(hashes[at : at + GRAMS_AT_ONCE] ^ seeds[:, None]).min(1))
+    return least
+
+
+def lsh_bands(source: Any, options: dict[str, Any]) -> Column:
+    """array<bigint>: a hash for each band, over the smallest hashes of its rows' seeds."""
     from spindrel.plans.parser import fold
 
     n = int(fold(options["n_gram"])) if "n_gram" in options else 1
-    if source.list:
-        return rows.select("*", F.array_distinct(F.transform(source.col, lambda x: x.cast("string"))).alias("_g"))
-    rows = rows.select("*", Analyzer(options).column(source.col).alias("_tokens"))
-    words = F.transform("_tokens", lambda t: t["word"])
-    grams = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, (i + 1).cast("int"), n), "\u0001")))
-    return rows.select("*", F.array_distinct(F.coalesce(grams, F.array(F.array_join(words, "\u0001")))).alias("_g")).drop("_tokens")
+    b, r = lsh_shape(options)
+    seeds = _mixed(np.arange(1, b * r + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key, lists = Analyzer(options).key(), source.list
+
+    @F.pandas_udf("array<bigint>")
+    def run(values: pd.Series) -> pd.Series:
+        def bands(value: Any) -> list[int] | None:
+            if value is None:
+                return None
+            if lists:
+                grams = {str(x) for x in value if x is not None}
+            else:
+                words = [w for w, _, _ in analyzed(key, value)]
+                grams = {"\u0001".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+            least = minhashes(list(grams), seeds).reshape(b, r)
+            return [xxhash.xxh3_64_intdigest(least[i].tobytes(), i) - (1 << 63) for i in range(b)]
 
+        return values.map(bands)
 
-def minhash_bands(grams: Column, b: int, r: int) -> Column:
-    """One hash per band over the smallest hashes of r seeds each."""
-    least = [F.array_min(F.transform(grams, lambda g, s=s: F.xxhash64(F.lit(s), g))) for s in range(b * r)]  # noqa: B023
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(*least[i * r : (i + 1) * r]).alias("hash")) for i in range(b)])
+    return run(F.transform(source.col, lambda x: x.cast("string")) if lists else source.col)
 
 
 def lsh_shape(options: dict[str, Any]) -> tuple[int, int]:
@@ -375,26 +412,23 @@ def lsh_shape(options: dict[str, Any]) -> tuple[int, int]:
     return bands_and_rows(number("target_threshold", 0.9), int(number("n_perm", 200)), number("false_positive_weight", 1.0), number("false_negative_weight", 1.0))
 
 
-def lsh_table(relation: Any, index: Any) -> DataFrame:
-    """band, hash and keys of every row."""
+def lsh_entries(relation: Any, index: Any, rows: DataFrame) -> DataFrame:
+    """band, hash and keys of ``rows`` of the relation."""
     options = option_map(index)
-    rows = relation.frame()
     scope = Scope(rows, {c: c for c in rows.columns})
     if "extract_filter" in options:
         rows = rows.where(scope.test(options["extract_filter"]))
     source = scope.compile(options["extractor"])
-    grams = shingled(rows.where(source.col.isNotNull()), source, options).select(*relation.key_columns, "_g")
-    b, r = lsh_shape(options)
-    return grams.select(F.explode(minhash_bands(F.col("_g"), b, r)).alias("_b"), *relation.key_columns).select("_b.band", "_b.hash", *relation.key_columns)
+    made = rows.where(source.col.isNotNull()).select(lsh_bands(source, options).alias("_b"), *relation.key_columns)
+    return made.select(F.posexplode("_b").alias("band", "hash"), *relation.key_columns)
 
 
 def near_duplicates(relation: Any, index: Any, rows: DataFrame, condition: Column, queries: DataFrame, query: Any, constant: Any) -> DataFrame:
     """Rows that share a band with the query, by key where k limits them; a null query finds nothing."""
     options, keys = option_map(index), relation.key_columns
-    table = lsh_table(relation, index)
-    asked = shingled(queries.where("_q is not null"), query.__class__(F.col("_q"), query.type), options)
-    b, r = lsh_shape(options)
-    wanted = asked.select("_q", F.explode(minhash_bands(F.col("_g"), b, r)).alias("_b")).select("_q", F.col("_b.band").alias("_band"), F.col("_b.hash").alias("_hash"))
+    table = entries(relation, index)
+    asked = queries.where("_q is not null").select("_q", lsh_bands(query.__class__(F.col("_q"), query.type), options).alias("_b"))
+    wanted = asked.select("_q", F.posexplode("_b").alias("_band", "_hash"))
     hits = wanted.join(table, (F.col("_band") == F.col("band")) & (F.col("_hash") == F.col("hash"))).select("_q", *keys).distinct()
     met = rows.where(condition).join(hits, keys)
     k = constant("k")
@@ -407,12 +441,31 @@ def near_duplicates(relation: Any, index: Any, rows: DataFrame, condition: Colum
 # --- indices as relations -----------------------------------------------------------
 
 
+def entries_of(relation: Any, index: Any, rows: DataFrame) -> DataFrame | None:
+    """What an index holds for ``rows``; None for an index that is not stored."""
+    if index.kind == "fts":
+        return postings(relation, index, rows)
+    return lsh_entries(relation, index, rows) if index.kind == "lsh" else None
+
+
+def entries(relation: Any, index: Any) -> DataFrame:
+    """What an index holds: its stored table, or, over a registered table, what its rows give now."""
+    stored = dict(relation.stored).get(index.name)
+    return stored if stored is not None else entries_of(relation, index, relation.frame())
+
+
+def stored_entries(made: DataFrame, index: Any) -> DataFrame:
+    """Durable, sorted by what searches ask for, so that they read few row groups."""
+    order = ["word"] if index.kind == "fts" else ["band", "hash"]
+    return written(made.repartition(*order).sortWithinPartitions(*order))[0]
+
+
 def index_frame(relation: Any, index: Any) -> tuple[DataFrame, list[str]]:
     if index.kind == "fts":
-        df = postings(relation, index)
+        df = entries(relation, index)
         return df.select("word", *relation.key_columns, "offset_from", "offset_to", "position", "total_length"), ["word", *relation.key_columns]
     if index.kind == "lsh":
-        df = lsh_table(relation, index)
+        df = entries(relation, index)
         return df.select("band", "hash", *relation.key_columns), df.columns
     fields = [f.name for f in option_map(index)["fields"].items]
     return relation.frame().select(*relation.key_columns, *fields), relation.key_columns

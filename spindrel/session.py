@@ -17,7 +17,7 @@ from spindrel.plans import ast as A
 from spindrel.plans.analyze import ENTRY, definitions
 from spindrel.plans.compile import Evaluator, headers, order_column
 from spindrel.plans.parser import Parser
-from spindrel.sources.catalog import Callback, Catalog, Change, Writer, decoded, encoded
+from spindrel.sources.catalog import Callback, Catalog, Change, Writer, decoded, encoded, with_entries
 from spindrel.sources.durable import written
 
 
@@ -53,7 +53,7 @@ class Session:
         specs = []
         for name, r in self.catalog.relations.items():
             r.frame().write.mode("overwrite").parquet(f"{path}/{name}")
-            specs.append((name, encoded(replace(r, data=None))))
+            specs.append((name, encoded(replace(r, data=None, stored=(), layers=0))))
         self.spark.createDataFrame(specs, "name string, spec string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_spindrel_index")
 
     def restore(self, path: str, names: list[str] | None = None) -> None:
@@ -61,7 +61,7 @@ class Session:
         for row in self.spark.read.parquet(f"{path}/_spindrel_index").collect():
             if names is None or row["name"] in names:
                 data, _ = written(self.spark.read.parquet(f"{path}/{row['name']}"))
-                self.catalog.relations[row["name"]] = replace(decoded(row["spec"]), data=data)
+                self.catalog.relations[row["name"]] = with_entries(replace(decoded(row["spec"]), data=data))
 
     # --- extension -----------------------------------------------------------------
 

@@ -16,6 +16,8 @@ from spindrel.sources.durable import written
 from spindrel.sources.readers import spark_type
 
 LEVELS = ("hidden", "read_only", "protected", "normal")
+#: Changes to a relation after which its rows are written whole again.
+LAYERS = 8
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,9 @@ class Relation:
     indices: tuple[Index, ...] = ()
     triggers: tuple[tuple[str, str], ...] = ()
     description: str = ""
+    own: bool = False  # made here, so all its changes are known
+    layers: int = 0  # changes since the rows were last written whole
+    stored: tuple[tuple[str, DataFrame], ...] = ()  # durable entries of search indices, by index name
 
     @property
     def columns(self) -> list[str]:
@@ -155,6 +160,23 @@ def index_relation(relation: Relation, index: Index) -> Relation:
     return Relation(f"{relation.name}:{index.name}", tuple(Field(k) for k in keys), tuple(Field(c) for c in df.columns if c not in keys), df)
 
 
+def with_entries(relation: Relation) -> Relation:
+    """The relation with the entries of its search indices stored, if its changes are known."""
+    from spindrel.operators.search import entries_of, stored_entries
+
+    if not relation.own:
+        return relation
+    held, stored = dict(relation.stored), []
+    for i in relation.indices:
+        made = held.get(i.name)
+        if made is None:
+            fresh = entries_of(relation, i, relation.frame())
+            made = stored_entries(fresh, i) if fresh is not None else None
+        if made is not None:
+            stored.append((i.name, made))
+    return replace(relation, stored=tuple(stored))
+
+
 # --- writing ------------------------------------------------------------------------
 
 
@@ -249,12 +271,39 @@ class Writer:
     def run(self) -> Change | None:
         return getattr(self, self.store.op)()
 
-    def saved(self, relation: Relation, df: DataFrame) -> None:
-        data, _ = written(df)
-        self.catalog.relations[relation.name] = replace(relation, data=data)
+    def saved(self, relation: Relation, gone: DataFrame, new: DataFrame | None) -> None:
+        """Take the keys of ``gone`` out and put ``new`` in, both durable already.
+
+        The rows are written whole only every LAYERS changes; until then readers leave out
+        what was changed since, which costs them a join with few keys.
+        """
+        keys = relation.key_columns
+        df = on_keys(relation.data, gone, keys, "left_anti")
+        df = df if new is None else df.unionByName(new)
+        layers = relation.layers + 1
+        if layers >= LAYERS:
+            df, layers = written(df)[0], 0
+        stored = tuple((n, self.maintained(relation, n, t, gone, new)) for n, t in relation.stored)
+        self.catalog.relations[relation.name] = replace(relation, data=df, layers=layers, stored=stored)
+
+    def maintained(self, relation: Relation, name: str, table: DataFrame, gone: DataFrame, new: DataFrame | None) -> DataFrame:
+        from spindrel.operators.search import entries_of, stored_entries
+
+        index = next(i for i in relation.indices if i.name == name)
+        kept = on_keys(table, gone.select(*relation.key_columns), relation.key_columns, "left_anti")
+        return stored_entries(kept if new is None else kept.unionByName(entries_of(relation, index, new)), index)
 
     def one_per_key(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        return rows.dropDuplicates(keys) if keys else rows.limit(1)
+        """Of rows of one key the one with the largest values, column by column."""
+        if not keys:
+            return rows.orderBy(*[F.col(f"`{c}`").desc() for c in rows.columns]).limit(1)
+        rest = [c for c in rows.columns if c not in keys]
+        if not rest:
+            return rows.dropDuplicates()
+        best = F.max(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_best")
+        whole = rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(best)
+        made = {c: F.col("_best").getField(c).alias(c, metadata=rows.schema[c].metadata) for c in rest}
+        return whole.select(*[made.get(c, F.col(f"`{c}`")) for c in rows.columns])
 
     # --- create and replace --------------------------------------------------------
 
@@ -275,7 +324,7 @@ class Writer:
         keys, values = self.fields()
         rows = self.one_per_key(shaped(self.rows, (*keys, *values), self.bindings), [f.name for f in keys])
         data, _ = written(rows)
-        relation = Relation(self.store.name, keys, values, data, triggers=old.triggers if old else ())
+        relation = Relation(self.store.name, keys, values, data, triggers=old.triggers if old else (), own=True)
         self.catalog.relations[relation.name] = relation
         return Change(relation.name, "replace", data, old.data if old else data.limit(0))
 
@@ -285,7 +334,7 @@ class Writer:
         relation = self.catalog.writable(self.store.name)
         new = written(self.one_per_key(shaped(self.rows, (*relation.keys, *relation.values), self.bindings), relation.key_columns))[0]
         old = written(on_keys(relation.data, new, relation.key_columns, "left_semi"))[0]
-        self.saved(relation, on_keys(relation.data, new, relation.key_columns, "left_anti").unionByName(new))
+        self.saved(relation, new, new)
         return Change(relation.name, "put", new, old)
 
     def insert(self) -> Change:
@@ -307,7 +356,7 @@ class Writer:
             *[F.col(f"`r_{c}`").cast(relation.data.schema[c].dataType).alias(c) if c in names else F.col(f"`{c}`") for c in relation.columns]
         )
         merged = written(merged)[0]
-        self.saved(relation, on_keys(relation.data, new, relation.key_columns, "left_anti").unionByName(merged))
+        self.saved(relation, new, merged)
         return Change(relation.name, "put", merged, old)
 
     # --- removal -------------------------------------------------------------------
@@ -318,7 +367,7 @@ class Writer:
         if strict and not on_keys(keys, relation.data, relation.key_columns, "left_anti").isEmpty():
             raise A.ScriptError(f"{relation.name} lacks a key that was to be deleted")
         old = written(on_keys(relation.data, keys, relation.key_columns, "left_semi"))[0]
-        self.saved(relation, on_keys(relation.data, keys, relation.key_columns, "left_anti"))
+        self.saved(relation, keys, None)
         return Change(relation.name, "rm", keys, old)
 
     def delete(self) -> Change:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from spindrel.plans import ast as A
 from spindrel.plans.analyze import definitions, recursive, strata
-from spindrel.sources.catalog import LEVELS, Index, index_relation
+from spindrel.sources.catalog import LEVELS, Index, index_relation, with_entries
 
 CHANGING = {"remove", "rename", "access_level", "set_triggers", "create_index", "drop_index", "compact", "describe", "kill"}
 
@@ -110,6 +110,7 @@ def op_create_index(session: Any, relation: str, name: str, kind: str, options:
         raise A.ScriptError(f"{relation} has no column {', '.join(unknown)}")
     index_relation(r, index)  # fails on what cannot be indexed
     session._set(relation, indices=(*r.indices, index))
+    session.catalog.relations[relation] = with_entries(session.catalog.relations[relation])
     return ok(session)
 
 
@@ -117,7 +118,7 @@ def op_drop_index(session: Any, relation: str, name: str) -> DataFrame:
     r = session.catalog.writable(relation, "protected")
     if all(i.name != name for i in r.indices):
         raise A.ScriptError(f"{relation} has no index {name}")
-    session._set(relation, indices=tuple(i for i in r.indices if i.name != name))
+    session._set(relation, indices=tuple(i for i in r.indices if i.name != name), stored=tuple(x for x in r.stored if x[0] != name))
     return ok(session)
 
 
@@ -127,7 +128,7 @@ def op_compact(session: Any) -> DataFrame:
 
     for name, r in list(session.catalog.relations.items()):
         if r.keys:
-            session._set(name, data=written(r.data.repartition(*r.key_columns))[0])
+            session._set(name, data=written(r.data.repartition(*r.key_columns))[0], layers=0)
     return ok(session)
 
 

@@ -1,9 +1,11 @@
 """Search indices, text analysis and change feeds."""
 
+import random
+
 import pytest
 
 from spindrel import Session
-from spindrel.operators.search import bands_and_rows
+from spindrel.operators.search import bands_and_rows, entries_of
 from spindrel.operators.text import Porter, analyzed, ngrams, split_compound
 from spindrel.streaming.changes import follow, publish
 
@@ -52,6 +54,41 @@ def test_near_duplicates(session):
     assert run(session, "?[k] := ~t:l{k | query: q}, q = null") == []
 
 
+def test_stored_entries_follow_every_change(session):
+    """What an index holds after puts, updates and removals is what its rows give."""
+    session.run("::fts create t:f {extractor: v, tokenizer: Simple, filters: [Lowercase]}")
+    session.run("::lsh create t:l {extractor: v, tokenizer: Simple, n_gram: 2, target_threshold: 0.5}")
+    for i in range(12):
+        session.run(f"?[k, v] <- [['a', 'hello number {i}'], ['n{i}', 'a new text {i}']] :put t")
+    session.run("?[k, v] <- [['b', 'updated text']] :update t")
+    session.run("?[k] <- [['c'], ['n3']] :rm t {k}")
+    relation = session.catalog.relations["t"]
+    assert {n for n, _ in relation.stored} == {"f", "l"} and relation.data.count() == 14
+    for index in relation.indices:
+        held = dict(relation.stored)[index.name]
+        made = entries_of(relation, index, relation.frame()).select(*held.columns)
+        assert sorted(map(repr, held.collect())) == sorted(map(repr, made.collect())) and made.count() > 20
+    assert run(session, "?[k] := ~t:f{k | query: 'updated', k: 9}") == [("b",)]
+    assert run(session, "?[k] := ~t:f{k | query: 'round OR see', k: 9}") == []
+
+
+def test_near_duplicates_against_brute_force(session, spark):
+    """Similar pairs are found, far ones are not, at the rates that the bands promise."""
+    draw = random.Random(1)
+    texts = {}
+    for i in range(60):
+        base = [f"w{draw.randrange(500)}" for _ in range(120)]
+        texts[2 * i] = " ".join(base)
+        texts[2 * i + 1] = " ".join(w if draw.random() > 0.02 else "x" for w in base)
+    session.register("d", spark.createDataFrame(sorted(texts.items()), "k long, v string"), ["k"])
+    session.run("::lsh create d:l {extractor: v, tokenizer: Simple, n_gram: 5, n_perm: 128, target_threshold: 0.75}")
+    found = {(a, b) for a, b in run(session, "?[a, b] := *d{k: a, v: t}, ~d:l{k: b | query: t}") if a < b}
+    grams = {k: {tuple(t.split()[i : i + 5]) for i in range(116)} for k, t in texts.items()}
+    similarity = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in texts for b in texts if a < b}
+    near, far = {p for p, s in similarity.items() if s >= 0.85}, {p for p, s in similarity.items() if s < 0.4}
+    assert len(near) > 20 and len(found & near) >= 0.9 * len(near) and len(found & far) <= 2
+
+
 def test_band_choice():
     b, r = bands_and_rows(0.5, 64)
     assert b * r <= 64 and abs((1 / b) ** (1 / r) - 0.5) < 0.15
