@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from spindrel.operators.fixed import Context, algorithm
 from spindrel.plans import ast as A
-from spindrel.sources.durable import counted, delete, observed, written
+from spindrel.sources.durable import bucketed, counted, delete, observed, written
 
 SEQUENTIAL_EDGES = 2_000_000
 
@@ -172,29 +172,53 @@ def spread_min_from(reverse: DataFrame, colour: DataFrame) -> DataFrame:
             return reached.df.select("node", "component")
 
 
+#: Iterations of a ranking that are one query, where none of them has to be looked at.
+CHAIN = 5
+
+
 @algorithm("PageRank")
 def pagerank(c: Context) -> DataFrame:
-    """node, rank: power iteration; what dangling nodes hold is shared by all."""
+    """node, rank: power iteration; what dangling nodes hold is shared by all.
+
+    Edges lie in buckets by source, so that only ranks move to them.  An iteration is one
+    shuffle: shares of edges and one row of each node, summed by node.
+    """
     theta, epsilon, iterations = float(c.option("theta", 0.85)), float(c.option("epsilon", 1e-4)), int(c.option("iterations", 10))
-    e = c.edges().select("src", "dst")
-    counts = e.groupBy("src").agg(F.count(F.lit(1)).alias("outs"))
-    nodes, _ = written(all_nodes(e).join(counts.withColumnRenamed("src", "node"), "node", "left").select("node", "outs"))
-    n = nodes.count()
+    e = written(c.edges().select("src", "dst"))[0]
+    ends = e.select(F.col("src").alias("node"), F.lit(1).alias("out")).union(e.select("dst", F.lit(0)))
+    sums = ends.groupBy("node").agg(F.sum("out").alias("outs")).withColumn("id", F.monotonically_increasing_id())
+    nodes, _, seen = observed(sums, n=F.count(F.lit(1)), loose=F.count(F.when(F.col("outs") == 0, 1)), edges=F.sum("outs"))
+    n, loose, size = seen["n"], seen["loose"], seen["edges"]
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
-    # every edge with its source's share, dealt by source once
-    edges, _ = written(e.join(counts, "src").select("src", "dst", "outs").repartition("src"))
-    state = Rounds(nodes.select("node", "outs", F.lit(1.0 / n).alias("rank")))
-    loose = nodes.where("outs is null").count() / n
-    for _ in range(iterations):
-        sent = edges.join(state.df.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("outs")).alias("got"))
-        base = (1 - theta) / n + theta * loose / n
-        after = state.df.join(sent, "node", "left").select("node", "outs", F.col("rank").alias("before"), (F.lit(base) + theta * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        seen = state.advance(after, moved=F.sum(F.abs(F.col("rank") - F.col("before"))), loose=F.sum(F.when(F.col("outs").isNull(), F.col("rank"))))
-        loose = seen["loose"] or 0.0
-        if seen["moved"] < epsilon:
+    # numbers instead of names from here on
+    ids = nodes.select("node", "id")
+    edges = bucketed(e.join(ids.toDF("src", "s"), "src").join(ids.toDF("dst", "d"), "dst").select("s", "d"), "s", size)
+    still = nodes.select("id", "outs", F.lit(0.0).alias("got"), F.lit(0.0).alias("before"))
+    # each iteration is looked at where a small change may end them, or dangling nodes pass on what they hold
+    watched = epsilon > 0 or loose > 0
+
+    def step(ranks: DataFrame, held: float) -> DataFrame:
+        """The next ranks; ``held`` is the share of rank on nodes without edges."""
+        sent = edges.join(ranks.where("outs > 0").select(F.col("id").alias("s"), (F.col("rank") / F.col("outs")).alias("got")), "s")
+        own = ranks.select("id", "outs", F.lit(0.0).alias("got"), F.col("rank").alias("before")) if watched else still
+        sums = own.union(sent.select("d", F.lit(0).cast("long"), "got", F.lit(0.0))).groupBy("id")
+        sums = sums.agg(F.max("outs").alias("outs"), F.sum("got").alias("got"), F.max("before").alias("before"))
+        return sums.select("id", "outs", (F.lit((1 - theta) / n + theta * held / n) + theta * F.col("got")).alias("rank"), "before")
+
+    state = Rounds(nodes.select("id", "outs", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("before")))
+    held, done = loose / n, 0
+    while done < iterations:
+        chain = 1 if watched else min(CHAIN, iterations - done)
+        ranks = state.df
+        for _ in range(chain):
+            ranks = step(ranks, held)
+        done += chain
+        seen = state.advance(ranks, moved=F.sum(F.abs(F.col("rank") - F.col("before"))), held=F.sum(F.when(F.col("outs") == 0, F.col("rank"))))
+        held = seen["held"] or 0.0
+        if watched and seen["moved"] < epsilon:
             break
-    return state.df.select("node", "rank")
+    return ids.join(state.df.select("id", "rank"), "id").select("node", "rank")
 
 
 @algorithm("ClusteringCoefficients")

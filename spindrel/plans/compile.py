@@ -218,6 +218,16 @@ def null_safe_minus(left: DataFrame, right: DataFrame, columns: list[str]) -> Da
     return left.join(other, condition, "left_anti") if condition is not None else left
 
 
+def null_safe_common(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``left`` whose ``columns`` occur in ``right``."""
+    other = right.select(*[F.col(c).alias(f"r{c}") for c in columns])
+    condition = F.lit(True)
+    for i, c in enumerate(columns):
+        same = F.col(c).eqNullSafe(F.col(f"r{c}"))
+        condition = same if not i else condition & same
+    return left.join(other, condition, "left_semi")
+
+
 def aggregated(rows: DataFrame, head: tuple, nonempty_only: bool = False) -> DataFrame:
     """Group by the plain head variables; without any there is one row, even over nothing."""
     if any(h.aggregate == "choice_rand" for h in head):
@@ -378,29 +388,44 @@ class Evaluator:
                 after[name] = self.total[name].limit(0) if new is None else new
             fresh = {}
             for name in group:
-                d, columns = self.rules[name], self.total[name].columns
-                if d.aggregates:
-                    merged, path = written(aggregated(self.total[name].union(after[name]), merge_head(d), True))
-                    fresh[name] = null_safe_minus(merged, self.total[name], columns)
-                    fresh[name], _, size[name] = counted(fresh[name])
-                    kept[name] = [(merged, path)]
-                else:
-                    fresh[name], path, size[name] = counted(null_safe_minus(after[name].dropDuplicates(), self.total[name], columns))
+                fresh[name], path, size[name] = self.news(name, after[name], kept[name])
+                if size[name]:
                     kept[name].append((fresh[name], path))
             for name in group:
                 self.fresh[name] = fresh[name]
                 if len(kept[name]) > COMPACT:
                     old = kept[name][:-1]
-                    kept[name] = [written(unioned([df for df, _ in old])), kept[name][-1]]
+                    kept[name] = [written(self.known(name, old)), kept[name][-1]]
                     for _, path in old:
                         delete(self.spark, path)
-                self.total[name] = unioned([df for df, _ in kept[name]])
+                self.total[name] = self.known(name, kept[name])
         else:
             raise A.ScriptError(f"no fixpoint after {MAX_ROUNDS} rounds")
         for name in group:
             self.results[name] = self.total[name]
         self.total, self.fresh = {}, {}
 
+    def known(self, name: str, layers: list[tuple[DataFrame, str]]) -> DataFrame:
+        """A rule's rows so far; of aggregated rows the best of each key, as later rounds only better them."""
+        rows = unioned([df for df, _ in layers])
+        d = self.rules[name]
+        return aggregated(rows, merge_head(d), True) if d.aggregates and len(layers) > 1 else rows
+
+    def news(self, name: str, rows: DataFrame, layers: list[tuple[DataFrame, str]]) -> tuple[DataFrame, str, int]:
+        """What a round adds: (rows, path, count).  Old rows are read, and only those of the keys at hand merged."""
+        d, columns = self.rules[name], rows.columns
+        old = unioned([df for df, _ in layers])
+        if not d.aggregates:
+            return counted(null_safe_minus(rows.dropDuplicates(), old, columns))
+        offers, path, count = counted(rows)
+        if not count:
+            return offers, path, 0
+        keys = [position(i) for i, h in enumerate(d.head) if not h.aggregate]
+        merged = aggregated(offers.union(null_safe_common(old, offers, keys)), merge_head(d), True)
+        found = counted(null_safe_minus(merged, old, columns))
+        delete(self.spark, path)
+        return found
+
     def base(self, d: Definition, inside: set[str]) -> DataFrame | None:
         """What a rule yields before anything recursive is known."""
         frames = [self.constant_rows(d, rows) for rows in d.constants]

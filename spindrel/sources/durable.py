@@ -10,7 +10,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows from which a table that is joined again and again is laid out in buckets.
+BUCKET_FROM = 1_000_000
+
 _written: dict[str, SparkSession] = {}
+_tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,8 +58,26 @@ def counted(df: DataFrame) -> tuple[DataFrame, str, int]:
     return table, path, seen["n"]
 
 
+def bucketed(df: DataFrame, column: str, rows: int) -> DataFrame:
+    """``df`` written in buckets by a column, so that joins on it need not shuffle it again."""
+    spark = df.sparkSession
+    path, name = f"{shared_dir(spark)}/spindrel/{uuid.uuid4().hex}", f"spindrel_{uuid.uuid4().hex}"
+    if rows < BUCKET_FROM:  # so few rows are sent sooner than buckets are laid out
+        return written(df)[0]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, column).write.bucketBy(parts, column).sortBy(column).option("path", path).saveAsTable(name)
+    _written[path] = spark
+    _tables[name] = spark
+    return spark.table(name)
+
+
 @atexit.register
 def _clean() -> None:
+    for name, spark in list(_tables.items()):
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the JVM may be gone already
+            return
     for path, spark in list(_written.items()):
         try:
             delete(spark, path)
