@@ -54,7 +54,7 @@ def collected(edges: DataFrame, what: str) -> list[Any]:
 
 
 def all_nodes(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
 def sort_key(value: Any) -> tuple:
@@ -65,7 +65,8 @@ def sort_key(value: Any) -> tuple:
 def degree(c: Context) -> DataFrame:
     """node, total, out, in; nodes of the second relation appear with zeros."""
     e = c.input(0).edges()
-    ends = e.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("dst", F.lit(0), F.lit(1)))
+    end = lambda column, o, i: F.struct(F.col(column).alias("node"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = e.select(F.inline(F.array(end("src", 1, 0), end("dst", 0, 1))))
     if c.has(1):
         ends = ends.union(c.input(1).nodes().select("node", F.lit(0), F.lit(0)))
     sums = ends.groupBy("node").agg(F.sum("o").alias("out"), F.sum("i").alias("in"))
@@ -79,7 +80,8 @@ def merged_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     merges: list[DataFrame] = []
     while edges.live:
         key = lambda col: F.xxhash64(F.lit(len(merges)), F.col(col))  # noqa: E731, B023
-        both = edges.df.union(edges.df.select("b", "a"))
+        way = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+        both = edges.df.select(F.inline(F.array(way("a", "b"), way("b", "a"))))
         near = both.groupBy("a").agg(F.min_by("b", key("b")).alias("other"))
         into = F.when(key("other") < key("a"), F.col("other")).otherwise(F.col("a"))
         merge, _ = written(near.select(F.col("a").alias("node"), into.alias("into")))
@@ -111,7 +113,7 @@ def numbered(labels: DataFrame) -> DataFrame:
 
 @algorithm("ConnectedComponents")
 def connected_components(c: Context) -> DataFrame:
-    e = c.input(0).edges()
+    e = written(c.input(0).edges().select("src", "dst"))[0]
     nodes = all_nodes(e)
     if c.has(1):
         nodes = nodes.union(c.input(1).nodes())
@@ -136,7 +138,7 @@ def spread_min(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def strongly_connected(c: Context) -> DataFrame:
     """Colouring: the smallest node that reaches a node forward is its colour; what reaches
     back to the colour within it is one component."""
-    e = c.input(0).edges().select("src", "dst").where("src <> dst").distinct()
+    e = written(c.input(0).edges().select("src", "dst").where("src <> dst").distinct())[0]
     nodes = all_nodes(e.select("src", "dst"))
     if c.has(1):
         nodes = nodes.union(c.input(1).nodes()).distinct()
@@ -185,7 +187,8 @@ def pagerank(c: Context) -> DataFrame:
     """
     theta, epsilon, iterations = float(c.option("theta", 0.85)), float(c.option("epsilon", 1e-4)), int(c.option("iterations", 10))
     e = written(c.edges().select("src", "dst"))[0]
-    ends = e.select(F.col("src").alias("node"), F.lit(1).alias("out")).union(e.select("dst", F.lit(0)))
+    end = lambda column, out: F.struct(F.col(column).alias("node"), F.lit(out).alias("out"))
+    ends = e.select(F.inline(F.array(end("src", 1), end("dst", 0))))
     sums = ends.groupBy("node").agg(F.sum("out").alias("outs")).withColumn("id", F.monotonically_increasing_id())
     nodes, _, seen = observed(sums, n=F.count(F.lit(1)), loose=F.count(F.when(F.col("outs") == 0, 1)), edges=F.sum("outs"))
     n, loose, size = seen["n"], seen["loose"], seen["edges"]
@@ -224,7 +227,7 @@ def pagerank(c: Context) -> DataFrame:
 @algorithm("ClusteringCoefficients")
 def clustering(c: Context) -> DataFrame:
     """node, coefficient, triangles, degree; each triangle is found once, from its least-degree edge order."""
-    e = c.input(0).edges(True).select("src", "dst")
+    e = written(c.input(0).edges(True).select("src", "dst"))[0]
     degrees, _ = written(e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
     pairs = e.where("src <> dst").distinct()
     ranked = pairs.join(degrees.toDF("src", "ds"), "src").join(degrees.toDF("dst", "dd"), "dst")
@@ -394,7 +397,7 @@ def top_sort(c: Context) -> DataFrame:
     """index, node in an order that no edge goes against; nodes on or behind cycles are left out."""
     from spindrel.sources.readers import indexed
 
-    e = c.input(0).edges().select("src", "dst").distinct()
+    e = written(c.input(0).edges().select("src", "dst").distinct())[0]
     left_edges, nodes = Rounds(e), Rounds(all_nodes(e))
     layers: list[DataFrame] = []
     while True:
