@@ -72,7 +72,7 @@ def _list(name: str, a: Typed) -> Column:
 
 
 def _intersection(a: Typed) -> Column:
-    lists = F.collect_list(_list("intersection", a))
+    lists = F.collect_set(_list("intersection", a))  # equal lists are merged before the shuffle
     rest = F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(0)))
     return F.sort_array(F.coalesce(F.aggregate(rest, F.array_distinct(F.get(lists, F.lit(0))), F.array_intersect), F.array().cast(a.type)))
 
@@ -96,7 +96,7 @@ BUILDERS: dict[str, Callable[..., Column]] = {
     "or": lambda a: F.coalesce(F.bool_or(_boolean("or", a)), F.lit(False)),
     "unique": lambda a: _unbox(F.sort_array(F.collect_set(_boxed(a)))),
     "count_unique": lambda a: F.count_distinct(_boxed(a)),
-    "union": lambda a: F.sort_array(F.array_distinct(F.flatten(F.collect_list(_list("union", a))))),
+    "union": lambda a: F.sort_array(F.array_distinct(F.flatten(F.collect_set(_list("union", a))))),
     "intersection": _intersection,
     "collect": _collect,
     "choice_rand": lambda a: F.max_by(a.col, F.col("_rand")),

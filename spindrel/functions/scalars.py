@@ -690,7 +690,10 @@ def dot(a: Column, b: Column) -> Column:
 
 @function("l2_normalize", 1)
 def _l2_normalize(a):
-    return F.transform(a.col, lambda x: _divide(x, F.sqrt(dot(a.col, a.col))).cast(a.type.elementType))
+    # the length stands once beside the vector, not inside the loop over it
+    both = F.array(F.struct(a.col.alias("v"), F.sqrt(dot(a.col, a.col)).alias("n")))
+    each = F.transform(both, lambda b: F.transform(b["v"], lambda x: _divide(x, b["n"]).cast(a.type.elementType)))
+    return F.when(a.col.isNotNull(), F.get(each, F.lit(0)))
 
 
 def l2(a: Column, b: Column) -> Column:

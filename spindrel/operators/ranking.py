@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrel.operators.fixed import Context, algorithm
 from spindrel.plans import ast as A
-from spindrel.sources.readers import constant_frame, read_csv, read_json
+from spindrel.sources.readers import constant_frame, indexed, read_csv, read_json
 
 
 @algorithm("ReorderSort")
@@ -28,13 +27,20 @@ def reorder_sort(c: Context) -> DataFrame:
     order = [F.col(f"k{i}").desc_nulls_last() if down else F.col(f"k{i}").asc_nulls_first() for i in range(len(keys))]
     ties = [F.col(f"o{i}") for i in range(len(columns))]
     skip, take = int(c.option("skip", 0)), int(c.option("take", 0))
+    # the sorted rows numbered in all partitions at once; rows that tie then take the least number among them
+    kept = [c for c, _ in zip(rows.columns, [*columns, *sorts], strict=True)]
+    numbered = indexed(rows.orderBy(*order, *ties), True).toDF("_at", *kept)
+    place = F.col("_at") + 1
     if c.option("break_ties", False):
-        rank = F.row_number().over(W.orderBy(*order, *ties))
-        place = rank
+        out = numbered.select(place.alias("rank"), *ties, place.alias("_place"))
     else:
-        rank = F.rank().over(W.orderBy(*(order or ties)))
-        place = F.row_number().over(W.orderBy(*order, *ties))
-    out = rows.select(rank.cast("long").alias("rank"), *ties, place.alias("_place")) if skip or take else rows.select(rank.cast("long").alias("rank"), *ties)
+        same = [f"k{i}" for i in range(len(order))] or [f"o{i}" for i in range(len(columns))]
+        first = numbered.groupBy(*same).agg(F.min("_at").alias("_first")).select(*[F.col(k).alias(f"r{k}") for k in same], "_first")
+        condition = F.lit(True)
+        for i, k in enumerate(same):
+            equal = F.col(k).eqNullSafe(F.col(f"r{k}"))
+            condition = equal if not i else condition & equal
+        out = numbered.join(first, condition).select((F.col("_first") + 1).alias("rank"), *ties, place.alias("_place"))
     if skip:
         out = out.where(F.col("_place") > skip)
     if take:

@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import Any
 
 import numpy as np
@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrel.functions.scalars import cosine, dot, l2, vector
+from spindrel.functions.scalars import _divide, cosine, dot, l2, vector
 from spindrel.operators.text import Analyzer, analyzed
 from spindrel.plans import ast as A
 from spindrel.plans.expressions import Scope
-from spindrel.sources.durable import written
+from spindrel.sources.durable import observed, written
 
-#: Largest query side, in rows, that is sent to every task.
-BROADCAST_QUERIES = 10_000
+#: Bytes of queries that are sent to every task at a time.
+BROADCAST_BYTES = 32 << 20
 
 
 def search_join(session: Any, atom: A.SearchAtom, body: Any) -> None:
@@ -81,7 +81,8 @@ def nearest(relation: Any, index: Any, rows: DataFrame, condition: Column, queri
     """Exact nearest rows: every row against the distinct queries, then the k best each.
 
     Exact results are what an approximate graph is measured against, so the accuracy
-    options of the index are accepted and not needed.
+    options of the index are accepted and not needed.  Queries are dealt in blocks of a
+    checked size, each sent to all tasks.
     """
     options = option_map(index)
     k = int(constant("k", 0))
@@ -98,15 +99,31 @@ def nearest(relation: Any, index: Any, rows: DataFrame, condition: Column, queri
     for i, f in enumerate(fields):
         part = rows.where(condition).select("*", F.col(f).alias("_vector"), F.lit(f).alias("_field"), F.lit(i).alias("_field_idx")).where("_vector is not null")
         out = part if out is None else out.union(part)
-    few = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    met = out.crossJoin(F.broadcast(asked) if few else asked)
-    met = met.withColumn("_distance", distance(F.col("_vector"), F.col("_query")))
+    if name == "Cosine":  # lengths once a vector, not once a pair
+        out, asked = out.withColumn("_v2", dot(F.col("_vector"), F.col("_vector"))), asked.withColumn("_q2", dot(F.col("_query"), F.col("_query")))
+    asked, _, seen = observed(asked, n=F.count(F.lit(1)), size=F.sum(F.size("_query") * 16 + 64))
     radius = constant("radius")
-    if radius is not None:
-        met = met.where(F.col("_distance") <= F.lit(float(radius)))
-    # row_number <= k is applied to each task's rows before the shuffle as well
-    place = F.row_number().over(W.partitionBy("_q").orderBy("_distance", *relation.key_columns, "_field_idx"))
-    return met.withColumn("_place", place).where(F.col("_place") <= k).drop("_place", "_query")
+
+    def best(some: DataFrame) -> DataFrame:
+        met = out.crossJoin(F.broadcast(some))
+        if name == "Cosine":
+            apart = 1 - _divide(dot(F.col("_vector"), F.col("_query")), F.sqrt(F.col("_v2") * F.col("_q2")))
+        else:
+            apart = distance(F.col("_vector"), F.col("_query"))
+        met = met.withColumn("_distance", apart)
+        if radius is not None:
+            met = met.where(F.col("_distance") <= F.lit(float(radius)))
+        # row_number <= k is applied to each task's rows before the shuffle as well
+        place = F.row_number().over(W.partitionBy("_q").orderBy("_distance", *relation.key_columns, "_field_idx"))
+        return met.withColumn("_place", place).where(F.col("_place") <= k).drop("_place", "_query", "_v2", "_q2")
+
+    # every block of queries is small enough to be sent to all tasks
+    blocks = max(1, -(-(seen["size"] or 0) // BROADCAST_BYTES))
+    if blocks == 1:
+        return best(asked)
+    block = F.pmod(F.xxhash64("_query"), F.lit(blocks))
+    found = [written(best(asked.where(block == i)))[0] for i in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
 
 
 # --- full text ----------------------------------------------------------------------

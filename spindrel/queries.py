@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from spindrel.session import Session
 
-#: Columns that are unique together.
+#: Columns that are unique together; none where rows may repeat.
 KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"],
     "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"], "documents": ["doc_id"],
-    "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"],
+    "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": [], "conversations": [],
 }
 
 

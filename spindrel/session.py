@@ -34,7 +34,10 @@ class Session:
 
     # --- relations -----------------------------------------------------------------
 
-    def register(self, name: str, df: DataFrame, keys: list[str] | None = None) -> Session:
+    def register(self, name: str, df: DataFrame, keys: list[str] | None = None, check: bool = False) -> Session:
+        """Make a DataFrame a relation.  Keys are believed, as checking them reads all rows, unless ``check``."""
+        if check and keys and not df.groupBy(*keys).count().where("count > 1").isEmpty():
+            raise A.ScriptError(f"{name} holds several rows of one key")
         self.catalog.register(name, df, keys)
         return self
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrel.plans import ast as A
+from spindrel.sources.durable import written
 
 
 def kind_of(value: Any) -> T.DataType:
@@ -147,15 +149,17 @@ def read_json(
 
 
 def indexed(df: DataFrame, wanted: bool) -> DataFrame:
-    """Row numbers from 0 in file order, first column: counts per partition, then offsets."""
+    """Row numbers from 0 in the order of ``df``, first column.
+
+    Rows are written with their partition and place in it, which later reads keep; a
+    partition's offset is then one row of a small table.
+    """
     if not wanted:
         return df
-    numbered = df.withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
-    counts = {r["_p"]: (r["c"], r["least"]) for r in numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("c"), F.min("_n").alias("least")).collect()}
-    offset, shift = 0, F.lit(0)
-    for p in sorted(counts):
-        count, least = counts[p]
-        shift = F.when(F.col("_p") == p, F.lit(offset - least)).otherwise(shift)
-        offset += count
-    out = numbered.select((F.col("_n") + shift).cast("long").alias("_i"), *df.columns)
-    return out.toDF(*[f"_{i}" for i in range(len(df.columns) + 1)])
+    names = [f"_{i + 1}" for i in range(len(df.columns))]
+    placed = df.toDF(*names).select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_n"), *names)
+    rows, _ = written(placed)
+    parts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_first"))
+    before = F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("_p", (before - F.col("_first")).alias("_shift"))
+    return rows.join(offsets, "_p").select((F.col("_n") + F.col("_shift")).cast("long").alias("_0"), *names)

@@ -196,6 +196,28 @@ def test_readers(session, tmp_path):
     assert sorted(found) == [(1, "x"), (2, None)]
 
 
+def test_ranks_over_many_partitions(session, spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        session.register("r", spark.range(300).selectExpr("id AS k", "if(id % 50 = 0, null, id % 7) AS v").repartition(6))
+        found = run(session, "?[] <~ ReorderSort(*r{k, v}, out: [k, v], sort_by: [v], descending: true)")
+        exact = run(session, "?[] <~ ReorderSort(*r{k, v}, out: [k, v], sort_by: [v, k], break_ties: true, skip: 10, take: 20)")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    values = [None if i % 50 == 0 else i % 7 for i in range(300)]
+    above = lambda v: sum(x is not None and (v is None or x > v) for x in values)
+    assert sorted(found) == sorted((above(v) + 1, k, v) for k, v in enumerate(values))
+    order = sorted(range(300), key=lambda k: (values[k] is not None, values[k] or 0, k))
+    assert sorted(exact) == [(n + 1, k, values[k]) for n, k in enumerate(order)][10:30]
+
+
+def test_checked_keys(session, spark):
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
+    with pytest.raises(ScriptError):
+        session.register("twice", twice, ["k"], check=True)
+    session.register("once", twice, ["k", "v"], check=True)
+
+
 def test_custom_algorithm(session):
     session.register_fixed_rule("Doubled", lambda inputs, options: inputs[0].selectExpr(f"`{inputs[0].columns[0]}` * {options['by']} AS x"))
     assert run(session, "a[x] <- [[3]] ?[y] <~ Doubled(a[], by: 4)") == [(12,)]

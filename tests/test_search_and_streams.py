@@ -32,6 +32,16 @@ def test_vectors(session):
     assert sorted(joined) == [("a", "a"), ("b", "b"), ("c", "c")]
 
 
+def test_vector_queries_in_blocks(session, monkeypatch):
+    from spindrel.operators import search
+
+    session.run("::hnsw create p:x {dim: 2, m: 8, ef_construction: 20, fields: [v], distance: Cosine}")
+    script = "?[a, b, d] := *p{k: a, v}, !is_null(v), ~p:x{k: b | query: v, k: 2, ef: 20, bind_distance: d}"
+    whole = sorted(run(session, script))
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 150)
+    assert sorted(run(session, script)) == whole and len(whole) == 6
+
+
 def test_full_text(session):
     session.run("::fts create t:f {extractor: v, tokenizer: Simple, filters: [Lowercase, Stemmer('English')]}")
     q = lambda text, more="": sorted(r[0] for r in run(session, f"?[k] := ~t:f{{k | query: '{text}', k: 9{more}}}"))
