@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from spindrel.functions import aggregates as G
 from spindrel.plans import ast as A
-from spindrel.plans.analyze import ENTRY, Definition, ordered, recursive, strata
+from spindrel.plans.analyze import ENTRY, Definition, binds, needs, ordered, recursive, strata
 from spindrel.plans.expressions import JSON_FLAG, Scope, flagged
 from spindrel.sources.durable import counted, delete, written
 
@@ -59,12 +59,15 @@ class Body:
 
     # --- atoms ---------------------------------------------------------------------
 
-    def run(self, atoms: list[Any]) -> Body:
-        for atom in ordered(atoms):
-            self.apply(atom)
+    def run(self, atoms: list[Any], wanted: set[str] | None = None) -> Body:
+        """All atoms in turn.  Where rows are a set, ``wanted`` are the variables that the head takes."""
+        order = ordered(atoms)
+        for i, atom in enumerate(order):
+            self.apply(atom, None if wanted is None else wanted.union(*map(mentioned, order[i + 1 :])))
         return self
 
-    def apply(self, atom: Any) -> None:
+    def apply(self, atom: Any, later: set[str] | None = None) -> None:
+        """One atom; ``later`` are the variables that anything after it needs, if only their values count."""
         if isinstance(atom, A.Test):
             self.df = self.frame().where(self.scope().test(atom.expr))
         elif isinstance(atom, A.Unify):
@@ -77,7 +80,7 @@ class Body:
             self.unique = None
         else:
             source, pairs, keys = self.evaluator.source(atom, self)
-            self.join(source, pairs, keys)
+            self.join(source, pairs, keys, later)
 
     def unify(self, atom: A.Unify) -> None:
         scope = self.scope()
@@ -123,7 +126,7 @@ class Body:
                 source = source.where(scope.test(A.Call("eq", (A.Var("_"), e))))
         return source, own, later
 
-    def join(self, source: DataFrame, pairs: list[tuple[str, Any]], keys: set[str] | None) -> None:
+    def join(self, source: DataFrame, pairs: list[tuple[str, Any]], keys: set[str] | None, needed: set[str] | None = None) -> None:
         source, own, later = self.narrowed(source, pairs)
         names = {column: self.fresh() for column in [*own.values(), *(c for c, _ in later)]}
         # constants count as known; a computed argument does too, as it depends on variables
@@ -148,6 +151,10 @@ class Body:
             for v in shared:
                 same = F.col(self.columns[v]).eqNullSafe(F.col(names[own[v]]))
                 condition = same if condition is None else condition & same
+            if condition is not None and not later and needed is not None and not needed & {v for v in own if v not in shared}:
+                # nothing that the atom brings is used: it only tests whether there is a row
+                self.df = self.df.join(right, condition, "left_semi").drop(*extra)
+                return
             self.df = (self.df.crossJoin(right) if condition is None else self.df.join(right, condition)).drop(*[names[own[v]] for v in shared], *extra)
         for v, column in own.items():
             self.columns.setdefault(v, names[column])
@@ -197,6 +204,20 @@ class Body:
         return self.unique is not None and all(u <= mine for u in self.unique)
 
 
+def mentioned(atom: Any) -> set[str]:
+    """Every variable that an atom reads or binds."""
+    inner = atom.atom if isinstance(atom, A.Not) else atom
+    out = binds(inner) | needs(inner)
+    if isinstance(inner, A.SearchAtom):
+        out |= set().union(*(A.variables(e) for _, e in inner.options), set())
+    return out
+
+
+def wanted_by(d: Definition) -> set[str] | None:
+    """The variables of a head; None where the number of rows counts too."""
+    return None if d.aggregates else {h.var for h in d.head}
+
+
 def unioned(frames: list[DataFrame]) -> DataFrame:
     """Rows of several frames by position, numbers widened."""
     out = frames[0]
@@ -351,7 +372,7 @@ class Evaluator:
 
             return run_fixed(self, d.fixed)
         frames = [self.constant_rows(d, rows) for rows in d.constants]
-        bodies = [Body(self).run(b) for b in d.bodies]
+        bodies = [Body(self).run(b, wanted_by(d)) for b in d.bodies]
         frames += [b.project(d.head) for b in bodies]
         if not frames:
             raise A.ScriptError(f"{d.name} has no definition")
@@ -429,7 +450,7 @@ class Evaluator:
     def base(self, d: Definition, inside: set[str]) -> DataFrame | None:
         """What a rule yields before anything recursive is known."""
         frames = [self.constant_rows(d, rows) for rows in d.constants]
-        frames += [Body(self).run(b).project(d.head) for b in d.bodies if not calls_to(b, inside)]
+        frames += [Body(self).run(b, wanted_by(d)).project(d.head) for b in d.bodies if not calls_to(b, inside)]
         if not frames:
             return None
         rows = unioned(frames)
@@ -470,7 +491,7 @@ class Evaluator:
             for i in calls_to(body, inside):
                 if body[i].name in live:
                     changed = [Delta(a.name, a.args) if j == i else a for j, a in enumerate(body)]
-                    frames.append(Body(self).run(changed).project(d.head))
+                    frames.append(Body(self).run(changed, wanted_by(d)).project(d.head))
         if not frames:
             return None
         rows = unioned(frames)

@@ -436,9 +436,9 @@ add(
 )
 add(
     "stratified_negation",
-    HOP + _FROM_ONE + "all[p] := hop[p, _]  all[p] := hop[_, p]  ?[p] := all[p], not t[p]",
+    HOP + "t[b] := hop[1, b]  t[b] := t[a], hop[a, b], a < b  all[p] := hop[p, _]  all[p] := hop[_, p]  ?[p] := all[p], not t[p]",
     "p",
-    f"WITH RECURSIVE {HOP_SQL}, t AS (SELECT b FROM hop WHERE a = 1 UNION SELECT h.b FROM t JOIN hop h ON h.a = t.b) SELECT a AS p FROM hop WHERE a NOT IN (SELECT b FROM t) UNION SELECT b FROM hop WHERE b NOT IN (SELECT b FROM t)",
+    f"WITH RECURSIVE {HOP_SQL}, t AS (SELECT b FROM hop WHERE a = 1 UNION SELECT h.b FROM t JOIN hop h ON h.a = t.b AND t.b < h.b) SELECT a AS p FROM hop WHERE a NOT IN (SELECT b FROM t) UNION SELECT b FROM hop WHERE b NOT IN (SELECT b FROM t)",
 )
 #: Who supplies what.
 SUPPLY = "e[a, b] := *lineitem{l_suppkey: s, l_partkey: p}, a = concat('s', to_string(s)), b = concat('p', to_string(p)) "

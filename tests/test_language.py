@@ -211,6 +211,18 @@ def test_ranks_over_many_partitions(session, spark):
     assert sorted(exact) == [(n + 1, k, values[k]) for n, k in enumerate(order)][10:30]
 
 
+def test_an_atom_that_only_tests_is_a_semi_join(session, spark):
+    session.register("l", spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string"), ["k"])
+    session.register("r", spark.createDataFrame([(1, 5), (1, 6), (3, 5)], "k long, w long"))
+    plan = lambda script: session.run(script)._jdf.queryExecution().optimizedPlan().toString()
+    tests = "?[k, v] := *l{k, v}, *r{k, w: _}"
+    assert run(session, tests) == [(1, "a"), (3, "c")] and "LeftSemi" in plan(tests) and "Aggregate" not in plan(tests)
+    assert run(session, "?[k, v] := *l{k, v}, *r{k, w}, w > 5") == [(1, "a")]
+    assert sorted(run(session, "?[k, w] := *l{k}, *r{k, w}")) == [(1, 5), (1, 6), (3, 5)]
+    assert run(session, "?[count(k)] := *l{k}, *r{k}") == [(3,)]
+    assert run(session, "?[k] := *l{k}, *r{k, w: k + 4}") == [(1,)]
+
+
 def test_checked_keys(session, spark):
     twice = spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
     with pytest.raises(ScriptError):
