@@ -92,6 +92,26 @@ def function(name: str, least: int, most: int | None = -1):
     return add
 
 
+#: Functions that users have added.
+ADDED: set[str] = set()
+
+
+def add_function(name: str, arity: int, builder: Callable[..., Column]) -> None:
+    """A function of so many columns, from then on known to all sessions of this process."""
+    if name in REGISTRY and name not in ADDED:
+        raise ScriptError(f"function {name} exists already")
+    REGISTRY[name] = (arity, arity, lambda *args: builder(*[a.col for a in args]))
+    ADDED.add(name)
+
+
+def drop_function(name: str) -> bool:
+    if name not in ADDED:
+        return False
+    ADDED.remove(name)
+    del REGISTRY[name]
+    return True
+
+
 def build(name: str, args: list[Typed]) -> Column | Json:
     if name not in REGISTRY:
         raise ScriptError(f"no function {name}")

@@ -948,6 +948,15 @@ add(
 )
 
 
+add(
+    "custom_function",
+    "?[k, x] := *part{p_partkey: k, p_name: n, p_size: s}, x = tagged(n, s + 1)",
+    "k x",
+    "SELECT p_partkey AS k, '<' || (p_size + 1) || '|' || p_name || '>' AS x FROM part",
+    prepare=lambda session, _: session.register_function("tagged", 2, lambda n, s: F.concat(F.lit("<"), s.cast("string"), F.lit("|"), n, F.lit(">"))),
+)
+
+
 def arranged(session: Session, sf_dir: str) -> None:
     for name in ("nation", "region"):
         session.register(name, read_table(session, sf_dir, name), KEYS[name])

@@ -10,9 +10,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrel.functions.scalars import add_function, drop_function
 from spindrel.plans import ast as A
 from spindrel.plans.analyze import ENTRY, definitions
 from spindrel.plans.compile import Evaluator, headers, order_column
@@ -79,6 +80,13 @@ class Session:
     def unregister_fixed_rule(self, name: str) -> bool:
         return self.fixed_rules.pop(name, None) is not None
 
+    def register_function(self, name: str, arity: int, build: Callable[..., Column]) -> None:
+        """``build(*columns) -> Column`` as a scalar function: Spark expressions, or a (pandas) UDF that it calls."""
+        add_function(name, arity, build)
+
+    def unregister_function(self, name: str) -> bool:
+        return drop_function(name)
+
     def register_callback(self, relation: str, call: Callback) -> int:
         """``call(op, new, old)`` after each committed put or rm of a relation."""
         number = max(self.callbacks, default=0) + 1

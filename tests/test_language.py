@@ -196,6 +196,17 @@ def test_readers(session, tmp_path):
     assert sorted(found) == [(1, "x"), (2, None)]
 
 
+def test_custom_function(session):
+    session.register_function("doubled", 1, lambda x: x * 2)
+    assert run(session, "?[y] := x in [1, 2], y = doubled(x) + 1") == [(3,), (5,)]
+    for bad in ("?[y] := y = doubled(1, 2)", "?[y] := y = nowhere(1)"):
+        with pytest.raises(ScriptError):
+            run(session, bad)
+    assert session.unregister_function("doubled") and not session.unregister_function("abs")
+    with pytest.raises(ScriptError):
+        session.register_function("abs", 1, lambda x: x)
+
+
 def test_ranks_over_many_partitions(session, spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
