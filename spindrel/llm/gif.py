@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrel.llm.common import table
+from spindrel.llm.common import byte_slices, table
 
 WIDTH = 64
 FRAME_ROWS = 16_384
@@ -280,22 +280,11 @@ def payload_of(text: str) -> tuple[int, bytes]:
     return len(raw), raw + bytes(max(WIDTH, -(-len(raw) // WIDTH) * WIDTH) - len(raw))
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch that hold about BATCH_BYTES in one column."""
-    import pyarrow.compute as pc
-
-    ends, at = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))), 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def to_gif(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_bytes, media: every text stored as a GIF."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in _slices(b, 1)):
+        for batch in (part for b in batches for part in byte_slices(b, 1, BATCH_BYTES)):
             made = [payload_of(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([encode(p) for _, p in made], pa.binary())],
@@ -319,7 +308,7 @@ def frames(media: DataFrame, *, id_col="doc_id", media_col="media") -> DataFrame
             [("doc_id", pa.int64()), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.binary())]
             + [(c, pa.list_(pa.int64())) for c in ("red", "green", "blue")]
         )
-        for batch in (part for b in batches for part in _slices(b, 1)):
+        for batch in (part for b in batches for part in byte_slices(b, 1, BATCH_BYTES)):
             rows = []
             for doc_id, gif in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for i, f in enumerate(decode(gif.as_py())):
@@ -338,7 +327,7 @@ def digests(media: DataFrame) -> DataFrame:
     """Per row of ``to_gif``: digests of what its frames hold, and their colour histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in _slices(b, 2)):
+        for batch in (part for b in batches for part in byte_slices(b, 2, BATCH_BYTES)):
             out: list[tuple] = []
             for gif in batch.column(2):
                 data = gif.as_py()

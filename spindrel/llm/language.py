@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrel.llm.common import id_remainder, table
+from spindrel.llm.common import byte_slices, id_remainder, table
 
 SAMPLE_DOCS = 200
 SAMPLE_SYMBOLS = 32_000
@@ -262,15 +262,11 @@ def windows(texts: list[tuple[int, str]], most: int) -> list[str]:
     return [t[(at := key % (max(len(t) - level, 0) + 1)) : at + level] for key, t in texts]
 
 
-def _judged(batch: pa.RecordBatch, texts: pa.Array, judge: Judge) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array]]:
+def _judged(batch: pa.RecordBatch, text_at: int, judge: Judge) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array]]:
     """Parts of a batch with about BATCH_SYMBOLS bytes of text, their languages and scores."""
-    at, ends = 0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
-    while at < batch.num_rows:
-        done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + BATCH_SYMBOLS, side="right")))
-        names, scores = judge.judge(texts.slice(at, to - at).to_pylist())
-        yield batch.slice(at, to - at), pa.array(names, pa.string()), pa.array(scores, pa.float64())
-        at = to
+    for part in byte_slices(batch, text_at, BATCH_SYMBOLS):
+        names, scores = judge.judge(part.column(text_at).to_pylist())
+        yield part, pa.array(names, pa.string()), pa.array(scores, pa.float64())
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -280,7 +276,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], *, id_col="d
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, names, scores in _judged(batch, batch.column(1), judge):
+            for part, names, scores in _judged(batch, 1, judge):
                 yield pa.RecordBatch.from_arrays([part.column(0), names, scores], names=["doc_id", "lang_pred", "score"])
 
     schema = T.StructType([out.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -293,7 +289,7 @@ def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], *, text_col=
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, names, _ in _judged(batch, batch.column(text_at), judge):
+            for part, names, _ in _judged(batch, text_at, judge):
                 yield part.filter(pc.not_equal(names, UNKNOWN))
 
     return docs.mapInArrow(rows, docs.schema)

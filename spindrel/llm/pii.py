@@ -50,10 +50,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrel.llm.common import table
+from spindrel.llm.common import byte_slices, table
 
 SECRET = "spark.spindrel.pii.secret"
 ROUNDS = 6
+BATCH_BYTES = 1 << 20
 
 _drawn: list[bytes] = []
 
@@ -322,7 +323,7 @@ def replace_pii(docs: DataFrame, key: bytes, *, id_col="doc_id", text_col="text"
     schema = T.StructType([*source.schema.fields, T.StructField("entities", T.MapType(T.StringType(), T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in byte_slices(b, 1, BATCH_BYTES)):
             texts, counts = [], []
             for value in batch.column(1):
                 old = value.as_py()
@@ -345,7 +346,7 @@ def rewrite(docs: DataFrame, key: bytes, *, text_col="text", length_col="n_chars
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in byte_slices(b, text_at, BATCH_BYTES)):
             old = batch.column(text_at)
             new = pa.array([None if (t := value.as_py()) is None else surrogates(t, key)[0] for value in old], old.type)
             columns = batch.columns

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrel.llm import chat, gif, language, mixing, neardup, packing, pii, quality
+from spindrel.llm.common import byte_slices
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -890,4 +891,4 @@ def test_quality_edge_cases(spark, odd, empty, clashing):
 
 def test_arrow_slices_cover_a_batch():
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["a" * 10, None, "", "b" * 9_000_000, "c"])], names=["i", "t"])
-    assert [i for part in gif._slices(batch, 1) for i in part.column(0).to_pylist()] == list(range(5))
+    assert [i for part in byte_slices(batch, 1, 4 << 20) for i in part.column(0).to_pylist()] == list(range(5))
