@@ -56,23 +56,29 @@ def bfs(c: Context) -> DataFrame:
 def dfs(c: Context) -> DataFrame:
     """start, found, path; the start is tested too."""
     graph = adjacency(collected(c.input(0).edges(), c.name))
-    wanted = {r["node"] for r in tested(c).collect()}
-    starts = sorted((r["node"] for r in c.input(2 if c.has(2) else 1).nodes().distinct().collect()), key=sort_key)
+    nodes = c.input(2 if c.has(2) else 1).nodes().distinct()
+    starts = sorted((r["node"] for r in collected(nodes, c.name)), key=sort_key)
+    # what is sought counts only where the search can come to it, so it is no more than edges and starts
+    reach = c.input(0).edges().select(F.explode(F.array("src", "dst")).alias("node")).union(nodes).distinct()
+    wanted = {r["node"] for r in tested(c).join(reach, "node", "left_semi").collect()}
     limit = int(c.option("limit", 1))
-    seen: set = set()
+    came_from: dict[Any, Any] = {}
     out: list[tuple] = []
     for start in starts:
-        stack: list[tuple[Any, tuple]] = [(start, (start,))]
+        stack: list[tuple[Any, Any]] = [(start, None)]
         while stack and len(out) < limit:
-            node, path = stack.pop()
-            if node in seen:
+            node, before = stack.pop()
+            if node in came_from:
                 continue
-            seen.add(node)
+            came_from[node] = before
             if node in wanted:
-                out.append((start, node, list(path)))
+                path = [node]
+                while path[-1] != start:
+                    path.append(came_from[path[-1]])
+                out.append((start, node, path[::-1]))
             for to, _ in sorted(graph.get(node, ()), key=lambda x: sort_key(x[0]), reverse=True):
-                if to not in seen:
-                    stack.append((to, (*path, to)))
+                if to not in came_from:
+                    stack.append((to, node))
     kind = node_type(c)
     return c.spark.createDataFrame(out, f"start {kind}, found {kind}, path array<{kind}>")
 
