@@ -19,7 +19,10 @@ no rows give none.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +39,80 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 CACHE_BYTES = 80 << 20
 ENTRY_BYTES = 220  # of a cached word besides its characters and ids
 
+#: The normalizer and pre-tokenizer that plain words are cut by without the tokenizer.
+RULES = (
+    {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: Plain: characters that NFC leaves alone in any order and whose classes and lower case are the same
+#: everywhere.  No bar, as it is part of the added tokens.
+PLAIN = re.compile(r"[!-{}~¡¿À-ÖØ-öø-ÿ]+").fullmatch
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-class Encoder:
-    """Whole texts to ids, by way of blank-separated words seen before.
+class Encoder(dict):
+    """Whole texts to ids, by way of blank-separated words; the dictionary holds the ids of words seen before.
 
     The vocabulary's pre-tokenizer never crosses white space, so a text's ids are those
     of its words in order.  Only the four plain blanks are cut at; any other white space
     stays inside a word and is left to the tokenizer.
+
+    A new plain word is lower-cased and cut here into the parts that the vocabulary's rules make of
+    it, and only parts not seen before are merged.  A part's parts are itself, so words and parts
+    are held together.  Words of other characters, and all words of a vocabulary of other rules,
+    go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        rules = json.loads(Path(path).read_text(encoding="utf-8"))
+        added = [token["content"] for token in rules.get("added_tokens") or []]
+        self.plain = (rules.get("normalizer"), rules.get("pre_tokenizer")) == RULES and not any(map(PLAIN, added))
+        # the pre-tokenizer's spelling of the bytes of a character
+        pre = self.tokenizer.pre_tokenizer
+        self.spelt = {c: "".join(part for part, _ in pre.pre_tokenize_str(chr(c))) for c in range(256)} if self.plain else {}
         self.held = 0
+        self.odd: list[str] = []
+
+    def keep(self, word: str, ids: bytes) -> None:
+        size = ENTRY_BYTES + len(word) + len(ids)
+        if self.held + size <= CACHE_BYTES:  # once full: frequent words are in by now
+            self.held += size
+            self[word] = ids
+
+    def __missing__(self, word: str) -> bytes | None:
+        """The ids of a plain word; others are noted, for ``learn``."""
+        if not (self.plain and PLAIN(word)):
+            self.odd.append(word)
+            return None
+        parts = PARTS(word.lower())
+        if parts[0] == word:
+            spelt = word if word.isascii() else word.translate(self.spelt)
+            ids = b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(spelt)])
+        else:
+            ids = b"".join(map(self.__getitem__, parts))
+        self.keep(word, ids)
+        return ids
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """One call for all new words; a token belongs to the word in which it starts."""
@@ -64,22 +124,19 @@ class Encoder:
         data, at, out = ids.tobytes(), 0, {}
         for word, end in zip(words, ends.tolist(), strict=True):
             out[word] = data[at * 4 : end * 4]
+            self.keep(word, out[word])
             at = end
         return out
 
     def __call__(self, text: str) -> bytes:
         """The ids, little-endian unsigned 32-bit."""
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        if new := set(words).difference(known):
-            rare = self.learn(list(new))
-            more = ENTRY_BYTES * len(rare) + sum(map(len, rare)) + sum(map(len, rare.values()))
-            if self.held + more <= CACHE_BYTES:
-                self.held += more
-                known.update(rare)
-            else:  # full: frequent words are in by now
-                return b"".join([known[w] if w in known else rare[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+        found = list(map(self.__getitem__, words))
+        if self.odd:
+            rare = self.learn(list(set(self.odd)))
+            self.odd = []
+            found = [rare[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return b"".join(found)
 
 
 _encoders: dict[str, Encoder] = {}

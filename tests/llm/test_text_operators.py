@@ -2,10 +2,12 @@
 
 import hashlib
 import hmac
+import json
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -492,6 +494,36 @@ def test_the_word_cache_may_be_full(tokenizer, monkeypatch):
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_words_are_not_put_through_the_tokenizer(tokenizer):
+    import public_tokenizers
+
+    encode = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    encode.tokenizer = None  # any call of it fails
+    text = "It's THE end.*** ¿Qué ÑANDÚ? l'été 'S 'ALL don't'd 1999, 'sand x_y {a}~ Straße thtionerst###\n\tciónjaado"
+    assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("room", [0, 5_000, 80 << 20])
+def test_words_of_all_kinds_and_other_rules(tokenizer, monkeypatch, tmp_path, room):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_BYTES", room)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(json.loads(Path(path).read_text()) | {"normalizer": None}))
+    draw = random.Random(room)
+    letters = ["abcstrvmldzABSTZß0129''.,$#*<>|~!{}¡¿ÀÉÿñöØþ", "\u0301Σςİﬁкٱ한中²ªº¼\u00d7\u00f7\u00a0\x1c\u200b’😀ǅ"]
+    words = ["".join(draw.choice(letters[draw.random() < 0.05]) for _ in range(draw.randrange(9))) for _ in range(3_000)]
+    texts = [" ".join(words[i : i + 6] + ["<|endoftext|>"] * (i % 50 == 0)) for i in range(0, 3_000, 6)] + ["ab" * 4_000 + " 7 ж" + "é!" * 4_000]
+    for file, plainly in ((path, True), (str(other), False)):
+        encode, whole = packing.Encoder(file), Tokenizer.from_file(file)
+        assert encode.plain is plainly
+        for text in texts + texts[:50]:
+            assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert sum(packing.ENTRY_BYTES + len(w) + len(ids) for w, ids in encode.items() if w) == encode.held <= room
+
+
 # --- GIF ----------------------------------------------------------------------------
 
 
