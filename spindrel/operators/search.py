@@ -13,16 +13,19 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrel.functions.scalars import _divide, cosine, dot, l2, vector
 from spindrel.operators.text import Analyzer, analyzed
@@ -32,6 +35,8 @@ from spindrel.sources.durable import observed, written
 
 #: Bytes of queries that are sent to every task at a time.
 BROADCAST_BYTES = 32 << 20
+#: Tokens of analyzed texts in an Arrow batch.
+TOKENS_AT_ONCE = 50_000
 
 
 def search_join(session: Any, atom: A.SearchAtom, body: Any) -> None:
@@ -169,23 +174,59 @@ def sought(relation: Any, index: Any, terms: list[Term]) -> DataFrame:
     analyzer = Analyzer(option_map(index))
     words = analyzer.words(text.col)
     if words is None:
-        rows = rows.select(*keys, analyzer.column(text.col).alias("_t"))
-        words = F.transform("_t", lambda t: t["word"])
-    spread = rows.select(*keys, words.alias("_words")).select(*keys, F.posexplode("_words").alias("position", "word"))
+        spread = tokens(rows, keys, text, analyzer)
+    else:
+        spread = rows.select(*keys, words.alias("_words")).select(*keys, F.posexplode("_words").alias("position", "word"))
     return spread.where(wanted).groupBy(*keys, "word").agg(F.sort_array(F.collect_list("position")).alias("position"))
 
 
+#: What is known of a token, beside its text's keys.
+TOKEN = (("total_length", T.IntegerType(), pa.int32()), ("position", T.IntegerType(), pa.int32()), ("word", T.StringType(), pa.string()), ("from", T.IntegerType(), pa.int32()), ("to", T.IntegerType(), pa.int32()))
+
+
+def token_batches(key: tuple, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of texts, the last column, each with the columns before it; a batch holds at most ``TOKENS_AT_ONCE``."""
+
+    def packed(batch: pa.RecordBatch, at: list[int], cells: list[list]) -> pa.RecordBatch:
+        held = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
+        return pa.RecordBatch.from_arrays([*held, *[pa.array(v, t) for v, (_, _, t) in zip(cells, TOKEN, strict=True)]], names)
+
+    for batch in batches:
+        at: list[int] = []
+        cells: list[list] = [[] for _ in TOKEN]
+        for i, value in enumerate(batch.columns[-1]):
+            found = analyzed(key, value.as_py()) if value.is_valid else []
+            first = 0
+            while first < len(found):
+                some = found[first : first + TOKENS_AT_ONCE - len(at)]
+                at += [i] * len(some)
+                words, starts, ends = zip(*some, strict=True)
+                for held, more in zip(cells, ([len(found)] * len(some), range(first, first + len(some)), words, starts, ends), strict=True):
+                    held += more
+                first += len(some)
+                if len(at) == TOKENS_AT_ONCE:
+                    yield packed(batch, at, cells)
+                    at, cells = [], [[] for _ in TOKEN]
+        if at:
+            yield packed(batch, at, cells)
+
+
+def tokens(rows: DataFrame, keys: list[str], text: Any, analyzer: Analyzer) -> DataFrame:
+    """keys and total_length, position, word, from, to of each token; only one text's tokens are held at a time."""
+    key = analyzer.key()
+    given = rows.select(*keys, text.col.alias("_text"))
+    schema = T.StructType([*given.schema.fields[:-1], *[T.StructField(n, t) for n, t, _ in TOKEN]])
+    return given.mapInArrow(lambda batches: token_batches(key, schema.names, batches), schema)
+
+
 def postings(relation: Any, index: Any, rows: DataFrame) -> DataFrame:
     """word, keys, positions, offsets and the document's length in tokens."""
-    options = option_map(index)
     rows, text = analyzed_rows(index, rows)
     keys = relation.key_columns
-    tokens = rows.select(*keys, Analyzer(options).column(text.col).alias("_t")).where("_t is not null")
-    spread = tokens.select(*keys, F.size("_t").alias("total_length"), F.posexplode("_t").alias("position", "_x"))
-    return spread.groupBy(*keys, "total_length", F.col("_x.word").alias("word")).agg(
+    return tokens(rows, keys, text, Analyzer(option_map(index))).groupBy(*keys, "total_length", "word").agg(
         F.sort_array(F.collect_list("position")).alias("position"),
-        F.sort_array(F.collect_list("_x.start")).alias("offset_from"),
-        F.sort_array(F.collect_list("_x.end")).alias("offset_to"),
+        F.sort_array(F.collect_list("from")).alias("offset_from"),
+        F.sort_array(F.collect_list("to")).alias("offset_to"),
     )
 
 

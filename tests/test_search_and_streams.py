@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from spindrel import Session
@@ -58,6 +59,29 @@ def test_full_text(session):
     assert ("hello", "a") in run(session, "?[w, k] := *t:f{word: w, k}")
 
 
+def test_texts_are_analyzed_in_bounded_batches(session, spark, monkeypatch):
+    """A batch never holds more than so many tokens, and none is lost at its edges."""
+    from spindrel.operators import search
+
+    monkeypatch.setattr(search, "TOKENS_AT_ONCE", 7)
+    texts = {i: " ".join(f"w{(i * j) % 5}" for j in range(i % 23)) for i in range(60)} | {60: None, 61: ""}
+    chain = ("Simple", (), (("Stemmer", ("English",)),))
+    given = pa.RecordBatch.from_pydict({"k": list(texts), "t": list(texts.values())})
+    parts = list(search.token_batches(chain, ["k", *[n for n, _, _ in search.TOKEN]], iter([given])))
+    total = sum(len((t or "").split()) for t in texts.values())
+    assert [p.num_rows for p in parts] == [7] * (total // 7) + [total % 7] * (total % 7 > 0)
+    session.register("d", spark.createDataFrame(list(texts.items()), "k long, v string"), ["k"])
+    session.run("::fts create d:f {extractor: v, tokenizer: Simple, filters: [Stemmer('English')]}")
+    found = run(session, "?[k, w, p, a, z, n] := *d:f{word: w, k, position: p, offset_from: a, offset_to: z, total_length: n}")
+    want = []
+    for k, t in texts.items():
+        spread = analyzed(chain, t or "")
+        for w in {w for w, _, _ in spread}:
+            mine = [(i, a, z) for i, (x, a, z) in enumerate(spread) if x == w]
+            want.append((k, w, *map(list, zip(*mine, strict=True)), len(spread)))
+    assert sorted(found) == sorted(want)
+
+
 def test_near_duplicates(session):
     session.run("::lsh create t:l {extractor: v, tokenizer: Simple, n_gram: 3, target_threshold: 0.3}")
     assert run(session, "?[k] := ~t:l{k | query: 'see him at the end of the world', k: 2}") == [("c",)]
