@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrel.functions.scalars import _divide, cosine, dot, l2, vector
+from spindrel.functions.scalars import cosine, dot, l2, vector
 from spindrel.operators.text import Analyzer, analyzed
 from spindrel.plans import ast as A
 from spindrel.plans.expressions import Scope
@@ -59,7 +59,11 @@ def search_join(session: Any, atom: A.SearchAtom, body: Any) -> None:
         condition = rows_filter.test(options["filter"])
     else:
         condition = F.lit(True)
-    found = {"hnsw": nearest, "fts": full_text, "lsh": near_duplicates}[index.kind](relation, index, rows, condition, body.frame().select(query.col.alias("_q")).distinct(), query, constant)
+    asked = (relation, index, rows, condition, body.frame().select(query.col.alias("_q")).distinct(), query, constant)
+    if index.kind == "hnsw":
+        found = nearest(*asked, {c for c, _ in atom.named} | ({"_vector"} if "bind_vector" in options else set()))
+    else:
+        found = {"fts": full_text, "lsh": near_duplicates}[index.kind](*asked)
     # the hits carry the query, so they join back to what asked for them
     asking = body.fresh()
     body.df = body.frame().select("*", query.col.alias(asking))
@@ -82,45 +86,56 @@ def option_map(index: Any) -> dict[str, Any]:
 DISTANCES = {"L2": l2, "IP": lambda a, b: 1 - dot(a, b), "Cosine": cosine}
 
 
-def nearest(relation: Any, index: Any, rows: DataFrame, condition: Column, queries: DataFrame, query: Any, constant: Any) -> DataFrame:
+def nearest(relation: Any, index: Any, rows: DataFrame, condition: Column, queries: DataFrame, query: Any, constant: Any, used: set[str]) -> DataFrame:
     """Exact nearest rows: every row against the distinct queries, then the k best each.
 
     Exact results are what an approximate graph is measured against, so the accuracy
     options of the index are accepted and not needed.  Queries are dealt in blocks of a
-    checked size, each sent to all tasks.
+    checked size, each sent to all tasks.  Products of matrices leave out the pairs that
+    cannot be among the best; what is left is measured by the formula itself.
     """
     options = option_map(index)
     k = int(constant("k", 0))
     if k < 1:
         raise A.ScriptError("a vector search needs a positive k")
     name = options["distance"].name if isinstance(options.get("distance"), A.Var) else "L2"
-    distance = DISTANCES[name]
     fields = [f.name for f in options["fields"].items]
     element = "double" if str(getattr(options.get("dtype"), "name", "F32")) in ("F64", "Double") else "float"
     if "filter" in options:
         rows = rows.where(Scope(rows, {c: c for c in rows.columns}).test(options["filter"]))
     asked = queries.select("_q", vector(query.__class__(F.col("_q"), query.type), element).alias("_query")).where("_q is not null")
+    asked = asked.withColumn("_qid", F.monotonically_increasing_id())
+    kept = [c for c in rows.columns if c in used or c in relation.key_columns]
+    bound = ["_vector"] if "_vector" in used else []
     out = None
     for i, f in enumerate(fields):
-        part = rows.where(condition).select("*", F.col(f).alias("_vector"), F.lit(f).alias("_field"), F.lit(i).alias("_field_idx")).where("_vector is not null")
+        part = rows.where(condition).select(*kept, F.col(f).alias("_vector"), F.lit(f).alias("_field"), F.lit(i).alias("_field_idx")).where("_vector is not null")
         out = part if out is None else out.union(part)
-    if name == "Cosine":  # lengths once a vector, not once a pair
-        out, asked = out.withColumn("_v2", dot(F.col("_vector"), F.col("_vector"))), asked.withColumn("_q2", dot(F.col("_query"), F.col("_query")))
-    asked, _, seen = observed(asked, n=F.count(F.lit(1)), size=F.sum(F.size("_query") * 16 + 64))
+    asked, _, seen = observed(asked, n=F.count(F.lit(1)), size=F.sum(F.size("_query") * 16 + 64 + 16 * k), dim=F.max(F.size("_query")))
+    dim = seen["dim"] or 0
+    plain = lambda v: F.coalesce((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & F.abs(x).between(0, 1e100)) & dot(F.col(v), F.col(v)).between(1e-200 if name == "Cosine" else 0, 1e200), F.lit(False))
+    asked = asked.withColumn("_plain", plain("_query"))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < cores:  # few rows may be much work
+        out = out.repartition(cores)
     radius = constant("radius")
+    columns = [*kept, "_field", "_field_idx", *bound, "_qid", "_distance"]
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("_distance", DISTANCES[name](F.col("_vector"), F.col("_query"))).select(*columns)
 
     def best(some: DataFrame) -> DataFrame:
-        met = out.crossJoin(F.broadcast(some))
-        if name == "Cosine":
-            apart = 1 - _divide(dot(F.col("_vector"), F.col("_query")), F.sqrt(F.col("_v2") * F.col("_q2")))
-        else:
-            apart = distance(F.col("_vector"), F.col("_query"))
-        met = met.withColumn("_distance", apart)
+        given = out.where(plain("_vector")).select(*kept, "_field", "_field_idx", *bound, F.col("_vector").cast("array<double>").alias("_v"))
+        met = near_pairs(given, some.where("_plain"), name, k, dim, radius)
+        # what is not an ordinary vector is measured pair by pair
+        met = met.union(apart(out.where(~plain("_vector")).crossJoin(F.broadcast(some))))
+        met = met.union(apart(out.where(plain("_vector")).crossJoin(F.broadcast(some.where("not _plain")))))
         if radius is not None:
             met = met.where(F.col("_distance") <= F.lit(float(radius)))
         # row_number <= k is applied to each task's rows before the shuffle as well
-        place = F.row_number().over(W.partitionBy("_q").orderBy("_distance", *relation.key_columns, "_field_idx"))
-        return met.withColumn("_place", place).where(F.col("_place") <= k).drop("_place", "_query", "_v2", "_q2")
+        place = F.row_number().over(W.partitionBy("_qid").orderBy("_distance", *relation.key_columns, "_field_idx"))
+        met = met.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+        return met.join(some.select("_qid", "_q"), "_qid").drop("_qid")
 
     # every block of queries is small enough to be sent to all tasks
     blocks = max(1, -(-(seen["size"] or 0) // BROADCAST_BYTES))
@@ -131,6 +146,91 @@ def nearest(relation: Any, index: Any, rows: DataFrame, condition: Column, queri
     return reduce(DataFrame.unionByName, found)
 
 
+#: Bytes of products of rows and queries at a time, and pairs that are measured at a time.
+PRODUCT_BYTES = 32 << 20
+PAIRS_AT_ONCE = 50_000
+
+
+def measured(name: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of pairs of vectors, their terms summed in order as by Spark's own expressions."""
+
+    def summed(x: np.ndarray, y: np.ndarray, term: Any) -> np.ndarray:
+        out = np.zeros(len(x))
+        for j in range(x.shape[1]):
+            out += term(x[:, j], y[:, j])
+        return out
+
+    if name == "L2":
+        return summed(v, q, lambda x, y: (x - y) * (x - y))
+    product = lambda x, y: x * y
+    if name == "IP":
+        return 1 - summed(v, q, product)
+    return 1 - summed(v, q, product) / np.sqrt(summed(v, v, product) * summed(q, q, product))
+
+
+class Best:
+    """The pairs that may be among the k nearest of each query, given rows block after block."""
+
+    def __init__(self, name: str, queries: np.ndarray, k: int, radius: float | None):
+        self.name, self.queries, self.k = name, queries, k
+        self.squares = np.einsum("ij,ij->i", queries, queries)
+        self.scaled = queries / np.sqrt(self.squares)[:, None] if name == "Cosine" else queries
+        #: no product or sum of squares is off by more than this share
+        self.off = 8 * (queries.shape[1] + 8) * np.finfo(float).eps
+        self.least = np.full((len(queries), k), np.inf)  # upper bounds of the k nearest so far
+        self.radius = np.inf if radius is None else float(radius)
+
+    def add(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and rows of ``v`` that may be near."""
+        squares = np.einsum("ij,ij->i", v, v)
+        if self.name == "Cosine":
+            near, slack = 1 - self.scaled @ (v / np.sqrt(squares)[:, None]).T, np.full(len(self.queries), 2 * self.off)
+        elif self.name == "IP":
+            near, slack = 1 - self.scaled @ v.T, self.off * (1 + np.sqrt(self.squares * squares.max()))
+        else:
+            near = self.scaled @ v.T
+            near *= -2
+            near += self.squares[:, None]
+            near += squares
+            slack = 2 * self.off * (self.squares + squares.max())
+        most = np.minimum(self.least.max(1), self.radius) + slack
+        where = np.flatnonzero((near <= most[:, None]).any(1))
+        if not len(where):
+            return where, where
+        some = near[where]
+        merged = np.concatenate([self.least[where], some + slack[where, None]], axis=1)
+        self.least[where] = np.partition(merged, self.k - 1, axis=1)[:, : self.k]
+        most = np.minimum(self.least[where].max(1), self.radius) + slack[where]
+        at, row = np.nonzero(some <= most[:, None])
+        return where[at], row
+
+
+def near_pairs(given: DataFrame, some: DataFrame, name: str, k: int, dim: int, radius: float | None) -> DataFrame:
+    """The columns of ``given`` but its vector, with _qid and _distance of the pairs that each task may not leave out."""
+    spark = given.sparkSession
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("_qid", T.LongType()), T.StructField("_distance", T.DoubleType())])
+    table = some.select("_qid", F.col("_query").cast("array<double>").alias("_v")).toArrow().combine_chunks()
+    if not table.num_rows:
+        return spark.createDataFrame([], schema)
+    matrix = lambda column: column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    shared = spark.sparkContext.broadcast((table["_qid"].to_numpy(), matrix(table["_v"].combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        best = Best(name, queries, k, radius)
+        step = max(1, PRODUCT_BYTES // (8 * len(ids)))
+        for batch in batches:
+            rows = matrix(batch.columns[-1])
+            for at in range(0, len(rows), step):
+                asked, row = best.add(rows[at : at + step])
+                for first in range(0, len(row), PAIRS_AT_ONCE):
+                    q, r = asked[first : first + PAIRS_AT_ONCE], row[first : first + PAIRS_AT_ONCE] + at
+                    held = [c.take(pa.array(r)) for c in batch.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*held, pa.array(ids[q]), pa.array(measured(name, rows[r], queries[q]))], schema.names)
+
+    return given.mapInArrow(run, schema)
+
+
 # --- full text ----------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -43,6 +44,37 @@ def test_vector_queries_in_blocks(session, monkeypatch):
     assert sorted(run(session, script)) == whole and len(whole) == 6
 
 
+@pytest.mark.parametrize("name", ["L2", "IP", "Cosine"])
+def test_no_near_pair_is_left_out(name):
+    """Blocks of rows with ties and far vectors: the pairs that stay hold the k nearest, equal ones included."""
+    from spindrel.operators.search import Best, measured
+
+    draw = np.random.default_rng(5)
+    rows, queries = np.repeat(draw.normal(size=(200, 6)), 3, 0) + 1, draw.normal(size=(17, 6)) + 1
+    rows[100] *= 1e6
+    rows, best, pairs = draw.permutation(rows), Best(name, queries, 4, None), set()
+    for at in range(0, len(rows), 50):
+        q, r = best.add(rows[at : at + 50])
+        pairs |= set(zip(q.tolist(), (r + at).tolist(), strict=True))
+    far = np.array([measured(name, rows, np.repeat(q[None], len(rows), 0)) for q in queries])
+    for i, d in enumerate(far):
+        assert {(i, int(j)) for j in np.flatnonzero(d <= np.sort(d)[3])} <= pairs
+    assert len(pairs) < far.size / 4  # most pairs are never measured one by one
+    plain = sum((a - b) * (a - b) for a, b in zip(rows[0], queries[0], strict=True)) if name == "L2" else 1 - sum(a * b for a, b in zip(rows[0], queries[0], strict=True))
+    assert name == "Cosine" or far[0][0] == plain
+
+
+def test_vectors_that_are_not_ordinary(session, spark):
+    """Zero, short and infinite vectors are measured as by the distance functions."""
+    held = [(1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [1.0]), (4, [float("inf"), 1.0]), (5, [2.0, 4.5]), (6, [float("nan"), 1.0]), (7, None)]
+    session.register("o", spark.createDataFrame(held, "k long, v array<double>"), ["k"])
+    for name, function in (("L2", "l2_dist"), ("IP", "ip_dist"), ("Cosine", "cos_dist")):
+        session.run(f"::hnsw create o:{name} {{dim: 2, m: 8, ef_construction: 20, dtype: F64, fields: [v], distance: {name}}}")
+        found = run(session, f"?[a, b, d] := *o{{k: a, v: q}}, ~o:{name}{{k: b | query: q, k: 9, ef: 20, bind_distance: d}}")
+        want = run(session, f"?[a, b, d] := *o{{k: a, v: q}}, !is_null(q), *o{{k: b, v: w}}, !is_null(w), d = {function}(w, q)")
+        assert sorted(map(repr, found)) == sorted(map(repr, want)) and len(want) == 36
+
+
 def test_full_text(session):
     session.run("::fts create t:f {extractor: v, tokenizer: Simple, filters: [Lowercase, Stemmer('English')]}")
     q = lambda text, more="": sorted(r[0] for r in run(session, f"?[k] := ~t:f{{k | query: '{text}', k: 9{more}}}"))
