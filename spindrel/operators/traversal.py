@@ -6,12 +6,15 @@ import heapq
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrel.operators.fixed import Context, algorithm
-from spindrel.operators.graph import Rounds, adjacency, collected, node_type, sort_key
+from spindrel.operators.graph import Rounds, adjacency, all_nodes, collected, node_type
+from spindrel.operators.numbered import Numbered, OnDisk, by_number, nodes_by_number
 from spindrel.plans import ast as A
 from spindrel.sources.durable import counted, written
 
@@ -54,33 +57,90 @@ def bfs(c: Context) -> DataFrame:
 
 @algorithm("DepthFirstSearch", "DFS")
 def dfs(c: Context) -> DataFrame:
-    """start, found, path; the start is tested too."""
-    graph = adjacency(collected(c.input(0).edges(), c.name))
-    nodes = c.input(2 if c.has(2) else 1).nodes().distinct()
-    starts = sorted((r["node"] for r in collected(nodes, c.name)), key=sort_key)
-    # what is sought counts only where the search can come to it, so it is no more than edges and starts
-    reach = c.input(0).edges().select(F.explode(F.array("src", "dst")).alias("node")).union(nodes).distinct()
-    wanted = {r["node"] for r in tested(c).join(reach, "node", "left_semi").collect()}
-    limit = int(c.option("limit", 1))
-    came_from: dict[Any, Any] = {}
-    out: list[tuple] = []
-    for start in starts:
-        stack: list[tuple[Any, Any]] = [(start, None)]
-        while stack and len(out) < limit:
-            node, before = stack.pop()
-            if node in came_from:
-                continue
-            came_from[node] = before
-            if node in wanted:
-                path = [node]
-                while path[-1] != start:
-                    path.append(came_from[path[-1]])
-                out.append((start, node, path[::-1]))
-            for to, _ in sorted(graph.get(node, ()), key=lambda x: sort_key(x[0]), reverse=True):
-                if to not in came_from:
-                    stack.append((to, node))
+    """start, found, path; the start is tested too.
+
+    The search is sequential: it reads neighbours from a file of the driver, smallest first, and
+    holds numbers of nodes only.  Paths are put together by tasks, from the node that each one came from.
+    """
+    e = written(c.input(0).edges().where("weight >= 0"))[0]
+    starts = c.input(2 if c.has(2) else 1).nodes().distinct()
+    # what is sought counts only where the search can come to it
+    flags = all_nodes(e).select("node", F.lit(0).alias("s")).union(starts.select("node", F.lit(1))).groupBy("node").agg(F.max("s").alias("s"))
+    wanted = tested(c).distinct().select(F.col("node").alias("x"), F.lit(1).alias("w"))
+    nodes, n = nodes_by_number(flags.join(wanted, F.col("node").eqNullSafe(F.col("x")), "left").select("node", "s", F.coalesce("w", F.lit(0)).alias("w")))
+    marked = nodes.where("s = 1 or w = 1").select("id", "s", "w").toArrow()
+    ids, first, sought = (marked[x].to_numpy() for x in ("id", "s", "w"))
+    came, found = depth_first(OnDisk(Numbered.of(e, nodes, n)), n, np.sort(ids[first == 1]), ids[sought == 1], int(c.option("limit", 1)))
     kind = node_type(c)
-    return c.spark.createDataFrame(out, f"start {kind}, found {kind}, path array<{kind}>")
+    schema = f"start {kind}, found {kind}, path array<{kind}>"
+    if not len(found):
+        return c.spark.createDataFrame([], schema)
+    shared = c.spark.sparkContext.broadcast((came, found, by_number(nodes, "node", n)))
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        came, found, names = shared.value
+
+        def packed(some: list[np.ndarray]) -> pa.RecordBatch:
+            ends = np.cumsum([len(x) for x in some])
+            steps = names.take(pa.array(np.concatenate(some)))
+            whole = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), steps)
+            return pa.RecordBatch.from_arrays([steps.take(pa.array(ends - [len(x) for x in some])), steps.take(pa.array(ends - 1)), whole], ["start", "found", "path"])
+
+        for batch in batches:
+            some: list[np.ndarray] = []
+            size = 0
+            for i in batch.column(0).to_pylist():
+                path = [int(found[i])]
+                while (before := int(came[path[-1]])) != path[-1]:
+                    path.append(before)
+                some.append(np.array(path[::-1]))
+                size += len(path)
+                if size >= STEPS_AT_ONCE:
+                    yield packed(some)
+                    some, size = [], 0
+            if some:
+                yield packed(some)
+
+    return written(c.spark.range(0, len(found), 1, min(len(found), 4 * c.spark.sparkContext.defaultParallelism)).mapInArrow(paths, schema))[0]
+
+
+#: Steps of paths in an Arrow batch, unless one path has more.
+STEPS_AT_ONCE = 250_000
+
+
+def depth_first(graph: OnDisk, n: int, starts: np.ndarray, sought: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The node that each visited node was entered from (a start: itself), and the sought nodes in the order of their visit."""
+    came, wanted, at = np.full(n, -1, np.int64), np.zeros(n, bool), np.zeros(n, np.int64)
+    wanted[sought] = True
+    found: list[int] = []
+    for start in starts.tolist():
+        if came[start] >= 0 or len(found) >= limit:
+            continue
+        came[start] = start
+        found += [start] * bool(wanted[start])
+        node = start
+        while len(found) < limit:
+            # the smallest neighbour that is not visited yet; those before ``at`` are
+            rest = graph.neighbours(node)[at[node] :]
+            to, first, width = -1, 0, 16
+            while to < 0 and first < len(rest):
+                some = rest[first : first + width]
+                open_ = came[some] < 0
+                i = int(open_.argmax())
+                if open_[i]:
+                    to = int(some[i])
+                    at[node] += first + i + 1
+                first, width = first + width, width * 4
+            if to < 0:
+                at[node] += len(rest)
+                if came[node] == node:
+                    break
+                node = int(came[node])
+                continue
+            came[to] = node
+            found += [to] * bool(wanted[to])
+            node = to
+    return came, np.array(found, np.int64)
 
 
 @algorithm("ShortestPathBFS")

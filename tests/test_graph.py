@@ -90,3 +90,28 @@ def test_fixpoint_equals_naive_closure(spark):
     s.register("g", spark.createDataFrame(sorted(edges), "a long, b long"))
     found = s.run("t[a, b] := *g[a, b] t[a, c] := t[a, b], t[b, c] ?[a, b] := t[a, b]")
     assert {tuple(r) for r in found.collect()} == closure
+
+
+def test_depth_first_order_past_the_edges_that_fit_the_driver(spark, monkeypatch):
+    """Paths of a search that goes on from the node just found, with blobs cut between nodes and no bound on edges."""
+    from spindrel.operators import graph, numbered, traversal
+
+    draw = random.Random(4)
+    edges = sorted({(draw.randrange(60), draw.randrange(60)) for _ in range(150)}) + [(70, 71), (71, 70)]
+    came, paths = {}, []
+    for start in (3, 70, 99):
+        stack = [(start, None)]
+        while stack:
+            node, before = stack.pop()
+            if node not in came:
+                came[node] = [*came[before], node] if before is not None else [node]
+                if node % 3 == 0:
+                    paths.append((start, node, came[node]))
+                stack += [(b, node) for a, b in reversed(edges) if a == node]
+    for module, name, value in ((graph, "SEQUENTIAL_EDGES", 10), (numbered, "BLOB_EDGES", 20), (numbered, "PART_EDGES", 50), (traversal, "STEPS_AT_ONCE", 9)):
+        monkeypatch.setattr(module, name, value)
+    s = Session(spark)
+    s.register("g", spark.createDataFrame(edges, "a long, b long")).register("v", spark.createDataFrame([(i,) for i in range(200)], "k long"))
+    call = "s[n] <- [[99], [3], [70]] ?[] <~ DFS(*g[], *v{k}, s[], condition: k % 3 == 0, limit: "
+    assert sorted(tuple(r) for r in s.run(call + "1000)").collect()) == sorted(paths)
+    assert sorted(tuple(r) for r in s.run(call + "4)").collect()) == sorted(paths[:4])
