@@ -8,16 +8,20 @@ of more than ``SEQUENTIAL_EDGES``.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrel.operators import numbered
 from spindrel.operators.fixed import Context, algorithm
+from spindrel.operators.numbered import Numbered, OnDisk, looked_up, nodes_by_number
 from spindrel.plans import ast as A
 from spindrel.sources.durable import bucketed, counted, delete, observed, written
 
@@ -102,7 +106,7 @@ def merged_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.join(smallest, "root").select("node", "component")
 
 
-def numbered(labels: DataFrame) -> DataFrame:
+def group_numbers(labels: DataFrame) -> DataFrame:
     """node and a group number: groups counted from 0 by their smallest node."""
     from spindrel.sources.readers import indexed
 
@@ -113,11 +117,34 @@ def numbered(labels: DataFrame) -> DataFrame:
 
 @algorithm("ConnectedComponents")
 def connected_components(c: Context) -> DataFrame:
-    e = written(c.input(0).edges().select("src", "dst"))[0]
+    e = written(c.input(0).edges())[0]
     nodes = all_nodes(e)
     if c.has(1):
-        nodes = nodes.union(c.input(1).nodes())
-    return numbered(merged_components(e, nodes))
+        nodes = nodes.union(c.input(1).nodes()).distinct()
+    table, n = nodes_by_number(nodes)
+    if n > numbered.MOST_NODES:
+        return group_numbers(merged_components(e, nodes))
+    groups = np.unique(smallest_reaching(Numbered.of(e, table, n, both=True)), return_inverse=True)[1]
+    return looked_up(table, groups, "grp").select("node", "grp")
+
+
+def smallest_reaching(graph: Numbered) -> np.ndarray:
+    """The smallest node of each node's component: trees hang themselves below the smallest neighbour, and are flattened."""
+    labels = np.arange(graph.n, dtype=graph.kind)
+    while True:
+        at, least = graph.round(smaller_neighbour, (labels,))
+        if not len(at):
+            return labels
+        np.minimum.at(labels, labels[at], least.astype(labels.dtype))
+        while ((higher := labels[labels]) != labels).any():
+            labels = higher
+
+
+def smaller_neighbour(nodes: np.ndarray, counts: np.ndarray, others: np.ndarray, weights: np.ndarray, labels: np.ndarray) -> tuple:
+    """Nodes of a blob with a neighbour of a smaller label, and the smallest such label."""
+    least = np.minimum.reduceat(labels[others], np.cumsum(counts) - counts)
+    under = least < labels[nodes]
+    return nodes[under], least[under]
 
 
 def spread_min(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -158,7 +185,7 @@ def strongly_connected(c: Context) -> DataFrame:
     out = found[0] if found else nodes.select("node", F.col("node").alias("component"))
     for part in found[1:]:
         out = out.union(part)
-    return numbered(out)
+    return group_numbers(out)
 
 
 def spread_min_from(reverse: DataFrame, colour: DataFrame) -> DataFrame:
@@ -182,11 +209,20 @@ CHAIN = 5
 def pagerank(c: Context) -> DataFrame:
     """node, rank: power iteration; what dangling nodes hold is shared by all.
 
-    Edges lie in buckets by source, so that only ranks move to them.  An iteration is one
-    shuffle: shares of edges and one row of each node, summed by node.
+    Where nodes are too many for an array of them in every task, edges lie in buckets by source, so
+    that only ranks move to them.  An iteration is one shuffle then: shares of edges and one row of each
+    node, summed by node.
     """
     theta, epsilon, iterations = float(c.option("theta", 0.85)), float(c.option("epsilon", 1e-4)), int(c.option("iterations", 10))
-    e = written(c.edges().select("src", "dst"))[0]
+    both = bool(c.option("undirected", False))
+    e = written(c.input(0).edges())[0]
+    nodes, n = nodes_by_number(all_nodes(e))
+    if n <= numbered.MOST_NODES:
+        # what a node gets is summed where the edges that lead to it lie
+        graph = Numbered.of(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("weight")), nodes, n, both)
+        return looked_up(nodes, power_iteration(graph, theta, epsilon, iterations), "rank").select("node", "rank")
+    e = e.union(e.select("dst", "src", "weight")) if both else e
+    e = e.select("src", "dst")
     end = lambda column, out: F.struct(F.col(column).alias("node"), F.lit(out).alias("out"))
     ends = e.select(F.inline(F.array(end("src", 1), end("dst", 0))))
     sums = ends.groupBy("node").agg(F.sum("out").alias("outs")).withColumn("id", F.monotonically_increasing_id())
@@ -224,6 +260,27 @@ def pagerank(c: Context) -> DataFrame:
     return ids.join(state.df.select("id", "rank"), "id").select("node", "rank")
 
 
+def power_iteration(graph: Numbered, theta: float, epsilon: float, iterations: int) -> np.ndarray:
+    n, outs = graph.n, np.zeros(graph.n)
+    ways = graph.each(lambda nodes, counts, others, weights: np.unique(others, return_counts=True), (), f"node {'int' if graph.kind == '<i4' else 'long'}, k long")
+    table = ways.groupBy("node").agg(F.sum("k").alias("k")).toArrow()
+    outs[table["node"].to_numpy()] = table["k"].to_numpy()
+    ranks, loose = np.full(n, 1.0 / max(n, 1)), outs == 0
+    for _ in range(iterations):
+        held = ranks[loose].sum()
+        at, got = graph.round(received, (np.divide(ranks, outs, out=np.zeros(n), where=~loose),))
+        after = np.full(n, (1 - theta) / n + theta * held / n)
+        after[at] += theta * got
+        moved, ranks = np.abs(after - ranks).sum(), after
+        if moved < epsilon:
+            break
+    return ranks
+
+
+def received(nodes: np.ndarray, counts: np.ndarray, others: np.ndarray, weights: np.ndarray, shares: np.ndarray) -> tuple:
+    return nodes, np.add.reduceat(shares[others], np.cumsum(counts) - counts)
+
+
 @algorithm("ClusteringCoefficients")
 def clustering(c: Context) -> DataFrame:
     """node, coefficient, triangles, degree; each triangle is found once, from its least-degree edge order."""
@@ -419,10 +476,46 @@ def top_sort(c: Context) -> DataFrame:
 @algorithm("LabelPropagation")
 def label_propagation(c: Context) -> DataFrame:
     """label, node: nodes take the label that weighs most among their neighbours, smallest first in a tie."""
-    e = written(c.edges())[0]
+    steps, undirected = int(c.option("max_iter", 10)), bool(c.option("undirected", False))
+    e = written(c.input(0).edges())[0]
+    nodes, n = nodes_by_number(all_nodes(e))
+    if n > numbered.MOST_NODES:
+        return shuffled_labels(e.union(e.select("dst", "src", "weight")) if undirected else e, steps)
+    graph = Numbered.of(e, nodes, n, both=undirected)
+    table = nodes.select("id", F.xxhash64("node").alias("h")).toArrow()
+    hashes, labels = np.empty(n, np.int64), np.arange(n, dtype=graph.kind)
+    hashes[table["id"].to_numpy()] = table["h"].to_numpy()
+    for step in range(steps):
+        # half of the nodes move in a round, so that two neighbours do not swap for ever
+        at, best = graph.round(heaviest_label, (labels, (hashes >> (step % 60)) % 2 == 0))
+        labels[at] = best
+        if not len(at) and step:
+            break
+    names = nodes.select(F.col("id").alias("l"), F.col("node").alias("label"))
+    return looked_up(nodes, labels, "l").join(names, "l").select("label", "node")
+
+
+def heaviest_label(nodes: np.ndarray, counts: np.ndarray, others: np.ndarray, weights: np.ndarray, labels: np.ndarray, turn: np.ndarray) -> tuple:
+    """Nodes of a blob whose turn it is and that change, and their labels."""
+    moves = turn[nodes]
+    on = np.repeat(moves, counts)
+    place = np.repeat(np.arange(len(nodes)), counts)[on]
+    pairs, at = np.unique(place * len(labels) + labels[others[on]], return_inverse=True)
+    sums = np.bincount(at, weights[on], len(pairs))
+    place, label = pairs // len(labels), pairs % len(labels)
+    order = np.lexsort((label, -sums, place))
+    where, first = np.unique(place[order], return_index=True)
+    best, at = label[order][first], nodes[where]
+    changed = best != labels[at]
+    return at[changed], best[changed]
+
+
+def shuffled_labels(e: DataFrame, steps: int) -> DataFrame:
+    """Label propagation where nodes are too many for an array of them in every task."""
+    e = written(e)[0]
     nodes = all_nodes(e)
     state = Rounds(nodes.select("node", F.xxhash64("node").alias("h"), F.col("node").alias("label")))
-    for step in range(int(c.option("max_iter", 10))):
+    for step in range(steps):
         seen = e.join(state.df.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
         best = seen.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("best"))
         # half of the nodes move in a round, so that two neighbours do not swap for ever
@@ -436,72 +529,71 @@ def label_propagation(c: Context) -> DataFrame:
 
 @algorithm("CommunityDetectionLouvain")
 def louvain(c: Context) -> DataFrame:
-    """labels (coarsest first, at most ``keep_depth``), node."""
-    rows = collected(c.edges(), c.name)
+    """labels (coarsest first, at most ``keep_depth``), node.
+
+    Moves of single nodes are sequential: they read neighbours from a file of the driver and hold numbers of
+    nodes only.  Communities are merged by tasks.
+    """
     undirected = bool(c.option("undirected", False))
     delta, most, depth = float(c.option("delta", 1e-4)), int(c.option("max_iter", 10)), c.option("keep_depth", None)
-    graph: dict[Any, dict[Any, float]] = defaultdict(lambda: defaultdict(float))
-    for r in rows:
-        share = r["weight"] if undirected else r["weight"] / 2
-        graph[r["src"]][r["dst"]] += share
-        graph[r["dst"]][r["src"]] += share if not undirected else 0.0
-    names = sorted(graph, key=sort_key)
-    index = {n: i for i, n in enumerate(names)}
-    links = [{index[b]: w for b, w in graph[a].items()} for a in names]
-    levels: list[list[int]] = []
+    # both ways in any case; a directed edge counts half each way
+    share = F.col("weight") if undirected else F.col("weight") / 2
+    e = written(c.input(0).edges().select("src", "dst", share.alias("weight")))[0]
+    nodes, n = nodes_by_number(all_nodes(e))
+    graph = Numbered.of(e, nodes, n, both=True)
+    levels: list[np.ndarray] = []
     for _ in range(most):
-        labels, gain = local_moves(links, most)
-        groups = sorted(set(labels))
-        renumber = {g: i for i, g in enumerate(groups)}
-        labels = [renumber[g] for g in labels]
-        levels.append(labels)
-        if gain <= delta or len(groups) == len(links):
+        labels, gain = local_moves(OnDisk(graph), graph.n, most)
+        groups, labels = np.unique(labels, return_inverse=True)
+        levels.append(labels if not levels else labels[levels[-1]])
+        if gain <= delta or len(groups) == graph.n:
             break
-        merged: list[dict[int, float]] = [defaultdict(float) for _ in groups]
-        for i, out in enumerate(links):
-            for j, w in out.items():
-                merged[labels[i]][labels[j]] += w
-        links = [dict(m) for m in merged]
-    out = []
-    for i, name in enumerate(names):
-        path, at = [], i
-        for labels in levels:
-            at = labels[at]
-            path.append(at)
-        path.reverse()
-        out.append((path[: int(depth)] if depth else path, name))
-    return c.spark.createDataFrame(out, f"labels array<bigint>, node {node_type(c)}")
-
-
-def local_moves(links: list[dict[int, float]], most: int) -> tuple[list[int], float]:
+        met = graph.each(merged_links, (labels,), "s long, d long, w double")
+        graph = Numbered(met.groupBy("s", "d").agg(F.sum("w").alias("w")), len(groups))
+    out = nodes
+    kept = levels[::-1][: int(depth)] if depth else levels[::-1]
+    for i, labels in enumerate(kept):
+        out = looked_up(out, labels, f"l{i}")
+    return out.select(F.array(*[f"l{i}" for i in range(len(kept))]).cast("array<bigint>").alias("labels"), "node")
+
+
+def merged_links(nodes: np.ndarray, counts: np.ndarray, others: np.ndarray, weights: np.ndarray, labels: np.ndarray) -> tuple:
+    """The links of a blob between communities, each pair once."""
+    size = int(labels.max()) + 1
+    pairs, at = np.unique(np.repeat(labels[nodes], counts) * size + labels[others], return_inverse=True)
+    return pairs // size, pairs % size, np.bincount(at, weights, len(pairs))
+
+
+def local_moves(graph: OnDisk, n: int, most: int) -> tuple[np.ndarray, float]:
     """Labels after moving single nodes while modularity grows, and by how much it grew."""
-    n = len(links)
-    total = sum(w for out in links for w in out.values()) or 1.0
-    strength = [sum(out.values()) for out in links]
-    labels, held = list(range(n)), list(strength)
+    strength = array("d", bytes(8 * n))
+    for i in range(n):
+        strength[i] = sum(graph.weighed(i)[1])
+    total = sum(strength) or 1.0
+    labels, held = array("q", range(n)), array("d", strength)
     gained = 0.0
     for _ in range(most):
         moved = 0.0
         for i in range(n):
             around: dict[int, float] = defaultdict(float)
-            for j, w in links[i].items():
+            for j, w in zip(*graph.weighed(i), strict=True):
                 if j != i:
                     around[labels[j]] += w
-            own = labels[i]
-            held[own] -= strength[i]
-            stay = around.get(own, 0.0) - strength[i] * held[own] / total
+            own, mine = labels[i], strength[i]
+            held[own] -= mine
+            stay = around.get(own, 0.0) - mine * held[own] / total
             best, most_gain = own, stay
             for label in sorted(around):
-                value = around[label] - strength[i] * held[label] / total
+                value = around[label] - mine * held[label] / total
                 if value > most_gain + 1e-12:
                     best, most_gain = label, value
-            held[best] += strength[i]
+            held[best] += mine
             labels[i] = best
             moved += most_gain - stay
         gained += 2 * moved / total
         if moved <= 1e-12:
             break
-    return labels, gained
+    return np.array(labels, np.int64), gained
 
 
 @algorithm("RandomWalk")

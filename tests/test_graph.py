@@ -115,3 +115,27 @@ def test_depth_first_order_past_the_edges_that_fit_the_driver(spark, monkeypatch
     call = "s[n] <- [[99], [3], [70]] ?[] <~ DFS(*g[], *v{k}, s[], condition: k % 3 == 0, limit: "
     assert sorted(tuple(r) for r in s.run(call + "1000)").collect()) == sorted(paths)
     assert sorted(tuple(r) for r in s.run(call + "4)").collect()) == sorted(paths[:4])
+
+
+def test_graphs_by_number_past_the_edges_that_fit_the_driver(spark, monkeypatch):
+    """Blobs of few edges and no bound on edges: the results of shuffles, and communities as planted."""
+    from spindrel.operators import graph, numbered
+
+    draw = random.Random(6)
+    edges = [(f"n{draw.randrange(90)}", f"n{draw.randrange(90)}") for _ in range(70)] + [("n5", "n5")]
+    cliques = [(f"{k}{i}", f"{k}{j}") for k in "abc" for i in range(6) for j in range(i)] + [("a0", "b0"), ("b1", "c1")]
+    s = Session(spark)
+    s.register("g", spark.createDataFrame(edges, "a string, b string")).register("k", spark.createDataFrame(cliques, "a string, b string"))
+    calls = ("ConnectedComponents(*g[])", "LabelPropagation(*g[])", "LabelPropagation(*g[], undirected: true)", "PageRank(*g[])", "PageRank(*g[], undirected: true, epsilon: 0.0)")
+    rows = lambda call: sorted(tuple(r) for r in s.run(f"?[] <~ {call}").collect())
+    for module, name, value in ((graph, "SEQUENTIAL_EDGES", 10), (numbered, "BLOB_EDGES", 20), (numbered, "PART_EDGES", 50)):
+        monkeypatch.setattr(module, name, value)
+    small = [rows(call) for call in calls]
+    for undirected in ("true", "false"):
+        found = {n: labels[0] for labels, n in rows(f"CommunityDetectionLouvain(*k[], undirected: {undirected})")}
+        assert len(found) == 18 and all(found[f"{k}{i}"] == found[f"{k}0"] for k in "abc" for i in range(6)) and len(set(found.values())) == 3
+    monkeypatch.setattr(numbered, "MOST_NODES", 0)
+    for call, now in zip(calls, small, strict=True):
+        before = rows(call)
+        assert len(before) == len(now) > 20
+        assert all(a == pytest.approx(b) if isinstance(a, float) else a == b for x, y in zip(before, now, strict=True) for a, b in zip(x, y, strict=True)), call
